@@ -28,7 +28,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in shared storage: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # its shuffles end with the job
+    before = df.sparkSession.conf.get(clean, None)
+    df.sparkSession.conf.set(clean, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        df.sparkSession.conf.set(clean, before) if before else df.sparkSession.conf.unset(clean)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -37,6 +43,12 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """documents() with a 128-bit key of id and text: rows with equal keys are equal."""
+    text = documents(docs)
+    return text.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", "doc_id", F.lit("k2"))})
+
+
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column, and the rows' offsets in them."""
     if isinstance(col, pa.ChunkedArray):
@@ -77,9 +89,11 @@ class RollingHash:
         if len(self.pow) < n:
             n = max(n, 2 * len(self.pow))
             with np.errstate(over="ignore"):
-                self.pow = np.cumprod(np.concatenate([[1], np.full(n, self.BASE, np.uint64)]).astype(np.uint64), dtype=np.uint64)
                 inverse = pow(self.BASE, -1, 1 << 64)
-                self.inv = np.cumprod(np.concatenate([[1], np.full(n, inverse, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+                powers = [np.full(n + 1, x, np.uint64) for x in (self.BASE, inverse)]
+                for x in powers:
+                    x[0] = 1
+                self.pow, self.inv = (np.cumprod(x, dtype=np.uint64) for x in powers)
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
         """Prefix sums over 64-bit values (bytes go through a random table)."""

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, tokenfiles
+from . import bpe, decontaminate, jaccard, linededup, media, quality, tokenfiles
 
-OPERATORS = [tokenfiles.op2_training_order, media.op9_media_columns, tokenfiles.op10_token_counts]
+OPERATORS = [tokenfiles.op2_training_order, linededup.op3_line_dedup, bpe.op4_byte_bpe, quality.op5_quality_classifier, decontaminate.op6_decontamination, jaccard.op8_ngram_jaccard_join, media.op9_media_columns, tokenfiles.op10_token_counts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,4 +16,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": linededup.OP3_SQL, "op6_decontamination": decontaminate.OP6_SQL}

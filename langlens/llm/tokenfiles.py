@@ -121,7 +121,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = shared_dir(spark, "tokens")
     order = written(export_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, public_tokenizers.path("byte_bpe_50k.tiktoken")), "order")
-    return order.join(token_counts(spark, folder), ["file", "ordinal"], "left").select("doc_id", "n_tokens", "file", "first_token")
+    return order.join(token_counts(spark, folder).hint("merge"), ["file", "ordinal"], "left").select("doc_id", "n_tokens", "file", "first_token")
 
 
 # Training order -----------------------------------------------------------------------------------------
@@ -154,7 +154,8 @@ def training_shards(docs: DataFrame, folder: str, key: int, length: int = 512, d
     Token ids are the UTF-8 bytes of each text (a vocabulary of 256), cut into sequences of `length`, the last
     padded with `pad` up to the fixed stride; an empty text is one sequence of 0 tokens. Sequences are numbered
     by input partition and place, the Feistel permutation gives each its global slot, and range partitions of
-    slots write the shards, in which slot s lies at byte (s mod slots_per_shard) * stride. Partition numbering
+    slots write the shards, in which slot s lies at byte (s mod slots_per_shard) * stride. On the way there, the
+    sequences that a batch sends to one shard travel as one compressed block; a task holds one shard. Partition numbering
     needs a repeatable input, such as a table; a partition that comes out different the second time is an error.
     """
     width = np.dtype(dtype).itemsize
@@ -182,38 +183,49 @@ def training_shards(docs: DataFrame, folder: str, key: int, length: int = 512, d
             inside = np.arange(length) < tokens[:, None]
             data[inside] = raw[(starts[:, None] + np.arange(length))[inside]]
             at += len(row)
-            blob = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((np.arange(len(row) + 1) * length * width).astype(np.int32)), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([batch[0].take(pa.array(row)), pa.array(seq), pa.array(slot), pa.array(slot // slots_per_shard), pa.array(tokens), blob], ["doc_id", "seq", "slot", "shard", "n_tokens", "data"])
+            order = np.lexsort((slot, slot // slots_per_shard))
+            shard = (slot // slots_per_shard)[order]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(order)]]).astype(np.int32)
+            blobs = [pa.compress(data[order[a:b]].tobytes(), "zstd", asbytes=True) for a, b in zip(cuts, cuts[1:])]
+            fields = [batch[0].take(pa.array(row[order])), *(pa.array(x[order]) for x in (seq, slot, tokens))]
+            yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]]), *(pa.ListArray.from_arrays(pa.array(cuts), x) for x in fields), pa.array(blobs, pa.binary())], ["shard", "doc_id", "seq", "slot", "n_tokens", "data"])
         if at - first != sizes.get(p, 0):
             raise RuntimeError("the input's partitions changed between two reads; write it as a table first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _open(folder)
         store.create_dir(root, recursive=True)
-        shard, out, mine = -1, None, ""
-
-        def close() -> None:
-            if out is not None:
-                out.close()
-                store.move(mine, f"{root}/shard-{shard:08d}.bin")
 
+        def close(shard: int, blocks: list[pa.RecordBatch]) -> pa.RecordBatch:
+            part = pa.Table.from_batches(blocks)
+            ids, seq, slot, tokens = (pa.concat_arrays([x.flatten() for x in part[c].chunks]) for c in ("doc_id", "seq", "slot", "n_tokens"))
+            place = np.asarray(slot) - shard * slots_per_shard
+            data = np.empty((len(place), length), dtype)
+            if sorted(place.tolist()) != list(range(len(place))):
+                raise RuntimeError(f"shard {shard} lacks slots")
+            sizes = [len(x) for x in part["slot"].to_pylist()]
+            for blob, n, lo in zip(part["data"].to_pylist(), sizes, np.cumsum([0, *sizes])):
+                data[place[lo : lo + n]] = np.frombuffer(pa.decompress(blob, n * length * width, "zstd"), dtype).reshape(n, length)
+            mine = f"{root}/.{shard}-{uuid.uuid4().hex}"
+            with store.open_output_stream(mine) as out:
+                out.write(data.tobytes())
+            store.move(mine, f"{root}/shard-{shard:08d}.bin")
+            crc = [zlib.crc32(data[x]) for x in place]
+            return pa.RecordBatch.from_arrays([ids, seq, slot, pa.array(np.full(len(place), shard)), pa.array(place * length * width), tokens, pa.array(crc, pa.int64())], ["doc_id", "seq", "slot", "shard", "byte_offset", "n_tokens", "crc32"])
+
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            ids = np.asarray(batch[3])
-            raw, off = flat(batch[5])
-            for lo, hi in zip((cuts := [0, *(np.flatnonzero(np.diff(ids)) + 1), len(ids)]), cuts[1:]):
-                if lo < hi and ids[lo] != shard:
-                    close()
-                    shard, mine = int(ids[lo]), f"{root}/.{int(ids[lo])}-{uuid.uuid4().hex}"
-                    out = store.open_output_stream(mine)
-                out.write(raw[off[lo] : off[hi]].tobytes()) if lo < hi else None
-            crc = [zlib.crc32(raw[a:b]) for a, b in zip(off, off[1:])]
-            place = (np.asarray(batch[2]) - ids * slots_per_shard) * length * width
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(place), batch[4], pa.array(crc, pa.int64())], ["doc_id", "seq", "slot", "shard", "byte_offset", "n_tokens", "crc32"])
-        close()
+            for i, shard in enumerate(batch[0].to_pylist()):
+                if held and held[0][0][0].as_py() != shard:
+                    yield close(held[0][0][0].as_py(), held)
+                    held = []
+                held.append(batch.slice(i, 1))
+        if held:
+            yield close(held[0][0][0].as_py(), held)
 
     n_shards = max(1, -(-total // slots_per_shard))
-    placed = rows.mapInArrow(number, f"doc_id {kind}, seq long, slot long, shard long, n_tokens long, data binary")
-    ranged = placed.repartitionByRange(min(n_shards, 65536), "shard").sortWithinPartitions("slot")
+    placed = rows.mapInArrow(number, f"shard long, doc_id array<{kind}>, seq array<long>, slot array<long>, n_tokens array<long>, data binary")
+    ranged = placed.repartitionByRange(min(n_shards, 65536), "shard").sortWithinPartitions("shard")
     return ranged.mapInArrow(write, f"doc_id {kind}, seq long, slot long, shard long, byte_offset long, n_tokens long, crc32 long")
 
 
