@@ -1,3 +1,62 @@
-STAGES = []
+"""A corpus pipeline of five stages; each works on all that the one before it kept.
+
+quality classifier -> line dedup -> n-gram Jaccard join -> benchmark decontamination -> byte-level BPE
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from langlens.llm import bpe, decontaminate, jaccard, linededup, quality
+from langlens.llm.common import written
+
+#: The classifier and the component search are no SQL; tests hold the rows against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir): return None
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.filter_quality(docs, quality.train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated and near-repeated lines go, and documents that consisted of them."""
+    return linededup.rewrite(docs)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: that of the smallest id."""
+    return jaccard.keep_one(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with windows of two or more benchmark items go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, ids, n_tokens and the SHA-256 of the decoded text."""
+    import public_tokenizers
+
+    rows = docs.select("doc_id", "lang", "source", "text")
+    out = bpe.assembled(rows, ["doc_id", "lang", "source"], public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=True)
+    return out.select("doc_id", "lang", "source", "ids", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality classifier", filter_quality),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", dedup_documents),
+    ("benchmark decontamination", drop_leaks),
+    ("byte-level BPE", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = written(docs, f"stage{i + 1}")
+    return docs

@@ -93,6 +93,21 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "k1", "k2", "text", F.size("l").cast("bigint").alias("n_lines"), F.coalesce(F.size(F.coalesce("gone", none)), F.lit(0)).cast("bigint").alias("n_removed"), F.array_join(kept, "\n").alias("kept"), F.size(F.filter(kept, lambda x: x.rlike(r"\S"))).alias("n_visible"))
 
 
+def rewrite(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with text (and n_chars, if there) as the kept lines; documents of which only blank lines
+    are left, after others were removed, go."""
+    gone = removed_lines(docs).groupBy("k1", "k2").agg(F.collect_set("no").alias("__gone"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    mine = docs.withColumns({"__k1": F.xxhash64("doc_id", text), "__k2": F.xxhash64(text, "doc_id", F.lit("k2"))})
+    rows = mine.join(gone, (mine["__k1"] == gone["k1"]) & (mine["__k2"] == gone["k2"]), "left").drop("__k1", "__k2", "k1", "k2")
+    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__gone", i))
+    rows = rows.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    rows = rows.where(F.col("__gone").isNull() | F.col("text").rlike(r"\S"))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return rows.select(*docs.columns)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the SHA-256 of the kept text, for each document."""
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
