@@ -28,7 +28,7 @@ from .common import RollingHash, documents, flat, lower, steps, words, written
 WORDS = 5
 #: Similarity as a fraction, compared in whole numbers: UP * intersection >= OF * union.
 UP, OF = 100, 80
-ORDERS = (0x0, 0xA5A5A5A55A5A5A5B, 0x3C3C3C3CC3C3C3C5)
+ORDERS = 3
 
 
 def shingles(raw: np.ndarray, at: np.ndarray, roll: RollingHash, n: int = WORDS) -> list[np.ndarray]:
@@ -126,14 +126,28 @@ def _named(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "sid long, text string")
 
 
+#: Leaders of one key that a task holds at a time.
+LEADERS = 8
+
+
 def leader_links(sets: DataFrame) -> DataFrame:
-    """(a, b): sets with a leader that they are similar to, verified; a task holds one leader at a time."""
-    keys = F.array(*(F.array_min(F.transform("items", lambda h, o=o: F.xxhash64(h, F.lit(o)))) for o in range(len(ORDERS))))
-    spread = sets.select("sid", "n", "items", F.posexplode(keys).alias("o", "key")).withColumn("salt", F.col("sid") % 8)
+    """(a, b): sets with a leader that they are similar to, verified.
+
+    Two rounds: hot keys are salted in the first; sets that follow no leader, the leaders among them, meet unsalted
+    in the second. A task holds LEADERS sets at a time; what stays unlinked here is left to the prefix lists.
+    """
+    first = written(_leader_round(sets, 8), "leaders")
+    rest = sets.join(first.select(F.col("a").alias("sid")).distinct(), "sid", "left_anti")
+    return first.unionByName(_leader_round(rest, 1))
+
+
+def _leader_round(sets: DataFrame, salts: int) -> DataFrame:
+    keys = F.array(*(F.array_min(F.transform("items", lambda h, o=o: F.xxhash64(h, F.lit(o)))) for o in range(ORDERS)))
+    spread = sets.select("sid", "n", "items", F.posexplode(keys).alias("o", "key")).withColumn("salt", F.pmod("sid", F.lit(salts)))
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, lead, lead_set = None, None, None
+        head, leads = None, []
         for b in batches:
             raw, at = b[2].flatten(), np.asarray(b[2].offsets) - b[2].offsets[0].as_py()
             items = np.asarray(raw).view(np.uint64)
@@ -141,9 +155,11 @@ def leader_links(sets: DataFrame) -> DataFrame:
             for i, (sid, group) in enumerate(zip(b[0].to_pylist(), zip(b[3].to_pylist(), b[4].to_pylist(), b[5].to_pylist()))):
                 mine = items[at[i] : at[i + 1]]
                 if group != head:
-                    head, lead, lead_set = group, sid, mine.copy()
-                elif linked(mine, lead_set):
-                    out.append((sid, lead))
+                    head, leads = group, []
+                near = [lead for lead, other in leads if linked(mine, other)]
+                out += [(sid, lead) for lead in near]
+                if not near and len(leads) < LEADERS:
+                    leads.append((sid, mine.copy()))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     dealt = spread.repartition(parts, "o", "key", "salt").sortWithinPartitions("o", "key", "salt", "n", "sid")
