@@ -84,34 +84,39 @@ def nb_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bayes.best(bayes.scores(held, model, "doc_id", "candidates", _words()), "doc_id")
 
 
+def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections, kept: reports read them more than once, and their filters stay above the rules."""
+    return detect.detect(files(spark, sf_dir)).persist()
+
+
 def detect_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.detect(files(spark, sf_dir)).select("path", "strategy", "language")
 
 
 def language_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = breakdown.language_breakdown(detect.detect(files(spark, sf_dir)))
+    out = breakdown.language_breakdown(_detected(spark, sf_dir))
     return out.select("language", "n", F.array_join(F.transform("files", lambda x: F.concat(x["path"], F.lit("="), x["strategy"])), " ").alias("files"))
 
 
 def language_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = breakdown.language_split(detect.detect(files(spark, sf_dir)))
+    out = breakdown.language_split(_detected(spark, sf_dir))
     return out.select("language", "n", F.round("percent", 6).alias("percent"))
 
 
 def file_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return breakdown.file_breakdown(detect.detect(files(spark, sf_dir)))
+    return breakdown.file_breakdown(_detected(spark, sf_dir))
 
 
 def strategy_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return breakdown.strategy_breakdown(detect.detect(files(spark, sf_dir)))
+    return breakdown.strategy_breakdown(_detected(spark, sf_dir))
 
 
 def header_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return breakdown.strategy_breakdown(detect.detect(files(spark, sf_dir)), ["^Ext", "bang$"])
+    return breakdown.strategy_breakdown(_detected(spark, sf_dir), ["^Ext", "bang$"])
 
 
 def language_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect.detect(files(spark, sf_dir)).where("language is not null")
+    found = _detected(spark, sf_dir).where("language is not null")
     return found.join(F.broadcast(builtin().languages_table(spark)), "language").groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("language").alias("languages"))
 
 

@@ -1,0 +1,112 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from langlens import fixed_values as fixed
+from langlens.catalog import builtin
+from langlens.functions import paths, text, tokens
+from langlens.operators import bayes, candidates, detect, rules
+from langlens.plans import queries
+from langlens.sources import files
+
+from .oracle import same
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["extension_extract", "shebang_language", "truncate_bytes", "nb_classify", "detect_full", "language_split", "header_filter"])
+def test_against_sql(spark, name):
+    same(queries.queries()[name](spark, SF), queries.oracle_sql()[name], SF)
+
+
+def column(spark, values, kind="string"):
+    return spark.createDataFrame([(v,) for v in values], f"x {kind}")
+
+
+def test_extension(spark):
+    got = column(spark, [".cs", "x.cmake.in", "uppercase.C", "a.b.rs", "none", "x.nope", ".eslintrc.json", None])
+    known = [".cs", ".cmake.in", ".in", ".c", ".rs", ".json"]
+    assert [r[0] for r in got.select(paths.extension(F.col("x"), known)).collect()] == [None, ".cmake.in", ".c", ".rs", None, None, ".json", None]
+
+
+def test_shebang(spark):
+    cases = {
+        "#!/usr/bin/python": "python", "#!/usr/bin/env python": "python", "#!/usr/bin/python2.6.3": "python", "#!/usr/bin/env  node -x\r\nz": "node", "#!": "#!", "": None, " #!/bin/sh": None,
+        "#!/bin/sh\n\n\nexec foo -x \"$0\" \"$@\"": "foo", "#!/bin/sh\n": "sh", None: None, "#!bash": "#!bash", "#!/usr/bin/env": None,
+    }
+    rows = column(spark, list(cases)).select("x", text.interpreter(F.col("x")).alias("i")).collect()
+    assert {r.x: r.i or None for r in rows} == {k: v or None for k, v in cases.items()}
+
+
+def test_narrow(spark):
+    cases = [([], ["a"], ["a"]), (["a", "b"], [], ["a", "b"]), (["a", "b", "c"], ["c", "b"], ["b", "c"]), (["a"], ["z"], ["a"]), ([], [], [])]
+    df = spark.createDataFrame([(a, b) for a, b, _ in cases], "a array<string>, b array<string>")
+    assert [r[0] for r in df.select(candidates.narrow(F.col("a"), F.col("b"))).collect()] == [c for *_, c in cases]
+
+
+def test_globs():
+    hit = lambda globs, p: any(re.search(paths.glob_regex(g), p) for g in globs)
+    assert hit(fixed.DOCUMENTATION_GLOBS, "a/docs/x.md") and hit(fixed.DOCUMENTATION_GLOBS, "README.md") and not hit(fixed.DOCUMENTATION_GLOBS, "src/mydocs/x")
+    assert hit(fixed.VENDOR_GLOBS, "a/x.min.js") and hit(fixed.VENDOR_GLOBS, "configure") and not hit(fixed.VENDOR_GLOBS, "dir/dirs/configure/dirdir")
+
+
+def test_all_rule_patterns_compile(spark):
+    df = column(spark, ["x"])
+    held = [rules.condition(rule, F.col("x"), fixed.NAMED) for _, block in fixed.RULES for _, rule in block]
+    assert len(df.select(F.array(*held)).first()[0]) == sum(len(block) for _, block in fixed.RULES)
+
+
+@pytest.mark.parametrize(
+    "code, want",
+    [
+        ("x-1 + 1.1.4", ["x", "-1", "+", "1.1", ".", "4"]),
+        ("a /* b\n c */ d", ["a", "/* b\n c */", "d"]),
+        ("/* open", ["/", "*", "open"]),
+        ("s = \"a \\\" b\" '' '''x\n'y'''", ["s", "=", '"a \\" b"', "''", "'''x\n'y'''"]),
+        ('"open\nz', ['"', "open", "z"]),
+        ("0x1F 0b01 #c d\n%% e", ["0x1F", "0b01", "#c d", "%% e"]),
+        ("京y <!DOCTYPE", ["京y", "<", "!", "DOCTYPE"]),
+        ("", []),
+    ],
+)
+def test_tokens(spark, code, want):
+    assert column(spark, [code]).select(tokens.lexemes(F.col("x"))).first()[0] == want
+
+
+def test_rules_and_detection(spark):
+    rows = [
+        ("a.rs", b"use std::io;"), ("a.h", b"int x;"), ("b.h", b"std::vector<int> x;"), ("Makefile", b"\xff"), ("a.py", None), ("x/run", b"#!/usr/bin/env ruby"), ("bad.ts", b"\xff\xfe"), ("n.zzz", b""), ("e.md", b""), ("dir/", b""),
+    ]
+    got = {r.path: (r.strategy, r.language, r.error is not None) for r in detect.detect(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert got == {
+        "a.rs": ("Heuristics", "Rust", False), "a.h": ("Heuristics", "C", False), "b.h": ("Heuristics", "C++", False), "Makefile": ("Filename", "Makefile", False), "a.py": ("Extension", "Python", False),
+        "x/run": ("Shebang", "Ruby", False), "bad.ts": (None, None, True), "n.zzz": (None, None, False), "e.md": ("Heuristics", "Markdown", False), "dir/": (None, None, False),
+    }
+
+
+def test_classifier(spark):
+    model = bayes.fit(spark.createDataFrame([("A", "x x y"), ("B", "y z"), ("C", None)], "language string, text string"))
+    got = spark.createDataFrame([("p", "x q", ["B", "A"]), ("q", "", ["B", "A"]), ("r", "x", ["Z", "B"])], "path string, text string, candidates array<string>")
+    assert {r.path: r.language for r in bayes.classify(got, model).collect()} == {"p": "A", "q": "B", "r": "B"}
+    files_ = spark.createDataFrame([("a.b", b"x"), ("c.b", b"")], "path string, content binary")
+    trained = bayes.fit(spark.createDataFrame([("Limbo", "x"), ("Brainfuck", "y")], "language string, text string"))
+    found = {r.path: (r.strategy, r.language) for r in detect.detect(files_, trained).collect()}
+    assert found == {"a.b": ("Classifier", "Limbo"), "c.b": ("Classifier", builtin().extensions[".b"][0])}
+
+
+def test_walk_and_cli(spark, tmp_path, capsys):
+    from langlens.cli import main
+
+    for p, body in {"src/a.py": "x=1", "src/_b.py": "", "docs/x.py": "", ".git/z.py": "", "skip.js": "", ".gitignore": "skip.js\n", "run": "#!/bin/bash"}.items():
+        (tmp_path / p).parent.mkdir(exist_ok=True, parents=True)
+        (tmp_path / p).write_text(body)
+    assert [p for p, _ in files.walk(str(tmp_path))] == ["docs/x.py", "run", "src/_b.py", "src/a.py"]
+    assert main([str(tmp_path), "-b", "-s", "-n"], spark) == 0
+    out = capsys.readouterr().out
+    assert "66.67% Python" in out and "33.33% Shell" in out and "run (Shell)" in out and "Extension (2)" in out
+
+
+def test_unknown_language():
+    with pytest.raises(KeyError):
+        builtin().language("nope")
