@@ -57,9 +57,9 @@ def detect(files: DataFrame, model: DataFrame | None = None, catalog: Catalog |
     if model is None:
         last = opened.withColumn("language", F.when(F.col("strategy") == "Classifier", F.get("candidates", 0)).otherwise(F.col("language")))
     else:
-        # A filter on the strategy would be pushed below the rules and repeat them; empty arrays explode to nothing.
+        # Kept, as it is read three times; only undecided rows keep their text.
         open_ = F.col("strategy") == "Classifier"
-        asked = opened.select("path", F.when(open_, F.col("candidates")).alias("asked"), F.when(open_, F.col("text")).alias("text"))
-        picked = bayes.best(bayes.scores(asked, model, "path", "asked", key_tokens(F.col("text"))), "path").withColumnRenamed("language", "picked")
-        last = opened.join(picked, "path", "left").withColumn("language", F.coalesce("picked", "language"))
+        kept = opened.select("path", "strategy", "language", "error", F.when(open_, F.col("candidates")).alias("asked"), F.when(open_, F.col("text")).alias("text")).persist()
+        picked = bayes.best(bayes.scores(kept, model, "path", "asked", key_tokens(F.col("text"))), "path").withColumnRenamed("language", "picked")
+        last = kept.join(picked, "path", "left").withColumn("language", F.coalesce("picked", "language"))
     return done.unionByName(last.select("path", "strategy", "language", "error"))
