@@ -53,10 +53,13 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     lengths, total = sorted({r["len"] for r in shape} | {window}), sum(r["n"] for r in shape)
     base = keyed(docs)
     hashed = base.select("k1", "k2", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    scans = [hashed.select("k1", "k2", F.posexplode(_hashes(F.col("h"), n)).alias("pos", "hash"), F.lit(n).alias("len")) for n in lengths]
-    scan = scans[0]
-    for more in scans[1:]:
-        scan = scan.unionByName(more)
+
+    def placed(n: int) -> Column:
+        return F.transform(_hashes(F.col("h"), n), lambda x, i: F.struct(i.alias("pos"), F.lit(n).alias("len"), x.alias("hash")))
+
+    # One scan for all lengths.
+    every = F.concat(*(placed(n) for n in lengths))
+    scan = hashed.select("k1", "k2", F.explode(every).alias("x")).select("k1", "k2", "x.pos", "x.len", "x.hash")
     side = F.broadcast(items) if total <= BROADCAST_WINDOWS else items
     found = scan.join(side, ["hash", "len"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "len", "item_id", "words")).alias("found"))
     true = F.filter("found", lambda x: F.slice(F.col("w"), x["pos"] + 1, x["len"]) == x["words"])
