@@ -8,10 +8,12 @@ texts and empty tables have no windows. Rows with equal id and text get equal re
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed
+from .common import keyed, written
 
 WINDOW = 8
 MIN_ITEMS = 2
@@ -22,86 +24,111 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _PIECES = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
+_APART = "".join(c for c in map(chr, range(128)) if not c.isalnum())
+
+
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(WORD), 0)
+    """WORD matches of the text in lower case: all other ASCII becomes blanks, at which the text is split."""
+    plain = F.trim(F.translate(text, _UPPER + _APART, _LOWER + " " * len(_APART)))
+    return F.filter(F.split(plain, " +"), lambda w: w != "")
 
 
-def _hashes(hashed: Column, n: int) -> Column:
-    """Hashes of all windows of n words, from the words' hashes."""
-    empty = F.array().cast("array<bigint>")
-    at = F.sequence(F.lit(0), F.size(hashed) - n)
-    return F.when(F.size(hashed) >= n, F.transform(at, lambda i: F.xxhash64(*(F.get(hashed, i + k) for k in range(n))))).otherwise(empty)
+def _hash(word, n: int) -> Column:
+    """The hash of a window, from word(k), the hash of its k-th word."""
+    return F.xxhash64(*(word(k) for k in range(n)))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, len, words, hash), each distinct window of an item once."""
-    items = benchmark.select("item_id", words(F.coalesce("text", F.lit(""))).alias("w")).where(F.size("w") > 0)
+    """(len, words, items, hash): each distinct window once, with the ids of its items."""
+    rows = benchmark.select("item_id", words(F.coalesce("text", F.lit(""))).alias("w")).where(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(window))
     cut = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, n))
-    rows = items.select("item_id", F.explode(cut).alias("words")).distinct().withColumn("len", F.size("words"))
-    hashed = F.transform("words", lambda w: F.xxhash64(w))
+    each = rows.select("item_id", F.explode(cut).alias("words")).groupBy("words").agg(F.collect_set("item_id").alias("items")).withColumn("len", F.size("words"))
+    of = lambda n: _hash(lambda k: F.xxhash64(F.get("words", F.lit(k))), n)
     case = F.lit(None).cast("bigint")
-    for k in range(window, 0, -1):
-        case = F.when(F.col("len") == k, F.get(_hashes(hashed, k), 0)).otherwise(case)
-    return rows.withColumn("hash", case)
+    for k in range(1, window + 1):
+        case = F.when(F.col("len") == k, of(k)).otherwise(case)
+    return each.withColumn("hash", case)
+
+
+def _bits(hashes: list[int]) -> Column:
+    """Column -> Column factory: whether a hash may be one of hashes; a bit map of at least 64 bits for each."""
+    size = 1 << max(16, (64 * len(hashes)).bit_length())
+    longs = [0] * (size // 64)
+    for h in hashes:
+        longs[(h & (size - 1)) >> 6] |= 1 << (h & 63)
+    table = F.from_json(F.lit(json.dumps([x - (1 << 64) if x >> 63 else x for x in longs])), "array<bigint>")
+    return lambda h: F.getbit(F.get(table, F.shiftright(h.bitwiseAND(F.lit(size - 1)), 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs (doc_id, text, k1, k2) with the words, and the verified hits: array<struct<pos, len, item_id>>, pos from 0."""
-    items = benchmark_windows(benchmark, window)
-    shape = items.groupBy("len").agg(F.count("*").alias("n")).collect()  # at most `window` rows
-    lengths, total = sorted({r["len"] for r in shape} | {window}), sum(r["n"] for r in shape)
-    base = keyed(docs)
-    hashed = base.select("k1", "k2", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    """k1, k2 (of keyed()), doc_id, copies (equal rows), n_words, spans and items of every text: distinct
+    array<struct<pos, len>>, pos from 0, and distinct item ids; both are empty without hits.
+
+    One narrow scan hashes every window of words; what is in no benchmark text ends there, by a bit map of the
+    benchmark's hashes; the rest is joined with the benchmark's windows and verified on the words. A row of
+    length 0 carries the number of words.
+    """
+    windows = written(benchmark_windows(benchmark, window), "windows")
+    total = windows.count()
+    small = total <= BROADCAST_WINDOWS
+    known = windows.select("len", "hash").collect() if small else []  # at most BROADCAST_WINDOWS rows
+    lengths = [r["len"] for r in windows.select("len").distinct().orderBy("len").collect()]  # at most `window` rows
+    base = keyed(docs).select("k1", "k2", "doc_id", words(F.col("text")).alias("w"))
+    hashed = base.withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
 
     def placed(n: int) -> Column:
-        return F.transform(_hashes(F.col("h"), n), lambda x, i: F.struct(i.alias("pos"), F.lit(n).alias("len"), x.alias("hash")))
-
-    # One scan for all lengths.
-    every = F.concat(*(placed(n) for n in lengths))
-    scan = hashed.select("k1", "k2", F.explode(every).alias("x")).select("k1", "k2", "x.pos", "x.len", "x.hash")
-    side = F.broadcast(items) if total <= BROADCAST_WINDOWS else items
-    found = scan.join(side, ["hash", "len"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "len", "item_id", "words")).alias("found"))
-    true = F.filter("found", lambda x: F.slice(F.col("w"), x["pos"] + 1, x["len"]) == x["words"])
-    hits = F.transform(true, lambda x: F.struct(x["pos"].alias("pos"), x["len"].alias("len"), x["item_id"].alias("item_id")))
-    out = base.join(found, ["k1", "k2"], "left").withColumn("w", words(F.col("text")))
-    return out.withColumn("hits", F.when(F.col("found").isNotNull(), hits)).drop("found")
-
-
-def _covered(hits: Column) -> Column:
-    """Number of words inside any hit: the union of the intervals, from left to right."""
-    spans = F.array_sort(F.array_distinct(F.transform(hits, lambda x: F.struct(x["pos"].alias("a"), (x["pos"] + x["len"]).alias("b")))))
+        at = F.when(F.size("h") >= n, F.sequence(F.lit(0), F.size("h") - n)).otherwise(F.array().cast("array<int>"))
+        if small:
+            may = _bits([r["hash"] for r in known if r["len"] == n])
+            at = F.filter(at, lambda i: may(_hash(lambda k: F.get("h", i + k), n)))
+        return F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), _hash(lambda k: F.get("h", i + k), n).alias("hash"), F.slice("w", i + 1, F.lit(n)).alias("words")))
+
+    whole = F.array(F.struct(F.size("w").alias("pos"), F.lit(0).alias("len"), F.lit(0).cast("bigint").alias("hash"), F.array().cast("array<string>").alias("words")))
+    scan = hashed.select("k1", "k2", "doc_id", F.explode(F.concat(whole, *map(placed, lengths))).alias("x")).select("k1", "k2", "doc_id", "x.*")
+    side = windows.select("hash", F.col("len").alias("len_"), F.col("words").alias("words_"), "items")
+    found = scan.join(F.broadcast(side) if small else side, "hash", "left").where("len = 0 or (len = len_ and words = words_)")
+    head = F.col("len") == 0
+    span = F.when(~head, F.struct("pos", "len"))
+    per_text = found.groupBy("k1", "k2", "doc_id").agg(
+        F.count_if(head).alias("copies"), F.max(F.when(head, F.col("pos"))).cast("bigint").alias("n_words"),
+        F.collect_set(span).alias("spans"), F.collect_set(F.when(~head, F.col("items"))).alias("items"),
+    )
+    return per_text.withColumn("items", F.array_distinct(F.flatten("items")))
+
+
+def _covered(spans: Column) -> Column:
+    """Number of words inside any span: the union of the intervals, from left to right."""
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n"))
+    ends = F.array_sort(F.transform(spans, lambda x: F.struct(x["pos"].alias("a"), (x["pos"] + x["len"]).alias("b"))))
     step = lambda s, x: F.struct(F.greatest(s["end"], x["b"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(s["end"], x["a"]))).cast("bigint").alias("n"))
-    return F.aggregate(spans, start, step, lambda s: s["n"])
+    return F.aggregate(ends, start, step, lambda s: s["n"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row."""
-    items = F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["item_id"].cast("string"))))
-    n = F.coalesce(F.size(F.when(F.col("hits").isNotNull(), items)), F.lit(0)).cast("bigint")
-    n = F.when(F.col("hits").isNull(), F.lit(0).cast("bigint")).otherwise(n)
-    return find_hits(docs, benchmark).select(
-        "doc_id", F.size("w").cast("bigint").alias("n_words"), F.coalesce(F.when(F.col("hits").isNotNull(), _covered(F.col("hits"))), F.lit(0)).cast("bigint").alias("n_hit"),
-        n.alias("n_items"), F.sha2(F.coalesce(F.array_join(items, ","), F.lit("")).cast("binary"), 256).alias("items_sha256"), (n >= min_items).alias("contaminated"),
-    )
+    ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    each = find_hits(docs, benchmark).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    n = F.size("items").cast("bigint")
+    return each.select("doc_id", "n_words", _covered(F.col("spans")).alias("n_hit"), n.alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (n >= min_items).alias("contaminated"))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id and the text without the hit words and the separators after them."""
+    first = F.when(F.substring("text", 1, 1).rlike(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), F.lit(1)).otherwise(F.lit(0))
     pieces = F.regexp_extract_all("text", F.lit(_PIECES), 0)
-    number = lambda i: F.when(F.substring("text", 1, 1).rlike(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), F.floor((i - 1) / 2)).otherwise(F.floor(i / 2))
-    keep = F.filter(F.col("pieces"), lambda p, i: ~F.exists("hits", lambda x: (x["pos"] <= number(i)) & (number(i) < x["pos"] + x["len"])))
-    out = find_hits(docs, benchmark).withColumn("pieces", pieces)
-    return out.select("doc_id", F.when(F.col("hits").isNull(), F.col("text")).otherwise(F.array_join(keep, "")).alias("text"))
+    rows = keyed(docs).join(find_hits(docs, benchmark).where(F.size("spans") > 0).drop("doc_id"), ["k1", "k2"], "left").withColumns({"pieces": pieces, "skip": first})
+    number = lambda i: F.floor((i - F.col("skip")) / 2)
+    keep = F.filter("pieces", lambda p, i: ~F.exists("spans", lambda x: (x["pos"] <= number(i)) & (number(i) < x["pos"] + x["len"])))
+    return rows.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(keep, "")).alias("text"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
     """The rows of docs, all columns, whose text holds windows of fewer than min_items items. Null ids are kept apart by the text."""
-    bad = find_hits(docs, benchmark).where(F.col("hits").isNotNull() & (F.size(F.array_distinct(F.transform("hits", lambda x: x["item_id"]))) >= min_items)).select("k1", "k2").distinct()
+    bad = find_hits(docs, benchmark).where(F.size("items") >= min_items).select(F.struct("k1", "k2").alias("bad"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    mine = docs.withColumns({"__k1": F.xxhash64("doc_id", text), "__k2": F.xxhash64(text, "doc_id", F.lit("k2"))})
-    return mine.join(bad, (mine["__k1"] == bad["k1"]) & (mine["__k2"] == bad["k2"]), "left_anti").drop("__k1", "__k2")
+    key = F.struct(F.xxhash64(docs["doc_id"], text).alias("k1"), F.xxhash64(text, docs["doc_id"], F.lit("k2")).alias("k2"))
+    return docs.join(bad, key == bad["bad"], "left_anti")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
