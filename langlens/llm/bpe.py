@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import RollingHash, documents, flat, ragged, steps
 
 LONG_WORD = 200
-BLOCK_BYTES = 4 << 20
+#: Bytes of text in a block: the more, the fewer words are encoded in several blocks.
+BLOCK_BYTES = 24 << 20
 _BUCKETS = 8192
 
 
