@@ -28,6 +28,8 @@ from .common import RollingHash, documents, flat, ragged, steps
 LONG_WORD = 200
 #: Bytes of text in a block: the more, the fewer words are encoded in several blocks.
 BLOCK_BYTES = 24 << 20
+#: Words that are put together at a time; a longer document is a step of its own.
+STEP_WORDS = 200_000
 _BUCKETS = 8192
 
 
@@ -205,19 +207,43 @@ def blocks(docs: DataFrame, names: list[str]) -> DataFrame:
     """Blocks of documents: the columns `names` as arrays, n_words of each document, word numbers, distinct words."""
     fields = ", ".join(f"`{n}` array<{docs.schema[n].dataType.simpleString()}>" for n in names)
 
+    k = len(names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = RollingHash()
+        seen: dict[int, int] = {}
+        held: list[list] = [[] for _ in range(k + 3)]  # names, n_words, numbers, distinct words
+        size = 0
+
+        def close() -> pa.RecordBatch:
+            cols = [pa.concat_arrays(held[i]) for i in range(k)]
+            one = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in cols]
+            counts, numbers = np.concatenate(held[k]), np.concatenate(held[k + 1]).tobytes()
+            return pa.RecordBatch.from_arrays([*one, pa.array([counts], pa.list_(pa.int64())), pa.array([numbers], pa.binary()), pa.array([held[k + 2]], pa.list_(pa.string()))], [*names, "n_words", "numbers", "words"])
+
         for batch in batches:
-            raw_all, at_all = flat(batch[len(names)])
-            for lo, hi in steps(at_all, BLOCK_BYTES):
+            raw_all, at_all = flat(batch[k])
+            for lo, hi in steps(at_all):
                 raw, at = raw_all[at_all[lo] : at_all[hi]], at_all[lo : hi + 1] - at_all[lo]
+                if size and size + len(raw) > BLOCK_BYTES:
+                    yield close()
+                    seen, held, size = {}, [[] for _ in range(k + 3)], 0
+                size += len(raw)
                 start, by_doc = split_words(raw, at)
                 end = np.append(start[1:], len(raw)) if len(start) else start
-                _, first, number = np.unique(roll.slices(roll.prefix(raw), start, end), return_index=True, return_inverse=True)
+                hashes, first, number = np.unique(roll.slices(roll.prefix(raw), start, end), return_index=True, return_inverse=True)
                 data = raw.tobytes()
-                distinct = [data[a:b].decode("latin-1") for a, b in zip(start[first].tolist(), end[first].tolist())]
-                cols = [pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch[i].slice(lo, hi - lo)) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([np.diff(by_doc)], pa.list_(pa.int64())), pa.array([number.astype("<u4").tobytes()], pa.binary()), pa.array([distinct], pa.list_(pa.string()))], [*names, "n_words", "numbers", "words"])
+                place = np.empty(len(hashes), "<u4")
+                for i, (h, x, y) in enumerate(zip(hashes.tolist(), start[first].tolist(), end[first].tolist())):
+                    if (at_block := seen.setdefault(h, len(seen))) == len(held[k + 2]):
+                        held[k + 2].append(data[x:y].decode("latin-1"))
+                    place[i] = at_block
+                for i in range(k):
+                    held[i].append(batch[i].slice(lo, hi - lo))
+                held[k].append(np.diff(by_doc))
+                held[k + 1].append(place[number])
+        if held[k]:
+            yield close()
 
     text = F.coalesce(F.col("text"), F.lit("")).alias("__text")
     return docs.select(*names, text).mapInArrow(run, f"{fields}, n_words array<long>, numbers binary, words array<string>")
@@ -258,27 +284,29 @@ def assembled(docs: DataFrame, names: list[str], vocabulary: str, with_ids: bool
                     codes = pa.array([merge_long(w.encode("latin-1"), ranks) if c is None else c for c, w in zip(codes.to_pylist(), decoded.to_pylist())], pa.list_(pa.int32()))
                 size = np.asarray(codes.value_lengths()).astype(np.int64)
                 ids, first = np.asarray(codes.flatten()).astype(np.int64), np.cumsum(size) - size
-                total = np.concatenate([[0], np.cumsum(size[number])])
-                cut = np.concatenate([[0], np.cumsum(n_words)])
                 binary = [w.encode("latin-1") for w in decoded.to_pylist()]
                 bsize = np.array([len(w) for w in binary], np.int64)
-                btext = ragged(np.frombuffer(b"".join(binary), np.uint8), (np.cumsum(bsize) - bsize)[number], bsize[number])
-                bcut = np.concatenate([[0], np.cumsum(bsize[number])])[cut]
-                tcut = total[cut]
-                if with_ids:
-                    flat_ids = ragged(ids, first[number], size[number]).astype(np.int32)
-                    out = [pa.ListArray.from_arrays(pa.array(tcut, pa.int32()), pa.array(flat_ids)), pa.array([btext[a:b].tobytes().decode() for a, b in zip(bcut, bcut[1:])], pa.string())]
-                    yield pa.RecordBatch.from_arrays([*cols, *out], [*names, "ids", "decoded"])
-                    continue
+                pieces, bfirst = np.frombuffer(b"".join(binary), np.uint8), np.cumsum(bsize) - bsize
                 digits = ragged(pool, place[ids], width[ids])
                 dsize = np.diff(np.concatenate([[0], np.cumsum(width[ids])])[np.concatenate([first, [len(ids)]])]) if len(size) else size
-                text = ragged(digits, (np.cumsum(dsize) - dsize)[number], dsize[number])
-                dcut = np.concatenate([[0], np.cumsum(dsize[number])])[cut]
-                sha = lambda x: hashlib.sha256(x).hexdigest()
-                yield pa.RecordBatch.from_arrays(
-                    [*cols, pa.array(np.diff(tcut)), pa.array([sha(text[a : max(a, b - 1)]) for a, b in zip(dcut, dcut[1:])], pa.string()), pa.array([sha(btext[a:b]) for a, b in zip(bcut, bcut[1:])], pa.string())],
-                    [*names, "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+                dfirst = np.cumsum(dsize) - dsize
+                every = np.concatenate([[0], np.cumsum(n_words)])
+                for lo, hi in steps(every, STEP_WORDS):
+                    mine, cut = number[every[lo] : every[hi]], every[lo : hi + 1] - every[lo]
+                    ends = lambda n: np.concatenate([[0], np.cumsum(n[mine])])[cut]  # noqa: B023, E731
+                    btext, bcut, tcut = ragged(pieces, bfirst[mine], bsize[mine]), ends(bsize), ends(size)
+                    own = [c.slice(lo, hi - lo) for c in cols]
+                    if with_ids:
+                        flat_ids = ragged(ids, first[mine], size[mine]).astype(np.int32)
+                        out = [pa.ListArray.from_arrays(pa.array(tcut, pa.int32()), pa.array(flat_ids)), pa.array([btext[a:b].tobytes().decode() for a, b in zip(bcut, bcut[1:])], pa.string())]
+                        yield pa.RecordBatch.from_arrays([*own, *out], [*names, "ids", "decoded"])
+                        continue
+                    text, dcut = ragged(digits, dfirst[mine], dsize[mine]), ends(dsize)
+                    sha = lambda x: hashlib.sha256(x).hexdigest()
+                    yield pa.RecordBatch.from_arrays(
+                        [*own, pa.array(np.diff(tcut)), pa.array([sha(text[a : max(a, b - 1)]) for a, b in zip(dcut, dcut[1:])], pa.string()), pa.array([sha(btext[a:b]) for a, b in zip(bcut, bcut[1:])], pa.string())],
+                        [*names, "n_tokens", "ids_sha256", "decoded_sha256"],
+                    )
 
     return encoded_blocks(docs, names, vocabulary).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in kinds.items()) + f", {rest}")
 
