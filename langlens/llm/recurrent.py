@@ -4,8 +4,8 @@ Tokens are white-space words (A-Z in lower case) and one end per text. Counts co
 The HEAD most frequent tokens have embeddings and, in classes of like frequency, output weights; all other
 tokens share one class, in which the add-one unigram model of the rare tokens (one share of it for unseen ones)
 decides, so that the probabilities of all tokens sum to one. Training is truncated backpropagation through
-windows of WINDOW steps with the state carried on, over a share of the training documents that grows with the
-input, by trainers whose weights are averaged. Scoring carries the state over the whole document.
+windows of WINDOW steps with the state carried on, over all training documents, by trainers that grow in number
+with the input and whose weights are averaged. Scoring carries the state over the whole document.
 
 Null texts are empty texts: one end. Rows with a null id are scored, never learned from, and held out: null.
 """
@@ -27,9 +27,11 @@ HEAD = 1024
 CLASSES = 32
 HIDDEN = 24
 WINDOW = 32
-#: One training document in TRAIN_SHARE (by a hash of its text) feeds the gradients; counts take all.
-TRAIN_SHARE = 12
 TRAINERS = 8
+#: Tokens that one trainer takes; a larger input has more trainers.
+TRAINER_TOKENS = 3_000_000
+#: Weights travel to their average in pieces of so many numbers.
+PIECE = 1 << 13
 ROUNDS = 2
 #: The most frequent tokens, whose counts every task holds; counts of the others are joined.
 FREQUENT = 100_000
@@ -88,8 +90,16 @@ class Model:
         mass = np.concatenate([np.exp(c).sum(1), [rare_total + 1.0]])
         small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
         self.w = {"E": small(self.n + 1, 3 * HIDDEN), "U": small(HIDDEN, 3 * HIDDEN), "bias": np.zeros(3 * HIDDEN, np.float32), "C": np.zeros((HIDDEN, self.classes + 1), np.float32), "cb": np.log(mass).astype(np.float32), "W": np.zeros((self.classes, HIDDEN, self.width), np.float32), "wb": (c - np.log(np.exp(c).sum(1, keepdims=True))).astype(np.float32)}
+        self.trained = 0  # tokens of the last round of training
         self.rare_log = float(np.log10(rare_total + rare_types + 1))
 
+    def vector(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self.w.values()])
+
+    def load(self, every: np.ndarray) -> None:
+        cuts = np.cumsum([x.size for x in self.w.values()])[:-1]
+        self.w = {k: part.reshape(x.shape).copy() for (k, x), part in zip(self.w.items(), np.split(every, cuts))}
+
     def numbers(self, h: np.ndarray) -> np.ndarray:
         if not self.n:
             return np.zeros(len(h), np.int64)
@@ -251,28 +261,39 @@ def fit(docs: DataFrame, counts: DataFrame, trainers: int = TRAINERS, rounds: in
     h, c = np.array([r.h for r in top], np.int64), np.array([r.c for r in top], np.int64)
     head = h[:HEAD]
     model = Model(head, c[:HEAD].astype(float), int(n_all - c[:HEAD].sum()), int(v_all - len(head)))
-    share = docs.where(_learned()).where(F.pmod(F.xxhash64("text"), F.lit(TRAIN_SHARE)) == 0)
-    sample = written(share.select("text", F.xxhash64("text", F.lit(1)).alias("k")), "training")
+    # Dealt by id and text, so that the copies of one text are spread.
+    dealt = docs.where(_learned()).select("text", F.xxhash64("doc_id", "text").alias("k"))
+    trainers = max(trainers, -(-int(n_all) // TRAINER_TOKENS))
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pickle
-
         roll, total = RollingHash(), 0
         for b in batches:
             raw, at = flat(b[0])
             for lo, hi in steps(at, 8 << 20):
                 ids, cut = tokens(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], roll)
                 total += train(model, ids, cut)
-        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([pickle.dumps(model.w) if total else b""], pa.binary())], ["n", "w"])
-
-    import pickle
+        every = model.vector()
+        for k, lo in enumerate(range(0, len(every) if total else 0, PIECE)):
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total]), pa.array([every[lo : lo + PIECE].tobytes()], pa.binary())], ["k", "n", "w"])
 
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for b in batches:
+            for k, n, w in zip(*(c.to_pylist() for c in b.columns)):
+                held = sums.setdefault(k, [0, 0.0])
+                held[0] += n
+                held[1] = held[1] + n * np.frombuffer(w, np.float32).astype(np.float64)
+        for k, (n, x) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([n]), pa.array([(x / n).astype(np.float32).tobytes()], pa.binary())], ["k", "n", "w"])
+
+    kind = "k long, n long, w binary"
     for _ in range(rounds if len(head) else 0):
-        # As many sets of weights come back as there are trainers, however large the input.
-        parts = sample.repartition(trainers, "k").sortWithinPartitions("k").select("text").mapInArrow(one, "n long, w binary").collect()
-        parts = [(r.n, pickle.loads(r.w)) for r in parts if r.n]
+        # One set of weights comes back, however many trainers there are.
+        parts = dealt.repartition(trainers, "k").sortWithinPartitions("k").select("text").mapInArrow(one, kind)
+        parts = sorted(parts.repartition("k").mapInArrow(mean, kind).collect(), key=lambda r: r.k)
         if parts:
-            model.w = {k: (sum(n * w[k].astype(np.float64) for n, w in parts) / sum(n for n, _ in parts)).astype(np.float32) for k in model.w}
+            model.trained = parts[0].n
+            model.load(np.concatenate([np.frombuffer(r.w, np.float32) for r in parts]))
     return model, h, c, int(n_all), int(v_all)
 
 

@@ -81,3 +81,14 @@ def test_beats_the_unigram_base(spark):
     held = [r for r in got if r.held_out]
     print("score, base", sum(r.score for r in held) / sum(r.n_tokens for r in held), sum(r.base_score for r in held) / sum(r.n_tokens for r in held))
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_every_training_document_gives_gradients(spark):
+    rows = [(i, f"word{i % 3} and more") for i in range(40)] + [(100 + i, "one hot text") for i in range(20)]
+    docs = frame(spark, rows)
+    model, _, _, n_all, _ = recurrent.fit(docs, recurrent.token_counts(docs))
+    assert model.trained == n_all > 0
+    for i in range(3):  # whatever the one text of a table is, it is learned from
+        docs = frame(spark, [(k, f"lone text {i}") for k in range(10)])
+        model, _, _, n_all, _ = recurrent.fit(docs, recurrent.token_counts(docs), rounds=1)
+        assert model.trained == n_all and np.any(model.w["C"])
