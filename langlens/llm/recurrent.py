@@ -1,8 +1,8 @@
 """LM scoring: a gated recurrent language model with a class-factored output, in numpy.
 
 Tokens are white-space words (A-Z in lower case) and one end per text. Counts cover all training documents.
-The HEAD most frequent tokens have embeddings and, in classes of like frequency, output weights; all other
-tokens share one class, in which the add-one unigram model of the rare tokens (one share of it for unseen ones)
+The vocabulary grows with the corpus: tokens above a small count (see least_count) have embeddings and, in about
+sqrt(V) classes of like frequency, output weights; all other tokens share one class, in which the add-one unigram model of the rare tokens (one share of it for unseen ones)
 decides, so that the probabilities of all tokens sum to one. Training is truncated backpropagation through
 windows of WINDOW steps with the state carried on, over all training documents, by trainers that grow in number
 with the input and whose weights are averaged. Scoring carries the state over the whole document.
@@ -12,6 +12,7 @@ Null texts are empty texts: one end. Rows with a null id are scored, never learn
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import RollingHash, documents, flat, lower, steps, words, written
 
+#: The vocabulary has so many tokens at least, if there are as many.
 HEAD = 1024
-CLASSES = 32
 HIDDEN = 24
 WINDOW = 32
 TRAINERS = 8
@@ -60,6 +61,11 @@ def _learned() -> Column:
     return F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD_OUT)
 
 
+def least_count(n_all: int) -> int:
+    """Tokens of this count are in the vocabulary: every token of a small corpus, 48 times in 23 million tokens."""
+    return max(1, math.isqrt(n_all) // 100)
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """(h, c) of all tokens of the training documents."""
 
@@ -76,12 +82,13 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Weights and the vocabulary; tokens outside the head have number HEAD (their class is the last)."""
+    """Weights and the vocabulary; tokens outside it have number HEAD (their class is the last)."""
 
     def __init__(self, head: np.ndarray, counts: np.ndarray, rare_total: int, rare_types: int, seed: int = 7) -> None:
         order = np.argsort(head)
         self.sorted, self.number = head[order], order
-        self.n, self.width = len(head), max(1, -(-len(head) // CLASSES))
+        self.n = len(head)
+        self.width = max(1, -(-self.n // max(1, math.isqrt(self.n))))
         self.classes = -(-len(head) // self.width) if len(head) else 0
         rng = np.random.default_rng(seed)
         c = np.log(np.concatenate([counts, np.ones(self.classes * self.width - self.n)]) + 1e-300).reshape(self.classes, self.width) if self.n else np.zeros((0, 1))
@@ -232,35 +239,42 @@ def log_probabilities(model: Model, h: np.ndarray, at: np.ndarray, n_lanes: int
 
 
 def train(model: Model, h: np.ndarray, at: np.ndarray, rate: float = 0.01, n_lanes: int = 64) -> int:
-    """One pass of truncated backpropagation with Adam; returns the number of tokens."""
+    """One pass of truncated backpropagation with Adam; returns the number of tokens.
+
+    Of E only the rows of input tokens, and of W and wb only the classes of targets get gradients in a window, so
+    that only these are updated and a step costs the same in a large vocabulary."""
     ids = model.numbers(h)
     end = int(model.numbers(np.array([END]))[0])
-    m = {k: np.zeros_like(v) for k, v in model.w.items()}
-    v = {k: np.zeros_like(x) for k, x in model.w.items()}
+    m, v, grad = ({k: np.zeros_like(x) for k, x in model.w.items()} for _ in range(3))
     state = np.zeros((n_lanes, HIDDEN), np.float32)
     for step, (x, new, y, where, active) in enumerate(_windows(ids, at, n_lanes, end), 1):
         states, kept = model.run(x, new, state[:active])
         state = states[-1]
-        grad = {k: np.zeros_like(a) for k, a in model.w.items()}
         there = (where.ravel() >= 0).astype(np.float32)
         _, dh = model.output(states.reshape(-1, HIDDEN), y.ravel(), grad, there / max(1.0, float(there.sum())))
         model.backward(x, new, kept, dh.reshape(states.shape).astype(np.float32), grad)
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-        for k, g in grad.items():
+        cls = np.unique(y[y < model.n] // model.width)
+        touched = {"E": np.unique(x), "W": cls, "wb": cls}
+        parts = {k: (touched.get(k, slice(None)), g[touched.get(k, slice(None))]) for k, g in grad.items()}
+        norm = np.sqrt(sum(float((g * g).sum()) for _, g in parts.values()))
+        for k, (rows, g) in parts.items():
             g = g * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
-            m[k] += 0.1 * (g - m[k])
-            v[k] += 0.001 * (g * g - v[k])
-            model.w[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-6)).astype(np.float32)
+            m[k][rows] = mk = m[k][rows] + np.float32(0.1) * (g - m[k][rows])
+            v[k][rows] = vk = v[k][rows] + np.float32(0.001) * (g * g - v[k][rows])
+            model.w[k][rows] -= (rate * (mk / (1 - 0.9**step)) / (np.sqrt(vk / (1 - 0.999**step)) + 1e-6)).astype(np.float32)
+            grad[k][rows] = 0
     return len(ids)
 
 
 def fit(docs: DataFrame, counts: DataFrame, trainers: int = TRAINERS, rounds: int = ROUNDS) -> tuple[Model, np.ndarray, np.ndarray, int, int]:
     """The model, the frequent tokens with their counts (by falling count), all training tokens N and types V."""
     n_all, v_all = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).collect()
-    h, c = np.array([r.h for r in top], np.int64), np.array([r.c for r in top], np.int64)
-    head = h[:HEAD]
-    model = Model(head, c[:HEAD].astype(float), int(n_all - c[:HEAD].sum()), int(v_all - len(head)))
+    # The vocabulary's counts are held by every task too, as its tokens are no part of the join.
+    size = max(HEAD, counts.where(F.col("c") >= least_count(int(n_all))).count())
+    top = counts.orderBy(F.desc("c"), "h").limit(max(FREQUENT, size)).toArrow()
+    h, c = np.asarray(top["h"].combine_chunks()).astype(np.int64), np.asarray(top["c"].combine_chunks()).astype(np.int64)
+    head = h[:size]
+    model = Model(head, c[:size].astype(float), int(n_all - c[:size].sum()), int(v_all - len(head)))
     # Dealt by id and text, so that the copies of one text are spread.
     dealt = docs.where(_learned()).select("text", F.xxhash64("doc_id", "text").alias("k"))
     trainers = max(trainers, -(-int(n_all) // TRAINER_TOKENS))

@@ -92,3 +92,19 @@ def test_every_training_document_gives_gradients(spark):
         docs = frame(spark, [(k, f"lone text {i}") for k in range(10)])
         model, _, _, n_all, _ = recurrent.fit(docs, recurrent.token_counts(docs), rounds=1)
         assert model.trained == n_all and np.any(model.w["C"])
+
+
+def test_vocabulary_grows_with_the_corpus(spark):
+    sizes = []
+    for n in (500, 3000):
+        docs = frame(spark, [(i, f"w{i} w{i} common") for i in range(n)])
+        model, *_ = recurrent.fit(docs, recurrent.token_counts(docs), rounds=0)
+        sizes.append(model.n)
+        assert 0.5 * model.n**0.5 < model.classes < 2 * model.n**0.5
+    assert sizes[0] < 1024 < 2 * 1024 < sizes[1]
+
+
+def test_rare_tokens_are_joined(spark, monkeypatch):
+    for name, value in (("HEAD", 2), ("FREQUENT", 3), ("least_count", lambda n: n)):
+        monkeypatch.setattr(recurrent, name, value)
+    check(recurrent.score_documents(frame(spark)).collect(), BASE)
