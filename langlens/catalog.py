@@ -1,13 +1,15 @@
 """Language catalogue: names, extensions, interpreters, rules.
 
-`builtin()` holds every shared extension, all interpreters and rules, and the frequent plain extensions and file
-names. `load(folder)` reads the complete public catalogue (languages.yml and, optionally, heuristics.yml in the
-format of the widely used language catalogue); the folder is a parameter, or LANGLENS_CATALOG.
+`builtin()` is complete: all languages, extensions, file names and interpreters (languages.json) and all rules.
+`load(folder)` reads another languages.yml, in the format of the widely used language catalogue, in its place; the
+folder is a parameter, or LANGLENS_CATALOG.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import pkgutil
 from dataclasses import dataclass, field
 from functools import lru_cache
 from pathlib import Path
@@ -63,23 +65,10 @@ class Catalog:
             getattr(self, f"{name}_table")(spark).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
-@lru_cache(1)
-def builtin() -> Catalog:
-    kind = {name: t for t, names in fixed.OTHER_TYPES.items() for name in names}
-    extensions = {e: [n] for e, n in fixed.EXTENSIONS.items()} | {e: list(x) for e, x in fixed.SHARED_EXTENSIONS.items()}
-    names = dict.fromkeys([*fixed.FILENAMES.values(), *(n for x in extensions.values() for n in x), *(n for x in fixed.INTERPRETERS.values() for n in x)])
-    return Catalog({n: Language(n, kind.get(n, "programming")) for n in sorted(names)}, dict(fixed.FILENAMES), extensions, {k: list(v) for k, v in fixed.INTERPRETERS.items()}, fixed.RULES, fixed.NAMED)
-
-
-def load(folder: str | None = None) -> Catalog:
-    """The catalogue in folder or LANGLENS_CATALOG, or else the built-in one."""
-    folder = folder or os.environ.get("LANGLENS_CATALOG")
-    if not folder:
-        return builtin()
-    import yaml
-
+def _catalog(entries: dict[str, dict]) -> Catalog:
+    """The catalogue of the entries of a languages.yml, with shared extensions and interpreters in tie order."""
     out = Catalog({}, {}, {}, {}, fixed.RULES, fixed.NAMED)
-    for name, x in yaml.safe_load((Path(folder) / "languages.yml").read_text(encoding="utf-8")).items():
+    for name, x in entries.items():
         out.languages[name] = Language(name, x["type"], x.get("color"), x.get("group"))
         for f in x.get("filenames") or ():
             out.filenames[f] = name
@@ -92,3 +81,18 @@ def load(folder: str | None = None) -> Catalog:
             if sorted(table.get(k, ())) == sorted(langs):
                 table[k] = list(langs)
     return out
+
+
+@lru_cache(1)
+def builtin() -> Catalog:
+    return _catalog(json.loads(pkgutil.get_data(__package__, "languages.json")))
+
+
+def load(folder: str | None = None) -> Catalog:
+    """The catalogue in folder or LANGLENS_CATALOG, or else the built-in one."""
+    folder = folder or os.environ.get("LANGLENS_CATALOG")
+    if not folder:
+        return builtin()
+    import yaml
+
+    return _catalog(yaml.safe_load((Path(folder) / "languages.yml").read_text(encoding="utf-8")))

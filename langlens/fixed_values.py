@@ -248,77 +248,6 @@ INTERPRETERS = {
     'zsh': ['Shell'],
 }
 
-# Frequent extensions of one language, for use without a catalogue file.
-EXTENSIONS = {
-    '.py': 'Python',
-    '.js': 'JavaScript',
-    '.json': 'JSON',
-    '.sh': 'Shell',
-    '.c': 'C',
-    '.cpp': 'C++',
-    '.hpp': 'C++',
-    '.java': 'Java',
-    '.go': 'Go',
-    '.rb': 'Ruby',
-    '.css': 'CSS',
-    '.scss': 'SCSS',
-    '.html': 'HTML',
-    '.xml': 'XML',
-    '.yml': 'YAML',
-    '.yaml': 'YAML',
-    '.toml': 'TOML',
-    '.kt': 'Kotlin',
-    '.swift': 'Swift',
-    '.scala': 'Scala',
-    '.hs': 'Haskell',
-    '.lua': 'Lua',
-    '.jl': 'Julia',
-    '.tex': 'TeX',
-    '.txt': 'Text',
-    '.cmake.in': 'CMake',
-    '.cmake': 'CMake',
-    '.ex': 'Elixir',
-    '.erl': 'Erlang',
-    '.clj': 'Clojure',
-    '.dart': 'Dart',
-    '.vue': 'Vue',
-    '.rst': 'reStructuredText',
-    '.csv': 'CSV',
-    '.ini': 'INI',
-    '.bat': 'Batchfile',
-    '.ps1': 'PowerShell',
-    '.zig': 'Zig',
-    '.nim': 'Nim',
-    '.coffee': 'CoffeeScript',
-}
-
-# Frequent file names, for use without a catalogue file.
-FILENAMES = {
-    'Dockerfile': 'Dockerfile',
-    'Makefile': 'Makefile',
-    'CMakeLists.txt': 'CMake',
-    'Gemfile': 'Ruby',
-    'Rakefile': 'Ruby',
-    'Jenkinsfile': 'Groovy',
-    'BUILD.bazel': 'Starlark',
-    '.bashrc': 'Shell',
-    '.gitignore': 'Ignore List',
-    'Cargo.lock': 'TOML',
-    'go.mod': 'Text',
-    'meson.build': 'Meson',
-    'pom.xml': 'Maven POM',
-    'PKGBUILD': 'Shell',
-    '.babelrc': 'JSON with Comments',
-    'composer.lock': 'JSON',
-}
-
-# Of the languages above, those that aren't programming languages, by type.
-OTHER_TYPES = {
-    'data': ['ApacheConf', 'CSV', 'DirectX 3D File', 'Eagle', 'Formatted', 'GN', 'Gerber Image', 'Graph Modeling Language', 'HAProxy', 'INI', 'Ignore List', 'JSON', 'JSON with Comments', 'Java Properties', 'KiCad Legacy Layout', 'KiCad Schematic', 'LTspice Symbol', 'Linker Script', 'Linux Kernel Module', 'Maven POM', 'Microsoft Developer Studio Project', 'NL', 'Nginx', 'Object Data Instance Notation', 'OpenStep Property List', 'Proguard', 'Public Key', 'RPM Spec', 'SQL', 'SubRip Text', 'TOML', 'Unity3D Asset', 'World of Warcraft Addon Data', 'X PixMap', 'XML', 'XML Property List', 'YAML'],
-    'markup': ['CSS', 'HTML', 'Mask', 'RUNOFF', 'Roff', 'Roff Manpage', 'SCSS', 'SRecode Template', 'TeX', 'Vue'],
-    'prose': ['AsciiDoc', 'Markdown', 'Pod', 'Pod 6', 'Texinfo', 'Text', 'reStructuredText'],
-}
-
 # Rules that tell languages of a shared extension apart, in order: (languages, condition).
 # A condition is None (always), a pattern, ('named', name), ('not', pattern), ('any', ...) or ('all', ...).
 RULES = [

@@ -110,3 +110,11 @@ def test_walk_and_cli(spark, tmp_path, capsys):
 def test_unknown_language():
     with pytest.raises(KeyError):
         builtin().language("nope")
+
+
+def test_builtin_catalogue_is_complete(spark):
+    c = builtin()
+    assert (len(c.languages), len(c.extensions), len(c.filenames), len(c.interpreters)) == (553, 1155, 257, 124)
+    rows = [(p,) for p in ("x.abap", "x.ada", "x.4th", "GNUmakefile", "a/makefile")]
+    got = {r.path: r.language for r in detect.on_paths(spark.createDataFrame(rows, "path string")).collect()}
+    assert got == {"x.abap": "ABAP", "x.ada": "Ada", "x.4th": "Forth", "GNUmakefile": "Makefile", "a/makefile": "Makefile"}
