@@ -84,6 +84,15 @@ def nb_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bayes.best(bayes.scores(held, model, "doc_id", "candidates", _words()), "doc_id")
 
 
+def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, with its own tokens as the classifier takes them; the model is fitted on all of them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    model = bayes.fit(docs.select(F.col("lang").alias("language"), "text"))
+    # Rows with a null or repeated id are documents too, so rows get a key, kept as it is read more than once.
+    asked = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", F.array(*map(F.lit, ["es", "en", "de", "fr"])).alias("candidates")).persist()
+    return asked.select("key", "doc_id").join(bayes.classify(asked, model, "key"), "key", "left").select("doc_id", "language")
+
+
 def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections, kept: reports read them more than once, and their filters stay above the rules."""
     return detect.detect(files(spark, sf_dir)).persist()
@@ -122,7 +131,7 @@ def language_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     filename_lookup, extension_extract, extension_candidates, page_extensions, path_filter_docs, path_filter_vendor, shebang_language, candidate_narrow, heuristic_first_match, truncate_bytes,
-    tokenize_documents, tokenize_pages, nb_train, nb_classify, detect_full, language_breakdown, language_split, file_breakdown, strategy_breakdown, header_filter, language_metadata,
+    tokenize_documents, tokenize_pages, nb_train, nb_classify, classify_documents, detect_full, language_breakdown, language_split, file_breakdown, strategy_breakdown, header_filter, language_metadata,
 ]
 
 

@@ -1,3 +1,5 @@
+import collections
+import math
 import re
 
 import pytest
@@ -118,3 +120,19 @@ def test_builtin_catalogue_is_complete(spark):
     rows = [(p,) for p in ("x.abap", "x.ada", "x.4th", "GNUmakefile", "a/makefile")]
     got = {r.path: r.language for r in detect.on_paths(spark.createDataFrame(rows, "path string")).collect()}
     assert got == {"x.abap": "ABAP", "x.ada": "Ada", "x.4th": "Forth", "GNUmakefile": "Makefile", "a/makefile": "Makefile"}
+
+
+def best_by_hand(counts, words, candidates):
+    totals = {k: sum(c.values()) for k, c in counts.items()}
+    score = lambda k: sum(math.log(counts[k][w] / totals[k]) if w in counts[k] else bayes.UNSEEN for w in words) if k in counts else -math.inf
+    return max(candidates, key=lambda k: (round(score(k), 6), -candidates.index(k)))
+
+
+def test_every_document_is_classified(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = docs.select("doc_id", "lang", tokens.key_tokens(F.col("text")).alias("words")).collect()
+    counts = {}
+    for r in rows:
+        counts.setdefault(r.lang, collections.Counter()).update(r.words or [])
+    want = sorted((r.doc_id, best_by_hand(counts, r.words or [], ["es", "en", "de", "fr"])) for r in rows)
+    assert sorted(map(tuple, queries.queries()["classify_documents"](spark, SF).collect())) == want and len(want) == docs.count()
