@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import io
+import pkgutil
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokens import key_tokens
@@ -14,11 +17,22 @@ def fit(samples: DataFrame, tokens: Column | None = None) -> DataFrame:
     """(language, token, logp) of samples (language, text): ln(count / all tokens of the language). A null text has
     no tokens. Counts combine before the shuffle; the totals reuse its result."""
     tokens = key_tokens(F.col("text")) if tokens is None else tokens
-    counts = samples.select("language", F.explode(tokens).alias("token")).groupBy("language", "token").agg(F.count("*").alias("n"))
+    return of_counts(samples.select("language", F.explode(tokens).alias("token")).groupBy("language", "token").agg(F.count("*").alias("n")))
+
+
+def of_counts(counts: DataFrame) -> DataFrame:
+    """The model of counts (language, token, n)."""
     totals = counts.groupBy("language").agg(F.sum("n").alias("total"))
     return counts.join(totals, "language").select("language", "token", F.log(F.col("n") / F.col("total")).alias("logp"))
 
 
+def trained(spark: SparkSession) -> DataFrame:
+    """The model of the catalogue's sample files: their key tokens are counted in samples_counts.parquet."""
+    import pyarrow.parquet as pq
+
+    return of_counts(spark.createDataFrame(pq.read_table(io.BytesIO(pkgutil.get_data("langlens", "samples_counts.parquet")))))
+
+
 def scores(files: DataFrame, model: DataFrame, key: str, candidates: str, tokens: Column, all_languages: list[str] | None = None) -> DataFrame:
     """(key, language, ord, score) for every candidate: the sum over all token occurrences; -Infinity for a language
     without a model; 0 without tokens. Empty candidates mean all languages. Keys must be unique."""

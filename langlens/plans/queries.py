@@ -102,6 +102,11 @@ def detect_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.detect(files(spark, sf_dir)).select("path", "strategy", "language")
 
 
+def detect_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole cascade: what the rules leave open goes to the classifier with the samples' model."""
+    return detect.detect(files(spark, sf_dir), bayes.trained(spark)).select("path", "strategy", "language")
+
+
 def language_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = breakdown.language_breakdown(_detected(spark, sf_dir))
     return out.select("language", "n", F.array_join(F.transform("files", lambda x: F.concat(x["path"], F.lit("="), x["strategy"])), " ").alias("files"))
@@ -131,7 +136,7 @@ def language_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     filename_lookup, extension_extract, extension_candidates, page_extensions, path_filter_docs, path_filter_vendor, shebang_language, candidate_narrow, heuristic_first_match, truncate_bytes,
-    tokenize_documents, tokenize_pages, nb_train, nb_classify, classify_documents, detect_full, language_breakdown, language_split, file_breakdown, strategy_breakdown, header_filter, language_metadata,
+    tokenize_documents, tokenize_pages, nb_train, nb_classify, classify_documents, detect_full, detect_trained, language_breakdown, language_split, file_breakdown, strategy_breakdown, header_filter, language_metadata,
 ]
 
 

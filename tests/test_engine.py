@@ -1,7 +1,9 @@
 import collections
 import math
 import re
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from langlens import fixed_values as fixed
 from langlens.catalog import builtin
 from langlens.functions import paths, text, tokens
 from langlens.operators import bayes, candidates, detect, rules
-from langlens.plans import queries
+from langlens.plans import queries, virtual
 from langlens.sources import files
 
 from .oracle import same
@@ -136,3 +138,22 @@ def test_every_document_is_classified(spark):
         counts.setdefault(r.lang, collections.Counter()).update(r.words or [])
     want = sorted((r.doc_id, best_by_hand(counts, r.words or [], ["es", "en", "de", "fr"])) for r in rows)
     assert sorted(map(tuple, queries.queries()["classify_documents"](spark, SF).collect())) == want and len(want) == docs.count()
+
+
+def test_undecided_files_are_classified(spark, tmp_path, capsys):
+    from langlens.cli import main
+
+    (tmp_path / "a.b").write_text('implement Cat;\n\ninclude "sys.m";\ninclude "draw.m";\n\nCat: module {\n\tinit: fn(nil: ref Draw->Context, argv: list of string);\n};\n')
+    assert main([str(tmp_path), "-n"], spark) == 0
+    assert "100.00% Limbo" in capsys.readouterr().out
+    got = {r.path: r for r in queries.queries()["detect_trained"](spark, SF).collect()}
+    first = {r.path: r for r in queries.queries()["detect_full"](spark, SF).collect()}
+    assert {p: (r.strategy, r.language) for p, r in got.items() if r.strategy != "Classifier"} == {p: (r.strategy, r.language) for p, r in first.items() if r.strategy != "Classifier"}
+    counts = {}
+    for r in pq.read_table(Path(bayes.__file__).parent.parent / "samples_counts.parquet").to_pylist():
+        counts.setdefault(r["language"], collections.Counter())[r["token"]] = r["n"]
+    opened = virtual.files(spark, SF).where(F.col("path").isin([p for p, r in got.items() if r.strategy == "Classifier" and p.endswith((".rs", ".cs", ".properties"))]))
+    seen = opened.select("path", tokens.key_tokens(text.truncated(F.col("content"))).alias("words")).collect()
+    assert seen
+    for r in seen:
+        assert got[r.path].language == best_by_hand(counts, r.words, builtin().extensions["." + r.path.rsplit(".", 1)[1]]), r.path
