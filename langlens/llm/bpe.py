@@ -250,7 +250,7 @@ def blocks(docs: DataFrame, names: list[str]) -> DataFrame:
 
 
 def encoded_blocks(docs: DataFrame, names: list[str], vocabulary: str) -> DataFrame:
-    """Blocks with the ids and the decoded bytes of each distinct word."""
+    """Blocks with the ids and the decoded bytes of each distinct word; a long word has no ids yet and is its own bytes."""
     ranks = load_ranks(vocabulary)
     short = lambda w: F.length(w) <= LONG_WORD
     codes = _let(rank_literal(ranks), lambda m: F.transform("words", lambda w: F.when(short(w), encode_word(rank_of(m), w))))
@@ -272,6 +272,7 @@ def assembled(docs: DataFrame, names: list[str], vocabulary: str, with_ids: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load_ranks(vocabulary)
+        bytes_of = {i: b for b, i in ranks.items()}
         pool, place, width = _decimal(max(ranks.values()) + 1)
         k = len(names)
         for batch in batches:
@@ -280,11 +281,16 @@ def assembled(docs: DataFrame, names: list[str], vocabulary: str, with_ids: bool
                 n_words = np.asarray(batch[k].slice(row, 1).flatten())
                 number = np.frombuffer(batch[k + 1][row].as_py(), "<u4").astype(np.int64)
                 codes, decoded = batch[k + 2].slice(row, 1).flatten(), batch[k + 3].slice(row, 1).flatten()
-                if codes.null_count:
-                    codes = pa.array([merge_long(w.encode("latin-1"), ranks) if c is None else c for c, w in zip(codes.to_pylist(), decoded.to_pylist())], pa.list_(pa.int32()))
+                binary = [w.encode("latin-1") for w in decoded.to_pylist()]
+                if codes.null_count:  # long words, which come as they are: encoded here, and decoded from their ids
+                    every = codes.to_pylist()
+                    for i, c in enumerate(every):
+                        if c is None:
+                            every[i] = merge_long(binary[i], ranks)
+                            binary[i] = b"".join(map(bytes_of.__getitem__, every[i]))
+                    codes = pa.array(every, pa.list_(pa.int32()))
                 size = np.asarray(codes.value_lengths()).astype(np.int64)
                 ids, first = np.asarray(codes.flatten()).astype(np.int64), np.cumsum(size) - size
-                binary = [w.encode("latin-1") for w in decoded.to_pylist()]
                 bsize = np.array([len(w) for w in binary], np.int64)
                 pieces, bfirst = np.frombuffer(b"".join(binary), np.uint8), np.cumsum(bsize) - bsize
                 digits = ragged(pool, place[ids], width[ids])

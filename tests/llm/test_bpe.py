@@ -48,3 +48,10 @@ def test_documents_round_trip(spark):
     ids = {r.doc_id: (r.ids, r.decoded) for r in bpe.assembled(documents(frame(spark, rows)), ["doc_id"], VOCABULARY, with_ids=True).collect()}
     assert all(ids[i] == (enc.encode_ordinary(t or ""), t or "") for i, t in rows)
     assert bpe.assembled(documents(empty(spark)), ["doc_id"], VOCABULARY).collect() == []
+
+
+def test_long_words_are_decoded_from_their_ids(spark, monkeypatch):
+    wrong = [11, 12]
+    monkeypatch.setattr(bpe, "merge_long", lambda word, ranks: wrong)
+    got = bpe.assembled(documents(frame(spark, [(1, "ab" * 500)])), ["doc_id"], VOCABULARY, with_ids=True).first()
+    assert (got.ids, got.decoded) == (wrong, tokenizer(VOCABULARY).decode(wrong))
