@@ -1,4 +1,7 @@
-"""N-gram Jaccard join: all pairs of documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+"""N-gram Jaccard join of documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+
+near_duplicates gives the classes that the links make, for which it need not ask for links within a class;
+similar_pairs and link_counts give all links, by steps 1 and 3 without classes.
 
 Sets are 64-bit hashes of shingles. Equal sets collapse first. Then, exactly:
 1. Length-bounded prefixes in hash order: similar sets share at least l of the first |x| - ceil(0.8 |x|) + l hashes,
@@ -6,7 +9,7 @@ Sets are 64-bit hashes of shingles. Equal sets collapse first. Then, exactly:
 2. Answer-level skipping: sets meet under their smallest hash by three orders; the first is the leader, each other
    set is verified against it, and takes over the leader's class. What a class already knows is not asked again.
 3. Index-level skipping: inverted lists of the prefixes, rarest hashes first, sorted by size; blocks of a list are
-   skipped by size, by position (what can still follow is too little), and where all members share a class.
+   skipped by size, and entries by position (what can still follow is too little) and where all share a class.
    The remaining candidate pairs are verified on the sets.
 4. Classes are the connected components of the verified links, by repeated smallest labels.
 
@@ -259,6 +262,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links: (a, b), a < b, of distinct sets that are similar, also within a class; and (doc_id, n, sid), the rows
+    of each set. Rows of one set are similar too, but for the empty one, which has no sid."""
+    rows = documents(docs, id_col, text_col)
+    members = written(signatures(rows), "signatures")
+    sets = survivors(rows)
+    no_classes = docs.sparkSession.createDataFrame([], "sid long, root long")
+    return verified(written(candidate_pairs(sets, no_classes), "pairs"), sets), members
+
+
+def link_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, n_links of every row: the number of other rows that it is similar to."""
+    pairs, members = similar_pairs(docs)
+    pairs = written(pairs, "links")
+    copies = members.where("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(copies.withColumnRenamed("sid", "b"), "b").groupBy(F.col("a").alias("sid")).agg(F.sum("copies").alias("others"))
+    counts = copies.join(others, "sid", "left").select("sid", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return members.join(counts, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that have the smallest id of their component; null ids stay."""
     named = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
@@ -267,3 +291,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op8_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))

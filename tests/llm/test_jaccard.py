@@ -51,3 +51,21 @@ def test_against_brute_force(spark):
         got = sorted(map(tuple, jaccard.near_duplicates(frame(spark, rows)).collect()), key=str)
         assert got == brute(rows)
     assert jaccard.near_duplicates(empty(spark)).collect() == []
+
+
+def brute_links(rows):
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    near = lambda x, y: bool(x) and 100 * len(x & y) >= 80 * len(x | y)
+    return sorted(((d, len(x), sum(near(x, y) for y in sets) - bool(x)) for (d, _), x in zip(rows, sets)), key=str)
+
+
+def test_all_links_against_brute_force(spark):
+    hub = [f"w{i}" for i in range(60)]
+    star = [(i, " ".join(hub[:-1] + [f"x{i}"] if i else hub)) for i in range(12)]  # links between followers as well
+    for rows in (BASE, corpus(1), star):
+        assert sorted(map(tuple, jaccard.link_counts(frame(spark, rows)).collect()), key=str) == brute_links(rows)
+    pairs, members = jaccard.similar_pairs(frame(spark, star))
+    assert pairs.count() == 12 * 11 // 2 and members.count() == 12
