@@ -1,115 +1,176 @@
 """Line dedup with DataFrame expressions alone: a deletion-neighbourhood join.
 
-A line goes if an earlier line equals it, or if an earlier line is within one edit and both have at least
-MIN_NEAR characters; lines are compared as they stand in the input, earlier means (doc_id, line number), and
-blank lines stay. Rows with equal id and text count as one document. A null text is the empty text.
-
-Two lines within one edit, the shorter of m characters, agree before and after one of the PARTS quarters of
-m. So a line emits, for m of its length and of one less, the hash of what surrounds each quarter; where
-different lines meet, the neighbourhood is emitted: the quarter with each one character deleted. Equal variants
-join on their hashes: with the place for replaced characters, against the whole quarter for inserted ones, so
-that the earliest of each side settles a key of any size without forming pairs. The edit distance of every
-line and the earlier one that it meets is verified.
+A line goes if an earlier line equals it or is within one edit of it. Lines of every length are compared as they
+stand in the input; earlier means (doc_id, a hash of id and text, line number), null ids first; blank lines stay.
+Rows with equal id and text count as one document. A null text is the empty text.
+
+Only the first of equal lines goes on, as hashes: what stays of a document is the set of its lines that are the
+first of their kind, so that a line of any frequency is one row. Of two lines within one edit, the shorter of m
+characters, one half of m is the same in both. Lines of which a half meets another line's emit the deletion
+neighbourhood of the other half: every variant with one character deleted, hashed with the half that they share.
+Half-lines are cut into blocks, so that a line of n characters costs n ** 1.5 at most. Equal variants join: with
+the place for replaced characters, against the whole for inserted ones; the earliest of each side settles a key of
+any size without forming pairs. The edit distance to that earlier line is verified.
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keyed, written
 
-MIN_NEAR = 20
-PARTS = 4
-_ORD = ("doc_id", "k1", "no")
+#: Characters of a half-line that are varied together, at least.
+BLOCK = 256
+#: Lines whose places may be broadcast, of some 100 bytes each; more are joined by a shuffle.
+BROADCAST_LINES = 200_000
+_KINDS = [(less, half) for less in (0, 1) for half in (0, 1)]
+_BLANK = r"^[\t-\r ]*$"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, k1, k2, no, line: every line that isn't blank."""
     rows = keyed(docs).select("doc_id", "k1", "k2", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return rows.where(F.col("line").rlike(r"\S"))
+    return rows.where(~F.col("line").rlike(_BLANK))
+
 
+def _half(n: Column, less: int, half: int) -> tuple[Column, Column, Column, Column]:
+    """m, its first position of the half that varies (from 0), characters of that half in m, and in the line."""
+    m = n - less
+    cut = F.floor(m / 2).cast("int")
+    a, size = (F.lit(0), cut) if half == 0 else (cut, m - cut)
+    return m, a, size, size + less
 
-def _around(line: Column, n: Column) -> Column:
-    """array<struct<key, m, a, len>>: for each m and quarter the hash of what surrounds it; a, len: the quarter."""
+
+def _meeting_keys(line: Column, n: Column) -> Column:
+    """array<long>: by kind, the hash of the half that stays the same; null where there is none."""
     out = []
-    for less in (0, 1):
-        m = n - less
-        for j in range(PARTS):
-            a, b = F.floor(m * j / PARTS).cast("int"), F.floor(m * (j + 1) / PARTS).cast("int")
-            tail = m - b
-            key = F.xxhash64(m, F.lit(j), F.substring(line, F.lit(1), a), F.substring(line, n - tail + 1, tail))
-            out.append(F.struct(key.alias("key"), m.alias("m"), a.alias("a"), (n - tail - a).alias("len")))
-    return F.filter(F.array(*out), lambda x: x["m"] >= MIN_NEAR)
-
-
-def _variants(key: Column, mid: Column, n: Column, m: Column) -> Column:
-    """array<struct<vk, role>>: 0 one of the same length, 1 the whole quarter, 2 a longer one with a character deleted."""
+    for less, half in _KINDS:
+        m, a, size, own = _half(n, less, half)
+        same = F.substring(line, own + 1, n) if half == 0 else F.substring(line, F.lit(1), a)
+        out.append(F.when(m > 0, F.xxhash64(F.lit(half), m, same)))
+    return F.array(*out)
+
+
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """h, h2 (128 bits that stand for a line), first (doc_id, k1, k2, no), keys: a row for each distinct line."""
+    lines = _lines(docs).withColumn("n", F.length("line"))
+    each = lines.select(F.xxhash64("line", "n").alias("h"), F.xxhash64(F.lit("h2"), "line").alias("h2"), F.struct("doc_id", "k1", "k2", "no").alias("ord"), _meeting_keys(F.col("line"), F.col("n")).alias("keys"))
+    return each.groupBy("h", "h2").agg(F.min("ord").alias("first"), F.first("keys").alias("keys"))
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted, with the text of each line; joined by document, which a row of documents is part of once."""
+    of_doc = wanted.groupBy("first.k1", "first.k2").agg(F.collect_list(F.struct("h", "h2", "first", "kinds")).alias("want"))
+    few = wanted.count() <= BROADCAST_LINES
+    rows = keyed(docs).join(F.broadcast(of_doc) if few else of_doc, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    cut = rows.select(F.split("text", "\n").alias("l"), F.explode("want").alias("x"))
+    return cut.select("x.*", F.get("l", F.col("x.first.no")).alias("line"))
+
+
+def _blocks(near: DataFrame) -> DataFrame:
+    """h, h2, first, role base columns m, n and for each block of a varied half: around (hash of all else), at, mid."""
+    n = F.length("line")
+    rows = near.select("h", "h2", "first", "line", n.alias("n"), F.explode("kinds").alias("kind"))
+    less, half = F.floor(F.col("kind") / 2).cast("int"), F.col("kind") % 2
+    rows = rows.withColumns({"m": F.col("n") - less, "less": less})
+    cut = F.floor(F.col("m") / 2).cast("int")
+    rows = rows.withColumns({"a": F.when(half == 0, F.lit(0)).otherwise(cut), "size": F.when(half == 0, cut).otherwise(F.col("m") - cut)})
+    rows = rows.withColumn("width", F.greatest(F.lit(BLOCK), F.ceil(F.sqrt("size")).cast("int")))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("size") - 1) / F.col("width")).cast("int")))).alias("b"))
+    rows = rows.withColumns({"at": F.col("a") + F.col("b") * F.col("width"), "end": F.col("a") + F.least(F.col("size"), (F.col("b") + 1) * F.col("width"))})
+    around = [F.col("m"), F.col("at"), F.substring("line", F.lit(1), F.col("at")), F.substring("line", F.col("end") + F.col("less") + 1, F.col("n"))]
+    mid = F.substring("line", F.col("at") + 1, F.col("end") - F.col("at") + F.col("less"))
+    return rows.select("h", "h2", "first", "less", "at", F.xxhash64(*around).alias("g"), F.xxhash64(F.lit("g2"), *around).alias("g2"), mid.alias("mid"))
+
+
+def _variants(mid: Column, less: Column, at: Column, g: Column, g2: Column) -> Column:
+    """array<struct<v, v2, role, place>>: 0 a character deleted, with its place; 1 the whole; 2 a longer one with a character
+    deleted. place: of that character in the line, from 0."""
     size = F.length(mid)
-    less = lambda i: F.concat(F.substring(mid, F.lit(1), i - 1), F.substring(mid, i + 1, size))
     some = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-    same = F.transform(some, lambda i: F.struct(F.xxhash64(key, F.lit("replace"), i, less(i)).alias("vk"), F.lit(0).alias("role")))
-    whole = F.array(F.struct(F.xxhash64(key, F.lit("insert"), mid).alias("vk"), F.lit(1).alias("role")))
-    longer = F.transform(some, lambda i: F.struct(F.xxhash64(key, F.lit("insert"), less(i)).alias("vk"), F.lit(2).alias("role")))
-    return F.when(n == m, F.concat(same, whole)).otherwise(F.array_distinct(longer))
-
-
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(k1, k2, no) of the lines to remove, near_to: the earlier line within one edit, null for exact repeats."""
-    lines = _lines(docs).withColumn("h", F.xxhash64("line", F.length("line")))
-    here = F.struct(*_ORD).alias("ord")
-    # The first of equal lines; the hash of 128 bits stands for the line.
-    hashed = lines.select("k1", "k2", "doc_id", "no", F.col("h"), F.xxhash64(F.lit("h2"), "line").alias("h2"), here)
-    first = hashed.groupBy("h", "h2").agg(F.min("ord").alias("first"))
-    exact = hashed.join(first, ["h", "h2"]).where(F.col("ord") != F.col("first")).select("k1", "k2", "no")
-
-    around = lines.select("doc_id", "k1", "k2", "no", "h", F.explode(_around(F.col("line"), F.length("line"))).alias("x"))
-    met = around.groupBy("x.key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
-    places = around.select("doc_id", "k1", "k2", "no", F.col("x.key").alias("key"), F.col("x.m").alias("m"), F.col("x.a").alias("a"), F.col("x.len").alias("len"))
-    wanted = written(places.join(met, "key", "left_semi"), "places")
-    of_doc = wanted.groupBy("k1", "k2").agg(F.collect_set(F.struct("key", "no", "m", "a", "len")).alias("want"))
-    texts = keyed(docs).join(of_doc, ["k1", "k2"]).select("doc_id", "k1", "k2", F.split("text", "\n").alias("l"), F.explode("want").alias("x"))
-    near = written(texts.select("doc_id", "k1", "k2", "x.*", F.get("l", F.col("x.no")).alias("line")).distinct(), "near")
-    quarter = F.substring("line", F.col("a") + 1, F.col("len"))
-    spread = near.select(here, "k2", "no", F.explode(_variants(F.col("key"), quarter, F.length("line"), F.col("m"))).alias("v")).select("ord", "k2", "v.vk", "v.role")
-    side = lambda r: F.min(F.when(F.col("role") == r, F.col("ord")))
-    best = spread.groupBy("vk").agg(side(0).alias("s"), side(1).alias("w"), side(2).alias("d")).where("coalesce(w, d) is null or (w is not null and d is not null) or s is not null")
+    without = F.transform(some, lambda i: F.struct(i.alias("i"), F.concat(F.substring(mid, F.lit(1), i - 1), F.substring(mid, i + 1, size)).alias("t")))
+    made = lambda role, i, *parts: F.struct(F.xxhash64(g, *parts).alias("v"), F.xxhash64(g2, *parts).alias("v2"), F.lit(role).alias("role"), (at + i - 1).alias("place"))
+    same = F.transform(without, lambda x: made(0, x["i"], F.lit("replace"), x["i"], x["t"]))
+    whole = F.array(made(1, F.lit(1), F.lit("insert"), mid))
+    longer = F.transform(without, lambda x: made(2, x["i"], F.lit("insert"), x["t"]))
+    return F.when(less == 0, F.concat(same, whole)).otherwise(longer)
+
+
+def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(h, h2, near_to): distinct lines with an earlier line within one edit; near_to is that line's place."""
+    keys = distinct.select("h", F.explode("keys").alias("key")).where("key is not null")
+    met = written(keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key"), "met")
+    places = distinct.select("h", "h2", "first", F.posexplode("keys").alias("kind", "key")).where("key is not null")
+    meets = places.join(met, "key", "left_semi")
+    wanted = written(meets.groupBy("h", "h2").agg(F.first("first").alias("first"), F.collect_set("kind").alias("kinds")), "wanted")
+    near = written(_texts(docs, wanted), "near")
+
+    spread = _blocks(near).select("h", "h2", "first", F.explode(_variants(F.col("mid"), F.col("less"), F.col("at"), F.col("g"), F.col("g2"))).alias("x")).select("h", "h2", "first", "x.*")
+    here = F.struct("first", "place")
+    side = lambda f, r: f(F.when(F.col("role") == r, here))
+    best = spread.groupBy("v", "v2").agg(side(F.min, 0).alias("s"), side(F.max, 0).alias("s_last"), side(F.min, 1).alias("w"), side(F.min, 2).alias("d")).where("s.first < s_last.first or (w is not null and d is not null)")
     other = F.when(F.col("role") == 0, F.col("s")).when(F.col("role") == 1, F.col("d")).otherwise(F.col("w"))
-    pairs = spread.join(best, "vk").select("ord", "k2", other.alias("near_to")).where("near_to < ord").distinct()
-    text = near.select(here, "line").distinct()
-    both = pairs.join(text, "ord").join(text.select(F.col("ord").alias("near_to"), F.col("line").alias("other")), "near_to")
-    true = both.where((F.levenshtein("line", "other", 1) >= 0) & (F.col("line") != F.col("other")))
-    verified = true.groupBy("ord", "k2").agg(F.min("near_to").alias("near_to")).select(F.col("ord.k1").alias("k1"), "k2", F.col("ord.no").alias("no"), "near_to")
-    return exact.withColumn("near_to", F.lit(None).cast(verified.schema["near_to"].dataType)).unionByName(verified)
+    # The earliest line that each line meets, and the place of the character in which they differ.
+    found = F.struct(F.col("other.first").alias("near_to"), "role", F.when(F.col("role") == 1, F.col("other.place")).otherwise(F.col("place")).alias("place"))
+    pairs = spread.join(best, ["v", "v2"]).select("*", other.alias("other")).where("other.first < first").groupBy("h", "h2").agg(F.min(found).alias("f")).select("h", "h2", "f.*")
+    mine = near.select("h", "h2", "line")
+    others = near.select(F.col("first").alias("near_to"), F.col("line").alias("other"))
+    both = pairs.join(mine, ["h", "h2"]).join(others, "near_to")
+    cut = lambda c: F.concat(F.substring(c, F.lit(1), F.col("place")), F.substring(c, F.col("place") + 2, F.length(c)))
+    left = F.when(F.col("role") == 1, F.col("line")).otherwise(cut("line"))
+    right = F.when(F.col("role") == 2, F.col("other")).otherwise(cut("other"))
+    return both.where((left == right) & (F.col("line") != F.col("other"))).select("h", "h2", "near_to")
+
+
+def kept_lines(docs: DataFrame) -> DataFrame:
+    """k1, k2, keep: the numbers of the lines that stay, in order, of every document with such lines (blank ones aside)."""
+    distinct = written(distinct_lines(docs), "lines")
+    stay = distinct.join(written(near_lines(docs, distinct), "near_lines"), ["h", "h2"], "left_anti")
+    return stay.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(F.array_sort(F.collect_list("first.no")).alias("keep"))
+
+
+def _kept(lines: Column, keep: Column) -> Column:
+    """The lines that stay, with the blank ones between them."""
+    n = F.size(keep)
+
+    def stretch(p: Column) -> Column:
+        before = F.coalesce(F.get(keep, p - 1), F.lit(-1))
+        stop = F.coalesce(F.get(keep, p), F.size(lines))
+        blank = F.filter(F.slice(lines, before + 2, stop - before - 1), lambda x: x.rlike(_BLANK))
+        return F.concat(blank, F.slice(lines, stop + 1, F.lit(1)))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), n), stretch))
+
+
+def _cleaned(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs), text, l (lines), n_visible (lines that aren't blank), keep, out (the lines that stay)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), text.alias("text"), F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(text, "doc_id", F.lit("k2")).alias("k2"))
+    joined = rows.join(kept_lines(docs), ["k1", "k2"], "left").withColumns({"l": F.split("text", "\n"), "keep": F.coalesce("keep", F.array().cast("array<int>"))})
+    seen = joined.withColumn("n_visible", F.size(F.filter("l", lambda x: ~x.rlike(_BLANK))))
+    return seen.withColumn("out", F.when(F.col("n_visible") == F.size("keep"), F.col("l")).otherwise(_kept(F.col("l"), F.col("keep"))))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2, text, n_lines, n_removed, kept: the text without its removed lines."""
-    gone = removed_lines(docs).groupBy("k1", "k2").agg(F.collect_set("no").alias("gone"))
-    rows = keyed(docs).join(gone, ["k1", "k2"], "left").withColumn("l", F.split("text", "\n"))
-    none = F.array().cast("array<int>")
-    kept = F.filter("l", lambda _, i: ~F.array_contains(F.coalesce("gone", none), i))
-    return rows.select("doc_id", "k1", "k2", "text", F.size("l").cast("bigint").alias("n_lines"), F.coalesce(F.size(F.coalesce("gone", none)), F.lit(0)).cast("bigint").alias("n_removed"), F.array_join(kept, "\n").alias("kept"), F.size(F.filter(kept, lambda x: x.rlike(r"\S"))).alias("n_visible"))
+    """doc_id, n_lines, n_removed, kept (the text without its removed lines) of every row of docs.
+
+    Null text: one empty line. Rows of equal id and text: equal results. Empty table: no rows. Other columns are ignored."""
+    rows = _cleaned(docs)
+    return rows.select("row.doc_id", F.size("l").cast("bigint").alias("n_lines"), (F.col("n_visible") - F.size("keep")).cast("bigint").alias("n_removed"), F.array_join("out", "\n").alias("kept"))
 
 
 def rewrite(docs: DataFrame) -> DataFrame:
     """docs, all columns, with text (and n_chars, if there) as the kept lines; documents of which only blank lines
-    are left, after others were removed, go."""
-    gone = removed_lines(docs).groupBy("k1", "k2").agg(F.collect_set("no").alias("__gone"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    mine = docs.withColumns({"__k1": F.xxhash64("doc_id", text), "__k2": F.xxhash64(text, "doc_id", F.lit("k2"))})
-    rows = mine.join(gone, (mine["__k1"] == gone["k1"]) & (mine["__k2"] == gone["k2"]), "left").drop("__k1", "__k2", "k1", "k2")
-    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__gone", i))
-    rows = rows.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    rows = rows.where(F.col("__gone").isNull() | F.col("text").rlike(r"\S"))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.select(*docs.columns)
+    are left, after others were removed, go. Texts that lose nothing, null ones too, stay as they are."""
+    rows = _cleaned(docs).withColumns({"cut": F.col("n_visible") > F.size("keep"), "new": F.array_join("out", "\n")})
+    rows = rows.where(~F.col("cut") | (F.size("keep") > 0))
+    names = {"text": F.when(F.col("cut"), F.col("new")).otherwise(F.col("row.text")), "n_chars": F.when(F.col("cut"), F.length("new")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(0))}
+    return rows.select(*(names[c].cast(docs.schema[c].dataType).alias(c) if c in names else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_removed and the SHA-256 of the kept text, for each document."""
+    """doc_id, n_lines, n_removed and the SHA-256 of the kept text, a row for each document; see dedup_lines for odd rows."""
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
@@ -119,7 +180,7 @@ WITH l AS (SELECT doc_id, no, line, length(line) AS n FROM (
   SELECT doc_id, generate_subscripts(a, 1) - 1 AS no, unnest(a) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents))),
 v AS (SELECT * FROM l WHERE regexp_matches(line, '[^\t-\r ]')),
 e AS (SELECT line, n, min({'d': doc_id, 'n': no}) AS f FROM v GROUP BY line, n),
-h AS (SELECT line, n, f, n // 2 AS s, n AS m FROM e WHERE n >= 20 UNION ALL SELECT line, n, f, (n - 1) // 2, n - 1 FROM e WHERE n >= 21),
+h AS (SELECT line, n, f, n // 2 AS s, n AS m FROM e UNION ALL SELECT line, n, f, (n - 1) // 2, n - 1 FROM e WHERE n >= 2),
 p AS (SELECT DISTINCT a.line AS la, a.f AS fa, b.line AS lb, b.f AS fb FROM h a JOIN h b ON a.m = b.m AND left(a.line, a.s) = left(b.line, b.s) AND a.f < b.f
       UNION SELECT DISTINCT a.line, a.f, b.line, b.f FROM h a JOIN h b ON a.m = b.m AND right(a.line, a.m - a.s) = right(b.line, b.m - b.s) AND a.f < b.f),
 g AS (SELECT DISTINCT lb AS line FROM p WHERE abs(length(la) - length(lb)) <= 1 AND levenshtein(la, lb) <= 1),
