@@ -183,7 +183,10 @@ e AS (SELECT line, n, min({'d': doc_id, 'n': no}) AS f FROM v GROUP BY line, n),
 h AS (SELECT line, n, f, n // 2 AS s, n AS m FROM e UNION ALL SELECT line, n, f, (n - 1) // 2, n - 1 FROM e WHERE n >= 2),
 p AS (SELECT DISTINCT a.line AS la, a.f AS fa, b.line AS lb, b.f AS fb FROM h a JOIN h b ON a.m = b.m AND left(a.line, a.s) = left(b.line, b.s) AND a.f < b.f
       UNION SELECT DISTINCT a.line, a.f, b.line, b.f FROM h a JOIN h b ON a.m = b.m AND right(a.line, a.m - a.s) = right(b.line, b.m - b.s) AND a.f < b.f),
-g AS (SELECT DISTINCT lb AS line FROM p WHERE abs(length(la) - length(lb)) <= 1 AND levenshtein(la, lb) <= 1),
+q AS (SELECT DISTINCT lb, if(length(la) < length(lb), la, lb) AS x, if(length(la) < length(lb), lb, la) AS y FROM p WHERE abs(length(la) - length(lb)) <= 1),
+-- edits of characters: levenshtein() counts bytes
+g AS (SELECT DISTINCT lb AS line FROM q WHERE CASE WHEN length(x) = length(y) THEN len(list_filter(range(1, length(x) + 1), lambda i: substr(x, i, 1) <> substr(y, i, 1))) <= 1
+        ELSE len(list_filter(range(1, length(y) + 1), lambda i: left(y, i - 1) || substr(y, i + 1) = x)) > 0 END),
 x AS (SELECT v.doc_id, v.no, (e.f <> {'d': v.doc_id, 'n': v.no} OR g.line IS NOT NULL) AS gone FROM v JOIN e ON v.line = e.line LEFT JOIN g ON v.line = g.line)
 SELECT l.doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE coalesce(gone, false)) AS BIGINT) AS n_removed,
        sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.no) FILTER (WHERE NOT coalesce(gone, false)), '')) AS kept_sha256
