@@ -5,20 +5,26 @@ similar_pairs and link_counts give all links, by steps 1 and 3 without classes.
 
 Sets are 64-bit hashes of shingles. Equal sets collapse first. Then, exactly:
 1. Length-bounded prefixes in hash order: similar sets share at least l of the first |x| - ceil(0.8 |x|) + l hashes,
-   so a set with fewer prefix hashes that occur in any other set's prefix has no partner and leaves.
-2. Answer-level skipping: sets meet under their smallest hash by three orders; the first is the leader, each other
-   set is verified against it, and takes over the leader's class. What a class already knows is not asked again.
-3. Index-level skipping: inverted lists of the prefixes, rarest hashes first, sorted by size; blocks of a list are
-   skipped by size, and entries by position (what can still follow is too little) and where all share a class.
-   The remaining candidate pairs are verified on the sets.
-4. Classes are the connected components of the verified links, by repeated smallest labels.
-
-Null, blank and empty texts have empty sets and link with nothing. Repeated rows have equal sets.
+   so a set with fewer prefix hashes that occur in any other set's prefix has no partner and leaves. A hash that
+   many sets of a task share is settled there and leaves it as one entry.
+2. Answer-level skipping: sets meet under their smallest hash by three orders, those with most shared hashes first.
+   A set that is similar to none before it becomes a leader, whose overlaps with the other leaders are kept. A set
+   that is similar to a leader derives its overlap with each other leader from that leader's overlap and the few
+   hashes in which the two differ, and skips the leaders that are out of reach by the number of those alone.
+3. Index-level skipping: inverted lists of the prefixes, rarest hashes first, sorted by size and position, in blocks
+   that know the most that can follow in any of their sets. Pairs of blocks are skipped whole by size, by position
+   (what can still follow is too little) and where all share a class; then entries by the same bounds. The remaining
+   candidate pairs are verified on the sets.
+4. Classes are the connected components of the verified links, by smallest labels in an order drawn anew each round.
+
+Null, blank and empty texts have empty sets and link with nothing. Repeated rows have equal sets. Rows with a null id
+take part, but don't name a component. Other columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +38,12 @@ WORDS = 5
 #: Similarity as a fraction, compared in whole numbers: UP * intersection >= OF * union.
 UP, OF = 100, 80
 ORDERS = 3
+#: Sets with a possible partner whose rows' keys (16 bytes) may be broadcast; more are joined by a shuffle.
+BROADCAST_SETS = 500_000
+#: Prefix hashes that a task holds before it sends them on.
+HELD = 1 << 20
+#: Buckets of hashes, each sorted by one task at a time.
+BUCKETS = 4096
 
 
 def shingles(raw: np.ndarray, at: np.ndarray, roll: RollingHash, n: int = WORDS) -> list[np.ndarray]:
@@ -87,50 +99,120 @@ def _list(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([v.view(np.int64) for v in values]) if values else np.zeros(0, np.int64)))
 
 
-def _scan(rows: DataFrame, cut) -> DataFrame:
-    """doc_id, n, sid, items of every row: cut(set) of the hashes; rows (doc_id, text)."""
+def _prefix(x: np.ndarray) -> np.ndarray:
+    return x[: len(x) - least(len(x)) + extra(len(x))]
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """k1, k2 (128 bits of id and text), doc_id, n, sid and the prefix of step 1 of every row: the one scan of all texts."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = RollingHash()
         for b in batches:
-            for lo, part in _sets(b, 1, roll):
-                yield pa.RecordBatch.from_arrays([b[0].slice(lo, len(part)), pa.array([len(x) for x in part], pa.int64()), pa.array([_signature(x) for x in part], pa.int64()), _list([cut(x) for x in part])], ["doc_id", "n", "sid", "items"])
-
-    return rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, sid long, items array<long>")
-
+            for lo, part in _sets(b, 3, roll):
+                own = [b[i].slice(lo, len(part)) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([len(x) for x in part], pa.int64()), pa.array([_signature(x) for x in part], pa.int64()), _list([_prefix(x) for x in part])], ["k1", "k2", "doc_id", "n", "sid", "items"])
+
+    return _row_keys(rows).select("k1", "k2", "doc_id", "text").mapInArrow(run, f"k1 long, k2 long, doc_id {kind}, n long, sid long, items array<long>")
+
+
+def _row_keys(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", "doc_id", F.lit("k2"))})
+
+
+def _credit(h: np.ndarray, sid: np.ndarray, n: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of entries (hash, set, its size, whether it stands for several sets that know of each other): the sets with
+    hashes that another set has too and how many, as (sid, n, hits); and one entry for each hash."""
+    order = np.lexsort((sid, h))
+    h, sid, n, many = h[order], sid[order], n[order], many[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])
+    first = np.flatnonzero(new)
+    # Several entries of one set and hash: one, that stands for several if any does.
+    many = np.logical_or.reduceat(many, first) if len(first) else many
+    h, sid, n = h[first], sid[first], n[first]
+    head = np.ones(len(h), bool)
+    head[1:] = h[1:] != h[:-1]
+    start = np.flatnonzero(head)
+    size = np.diff(np.append(start, len(h)))
+    shared = (size > 1) | (np.logical_or.reduceat(many, start) if len(start) else head)
+    gets = np.repeat(shared, size) & ~many
+    who, at, hits = np.unique(sid[gets], return_index=True, return_counts=True)
+    return who, n[gets][at], hits, h[start], sid[start], n[start], shared
+
+
+def survivors(marked: DataFrame) -> DataFrame:
+    """sid, hits of the distinct sets that pass step 1."""
+    spark = marked.sparkSession
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[], [], []]
+        size = 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            h, sid, n = (np.concatenate(x) for x in held)
+            who, n_who, hits, h, sid, n, many = _credit(h, sid, n, np.zeros(len(h), bool))
+            bucket = (h.view(np.uint64) % np.uint64(BUCKETS)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]]) if len(order) else np.zeros(1, np.int64)
+            blobs = [np.stack([h[p], sid[p], n[p] * 2 + many[p]]).tobytes() for p in (order[a:b] for a, b in zip(cuts, cuts[1:]))]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cuts[:-1]]), pa.array(blobs, pa.binary())], ["bucket", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([np.stack([who, n_who, hits]).tobytes()], pa.binary())], ["bucket", "data"])
 
-def signatures(rows: DataFrame) -> DataFrame:
-    return _scan(rows, lambda x: x[:0]).select("doc_id", "n", "sid")
-
-
-def survivors(rows: DataFrame) -> DataFrame:
-    """sid, n, items of the distinct sets that pass step 1."""
-    marks = _scan(rows, lambda x: x[: len(x) - least(len(x)) + extra(len(x))]).select("sid", "n", F.explode("items").alias("h"))
-    shared = marks.groupBy("h").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("h")
-    # One row a document, set and hash: copies count alike, so hits of the set are hits over its copies.
+        for b in batches:
+            items = b[2]
+            sizes = np.asarray(items.value_lengths()).astype(np.int64)
+            keep = np.asarray(b[0].is_valid())
+            held[0].append(np.asarray(items.flatten()))
+            held[1].append(np.repeat(np.where(keep, np.asarray(b[0].fill_null(0)), 0), sizes))
+            held[2].append(np.repeat(np.asarray(b[1]), sizes))
+            size += int(sizes.sum())
+            if size >= HELD:
+                yield from close()
+                held, size = [[], [], []], 0
+        if size:
+            yield from close()
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine: dict[int, list[bytes]] = {}
+        for b in batches:
+            for k, data in zip(b[0].to_pylist(), b[1].to_pylist()):
+                mine.setdefault(k, []).append(data)
+        for k in list(mine):
+            cols = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in mine.pop(k)], 1)
+            who, n, hits = cols if k < 0 else _credit(cols[0], cols[1], cols[2] >> 1, (cols[2] & 1).astype(bool))[:3]
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(n), pa.array(hits)], ["sid", "n", "hits"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = marked.select("sid", "n", "items").mapInArrow(gather, "bucket long, data binary")
+    # What a task has settled itself carries the bucket -1 and is dealt by its place.
+    spread = dealt.repartition(parts, F.when(F.col("bucket") < 0, F.xxhash64("data")).otherwise(F.col("bucket")))
     need = F.expr(f"(({OF} * n + {UP - 1}) div {UP}) div 20 + 1")
-    hits = marks.join(shared, "h", "left_semi").groupBy("sid", "n").agg(F.count("*").alias("hits"))
-    copies = signatures(rows).where("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"))
-    passed = written(hits.join(copies, "sid").where(F.col("hits") >= need * F.col("copies")).select("sid"), "passed")
-    named = _named(rows).join(passed, "sid", "left_semi").groupBy("sid").agg(F.first("text").alias("text"))
-    return written(_scan(named.select(F.col("sid").alias("doc_id"), "text"), lambda x: x).select("sid", "n", "items"), "sets")
+    found = spread.mapInArrow(settle, "sid long, n long, hits long").groupBy("sid", "n").agg(F.sum("hits").alias("hits"))
+    return found.where(F.col("hits") >= need).select("sid", "hits")
 
 
-def _named(rows: DataFrame) -> DataFrame:
-    """sid and text of every row."""
+def distinct_sets(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """sid, n, items, hits of the distinct sets that pass step 1, from the text of one row of each."""
+    passed = written(survivors(marked), "passed")
+    one = marked.select("sid", "k1", "k2").join(passed, "sid").groupBy("sid").agg(F.min("k1").alias("k1"), F.first("hits").alias("hits"))
+    # A row with the least k1 of its set has a text of that set; several such rows have equal sets.
+    keys = written(one.select("k1", "hits"), "keys")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_SETS else keys
+    texts = _row_keys(rows).join(keys, "k1").select("text", "hits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = RollingHash()
         for b in batches:
-            sids = [_signature(x) for _, part in _sets(b, 0, roll) for x in part]
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), b[0]], ["sid", "text"])
+            for lo, part in _sets(b, 0, roll):
+                yield pa.RecordBatch.from_arrays([pa.array([_signature(x) for x in part], pa.int64()), pa.array([len(x) for x in part], pa.int64()), _list(part), b[1].slice(lo, len(part))], ["sid", "n", "items", "hits"])
 
-    return rows.select("text").mapInArrow(run, "sid long, text string")
+    return written(texts.mapInArrow(run, "sid long, n long, items array<long>, hits long").dropDuplicates(["sid"]), "sets")
 
 
 #: Leaders of one key that a task holds at a time.
-LEADERS = 8
+LEADERS = 64
 
 
 def leader_links(sets: DataFrame) -> DataFrame:
@@ -144,29 +226,111 @@ def leader_links(sets: DataFrame) -> DataFrame:
     return first.unionByName(_leader_round(rest, 1))
 
 
+class Leaders:
+    """The leaders of one key, and their overlaps with each other: the answers that similar sets start from."""
+
+    def __init__(self) -> None:
+        self.sids: list[int] = []
+        self.items: list[np.ndarray] = []
+        self.sizes = np.zeros(LEADERS, np.int64)
+        self.overlap = np.zeros((LEADERS, LEADERS), np.int64)
+
+    def meet(self, sid: int, x: np.ndarray) -> list[int]:
+        """The leaders that x is similar to; x becomes a leader if there are none."""
+        k = len(self.sids)
+        both = np.zeros(k, np.int64)
+        for i, lead in enumerate(self.items):
+            if UP * min(len(x), len(lead)) < OF * max(len(x), len(lead)) and k >= LEADERS:
+                continue
+            both[i] = _overlap(x, lead)
+            if UP * both[i] >= OF * (len(x) + len(lead) - both[i]):
+                return [self.sids[j] for j in self._derived(i, x, both)]
+        if k < LEADERS:
+            self.sids.append(sid)
+            self.items.append(x.copy())
+            self.sizes[k] = len(x)
+            self.overlap[k, :k] = self.overlap[:k, k] = both
+            self.overlap[k, k] = len(x)
+        return []
+
+    def _derived(self, i: int, x: np.ndarray, both: np.ndarray) -> list[int]:
+        """Leaders similar to x, given that leader i is: only the hashes in which x and i differ are looked up."""
+        lead, k = self.items[i], len(self.sids)
+        more, fewer = x[~_has(lead, x)], lead[~_has(x, lead)]
+        most = np.minimum(self.overlap[i, :k] + len(more), np.minimum(len(x), self.sizes[:k]))
+        may = UP * most >= OF * (len(x) + self.sizes[:k] - most)
+        out = [i]
+        for j in np.flatnonzero(may).tolist():
+            if j <= i:  # compared before, and not similar
+                continue
+            o = int(self.overlap[i, j]) + int(_has(self.items[j], more).sum()) - int(_has(self.items[j], fewer).sum())
+            if UP * o >= OF * (len(x) + int(self.sizes[j]) - o):
+                out.append(j)
+        return out
+
+
+def _has(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of y are in x, both sorted."""
+    if not len(x):
+        return np.zeros(len(y), bool)
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    return x[at] == y
+
+
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    return int(_has(x, y).sum()) if len(x) > len(y) else int(_has(y, x).sum())
+
+
 def _leader_round(sets: DataFrame, salts: int) -> DataFrame:
     keys = F.array(*(F.array_min(F.transform("items", lambda h, o=o: F.xxhash64(h, F.lit(o)))) for o in range(ORDERS)))
-    spread = sets.select("sid", "n", "items", F.posexplode(keys).alias("o", "key")).withColumn("salt", F.pmod("sid", F.lit(salts)))
+    spread = sets.select("sid", "n", "items", "hits", F.posexplode(keys).alias("o", "key")).withColumn("salt", F.pmod("sid", F.lit(salts)))
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, leads = None, []
+        head, leads = None, Leaders()
         for b in batches:
-            raw, at = b[2].flatten(), np.asarray(b[2].offsets) - b[2].offsets[0].as_py()
+            raw, at = b[1].flatten(), np.asarray(b[1].offsets) - b[1].offsets[0].as_py()
             items = np.asarray(raw).view(np.uint64)
             out = []
-            for i, (sid, group) in enumerate(zip(b[0].to_pylist(), zip(b[3].to_pylist(), b[4].to_pylist(), b[5].to_pylist()))):
-                mine = items[at[i] : at[i + 1]]
+            for i, (sid, *group) in enumerate(zip(*(b[k].to_pylist() for k in (0, 2, 3, 4)))):
                 if group != head:
-                    head, leads = group, []
-                near = [lead for lead, other in leads if linked(mine, other)]
-                out += [(sid, lead) for lead in near]
-                if not near and len(leads) < LEADERS:
-                    leads.append((sid, mine.copy()))
+                    head, leads = group, Leaders()
+                out += [(sid, lead) for lead in leads.meet(sid, items[at[i] : at[i + 1]])]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    dealt = spread.repartition(parts, "o", "key", "salt").sortWithinPartitions("o", "key", "salt", "n", "sid")
-    return dealt.select("sid", "n", "items", "o", "key", "salt").mapInArrow(run, "a long, b long").distinct()
+    dealt = spread.withColumn("lone", 1 - F.col("hits") / F.col("n")).repartition(parts, "o", "key", "salt").sortWithinPartitions("o", "key", "salt", "lone", "sid")
+    return dealt.select("sid", "items", "o", "key", "salt").mapInArrow(run, "a long, b long").distinct()
+
+
+#: Entries of a block of an inverted list.
+BLOCK = 64
+
+
+def list_pairs(n: np.ndarray, sid: np.ndarray, pos: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of one list, sorted by n and pos: blocks are skipped first, then entries."""
+    rest = n - pos  # hashes from this one on: as many as a set can still share
+    start = np.arange(0, len(n), BLOCK)
+    most, low, high = np.maximum.reduceat(rest, start), n[start], n[np.minimum(start + BLOCK, len(n)) - 1]
+    lone = np.where(np.minimum.reduceat(root, start) == np.maximum.reduceat(root, start), root[start], -1)
+    for i in range(len(start)):
+        need = -(-(OF * (low[i] + low[: i + 1])) // (UP + OF))
+        ok = (UP * high[: i + 1] >= OF * low[i]) & (np.minimum(most[i], most[: i + 1]) >= need)
+        if lone[i] != -1:
+            ok &= lone[: i + 1] != lone[i]
+        a = np.arange(start[i], min(start[i] + BLOCK, len(n)))
+        a = a[rest[a] >= least(n[a])]
+        for j in np.flatnonzero(ok).tolist():
+            b = np.arange(start[j], min(start[j] + BLOCK, len(n)))
+            b = b[rest[b] >= -(-(OF * (n[b] + low[i])) // (UP + OF))] if j < i else b
+            if not len(a) or not len(b):
+                continue
+            x, y = a[:, None], b[None, :]
+            want = -(-(OF * (n[x] + n[y])) // (UP + OF))
+            good = (x > y) & (root[x] != root[y]) & (UP * n[y] >= OF * n[x]) & (np.minimum(rest[x], rest[y]) >= want)
+            p, q = np.nonzero(good)
+            if len(p):
+                p, q = sid[a[p]], sid[b[q]]
+                yield np.minimum(p, q), np.maximum(p, q)
 
 
 def candidate_pairs(sets: DataFrame, classes: DataFrame) -> DataFrame:
@@ -178,46 +342,32 @@ def candidate_pairs(sets: DataFrame, classes: DataFrame) -> DataFrame:
     prefix = F.expr(f"n - (({OF} * n + {UP - 1}) div {UP}) + 1")
     lists = kept.withColumns({"lone": lone, "take": F.least(F.size("t"), F.greatest(F.lit(0), prefix - lone)).cast("int")}).where("take > 0")
     lists = lists.join(classes, "sid", "left").select("sid", "n", "lone", F.coalesce("root", "sid").alias("root"), F.posexplode(F.slice("t", F.lit(1), F.col("take"))).alias("i", "x"))
-    lists = lists.select(F.col("x.h").alias("h"), "n", "sid", (F.col("lone") + F.col("i")).alias("pos"), "root")
+    lists = written(lists.select(F.col("x.h").alias("h"), "n", "sid", (F.col("lone") + F.col("i")).alias("pos"), "root"), "lists")
     mixed = lists.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def pairs(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        n, sid, pos, root = (np.concatenate(x) for x in rows)
-        a, b = [], []
-        low = np.searchsorted(n, least(n))
-        for i in range(1, len(n)):
-            s = slice(low[i], i)
-            need = -(-(OF * (n[i] + n[s])) // (UP + OF))
-            ok = (root[s] != root[i]) & (1 + np.minimum(n[i] - pos[i], n[s] - pos[s]) - 1 >= need)
-            found = sid[s][ok]
-            a.append(np.minimum(found, sid[i]))
-            b.append(np.maximum(found, sid[i]))
-        return (np.concatenate(a), np.concatenate(b)) if a else (n[:0], n[:0])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, held = None, [[], [], [], []]
+        head, held = None, []
 
-        def close() -> pa.RecordBatch:
-            a, b = pairs(held) if held[0] else (np.zeros(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        def close() -> Iterator[pa.RecordBatch]:
+            if held:
+                for a, b in list_pairs(*(np.concatenate([x[k] for x in held]) for k in range(1, 5))):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
             cols = [np.asarray(c) for c in batch.columns]
-            h = cols[0]
-            cuts = [0, *(np.flatnonzero(np.diff(h)) + 1), len(h)]
+            cuts = [0, *(np.flatnonzero(np.diff(cols[0])) + 1), len(cols[0])]
             for lo, hi in zip(cuts, cuts[1:]):
                 if lo == hi:
                     continue
-                if h[lo] != head:
-                    yield close()
-                    head, held = h[lo], [[], [], [], []]
-                for k in range(4):
-                    held[k].append(cols[k + 1][lo:hi])
-        yield close()
+                if cols[0][lo] != head:
+                    yield from close()
+                    head, held = cols[0][lo], []
+                held.append([c[lo:hi] for c in cols])
+        yield from close()
 
-    dealt = lists.join(mixed, "h", "left_semi").repartition(parts, "h").sortWithinPartitions("h", "n", "sid")
-    return dealt.select("h", "n", "sid", "pos", "root").mapInArrow(run, "a long, b long").distinct()
+    dealt = lists.join(mixed, "h", "left_semi").repartition(parts, "h").sortWithinPartitions("h", "n", "pos", "sid")
+    return dealt.select("h", "n", "sid", F.col("pos").cast("long").alias("pos"), "root").mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -227,16 +377,20 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(UP * both >= OF * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def components(links: DataFrame, limit: int = 64) -> DataFrame:
-    """(sid, root) of every linked node: each round points nodes at their smallest neighbour and contracts the links."""
+def components(links: DataFrame, limit: int = 200) -> DataFrame:
+    """(sid, root) of every linked node. Each round points nodes at their least neighbour, by an order of the labels that
+    is drawn anew (so that chains of any labels fall by a share a round), and contracts the links."""
     spark = links.sparkSession
     edges = written(links.where("a <> b").select("a", "b"), "links")
     labels = spark.createDataFrame([], "sid long, root long")
+    draw = random.Random(20240607)
     for turn in range(limit):
         if edges.isEmpty():
             return labels
+        key = F.lit(draw.getrandbits(63) - (1 << 62))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")), "step")
+        step = both.groupBy("a").agg(F.min(F.col("b").bitwiseXOR(key)).alias("m")).select(F.col("a").alias("node"), F.least(F.col("a").bitwiseXOR(key), "m").bitwiseXOR(key).alias("to"))
+        step = written(step, "step")
         if turn:
             moved = labels.join(step, F.col("root") == F.col("node"), "left").select("sid", F.coalesce("to", "root").alias("root"))
             labels = written(moved, "labels")
@@ -247,16 +401,19 @@ def components(links: DataFrame, limit: int = 64) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _classed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The marked rows, and (sid, root) of the sets that link with any."""
+    marked = written(_marked(rows), "marked")
+    sets = distinct_sets(rows, marked)
+    near = written(leader_links(sets), "leaders")
+    links = near.unionByName(verified(written(candidate_pairs(sets, components(near)), "pairs"), sets))
+    return marked, components(links)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row. Null ids don't name a component; one of nulls alone has none."""
-    rows = documents(docs, id_col, text_col)
-    sigs = written(signatures(rows), "signatures")
-    sets = survivors(rows)
-    near = written(leader_links(sets), "leaders")
-    classes = components(near)
-    links = near.unionByName(verified(written(candidate_pairs(sets, classes), "pairs"), sets))
-    roots = components(links)
-    named = sigs.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    marked, roots = _classed(documents(docs, id_col, text_col))
+    named = marked.select("doc_id", "n", "sid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     names = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = named.join(names, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
@@ -266,10 +423,10 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """All links: (a, b), a < b, of distinct sets that are similar, also within a class; and (doc_id, n, sid), the rows
     of each set. Rows of one set are similar too, but for the empty one, which has no sid."""
     rows = documents(docs, id_col, text_col)
-    members = written(signatures(rows), "signatures")
-    sets = survivors(rows)
+    members = written(_marked(rows), "marked")
+    sets = distinct_sets(rows, members)
     no_classes = docs.sparkSession.createDataFrame([], "sid long, root long")
-    return verified(written(candidate_pairs(sets, no_classes), "pairs"), sets), members
+    return verified(written(candidate_pairs(sets, no_classes), "pairs"), sets), members.select("doc_id", "n", "sid")
 
 
 def link_counts(docs: DataFrame) -> DataFrame:
@@ -284,12 +441,26 @@ def link_counts(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that have the smallest id of their component; null ids stay."""
-    named = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(named, "doc_id", "left_anti")
+    """The rows of docs, all columns, less the rows of a component that aren't its least by (id, hash of id and text), null
+    ids last. Equal rows count as copies: one of them stays. Rows with empty sets stay.
+
+    Rows are told apart by a 128-bit hash of id and text; ids needn't be unique."""
+    own = ["__row", "__k1", "__k2"]
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__row"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("__k1"), F.xxhash64(F.coalesce("text", F.lit("")), "doc_id", F.lit("k2")).alias("__k2"))
+    marked, roots = _classed(documents(docs))
+    named = marked.where("sid is not null").join(roots, "sid", "left").select("k1", "k2", F.coalesce("root", "sid").alias("root"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2").alias("place"))
+    lead = named.groupBy("root").agg(F.min("place").alias("lead"))
+    gone = named.join(lead, "root").where("place <> lead").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
+    kept = packed.join(written(gone, "gone"), ["__k1", "__k2"], "left_anti")
+    # Of equal rows of one key with words, one stays: they are copies of each other.
+    twins = written(named.groupBy("k1", "k2").agg(F.count("*").alias("c")).where("c > 1").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")), "twins")
+    lone = kept.join(twins, ["__k1", "__k2"], "left_anti")
+    one = kept.join(twins, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"])
+    return lone.select(*own[:1]).unionByName(one.select(*own[:1])).select("__row.*")
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document; see near_duplicates for odd rows."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

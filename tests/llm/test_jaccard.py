@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from langlens.llm import jaccard
 
 from .docs import BASE, empty, frame
@@ -69,3 +72,50 @@ def test_all_links_against_brute_force(spark):
         assert sorted(map(tuple, jaccard.link_counts(frame(spark, rows)).collect()), key=str) == brute_links(rows)
     pairs, members = jaccard.similar_pairs(frame(spark, star))
     assert pairs.count() == 12 * 11 // 2 and members.count() == 12
+
+
+def test_blocks_skip_no_pair():
+    rng = np.random.default_rng(5)
+    for size in (1, 5, 63, 64, 65, 400):
+        n = np.sort(rng.integers(20, 40, size))
+        pos = rng.integers(0, 12, size)
+        order = np.lexsort((pos, n))
+        n, pos, sid, root = n[order], pos[order], rng.permutation(size), rng.integers(0, 6, size)
+        got = {(int(a), int(b)) for x, y in jaccard.list_pairs(n, sid, pos, root) for a, b in zip(x, y)}
+        want = set()
+        for i in range(size):
+            for j in range(i):
+                need = -(-80 * int(n[i] + n[j]) // 180)
+                if root[i] != root[j] and 100 * n[j] >= 80 * n[i] and min(n[i] - pos[i], n[j] - pos[j]) >= need:
+                    want.add((int(min(sid[i], sid[j])), int(max(sid[i], sid[j]))))
+        assert got == want
+
+
+def test_derived_answers_equal_direct_ones():
+    rng = np.random.default_rng(6)
+    leads, kept = jaccard.Leaders(), []
+    base = rng.integers(0, 1 << 60, 120).astype(np.uint64)
+    for sid in range(300):
+        x = base.copy()
+        x[rng.permutation(120)[: rng.integers(0, 16)]] = rng.integers(0, 1 << 60)
+        x = np.unique(x)
+        near = [s for s, y in kept if jaccard.linked(x, y)]
+        assert leads.meet(sid, x) == near
+        if not near and len(kept) < jaccard.LEADERS:
+            kept.append((sid, x))
+    assert len(kept) > 5
+
+
+def test_a_long_chain_settles(spark):
+    chain = spark.range(3000).selectExpr("id a", "id + 1 b")
+    got = jaccard.components(chain).agg(F.countDistinct("root"), F.count("*")).first()
+    assert tuple(got) == (1, 3001)
+
+
+def test_keep_one_deletes_by_row(spark):
+    a, b = " ".join(f"w{i}" for i in range(20)), " ".join(f"v{i}" for i in range(20))
+    rows = [(1, a, 5), (2, a, 6), (2, b, 7), (3, b, 8), (3, b, 8), (4, None, 9), (5, "", 9), (None, a, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1 int").withColumn("sid", F.lit("x"))
+    out = jaccard.keep_one(docs)
+    assert out.schema == docs.schema
+    assert sorted((r.doc_id, r.text, r.k1) for r in out.collect()) == [(1, a, 5), (2, b, 7), (4, None, 9), (5, "", 9)]
