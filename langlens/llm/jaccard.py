@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import RollingHash, documents, flat, lower, steps, words, written
@@ -282,7 +282,10 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _leader_round(sets: DataFrame, salts: int) -> DataFrame:
-    keys = F.array(*(F.array_min(F.transform("items", lambda h, o=o: F.xxhash64(h, F.lit(o)))) for o in range(ORDERS)))
+    def least_hash(o: int) -> Column:
+        return F.array_min(F.transform("items", lambda h: F.xxhash64(h, F.lit(o))))
+
+    keys = F.array(*map(least_hash, range(ORDERS)))
     spread = sets.select("sid", "n", "items", "hits", F.posexplode(keys).alias("o", "key")).withColumn("salt", F.pmod("sid", F.lit(salts)))
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
