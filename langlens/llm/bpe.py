@@ -1,11 +1,15 @@
-"""Byte-level BPE: Spark higher-order functions fold ranked merges over the distinct words of a block of documents.
-
-Three narrow steps, without a shuffle: (1) a scan cuts texts at the pre-tokenisation pattern and gives, for a
-block of documents, its distinct words and the words' order; (2) DataFrame expressions encode each distinct
-word, by folding merges over its bytes with a literal rank map, and decode it again by concatenating the ids'
-binary pieces; (3) the documents' ids and bytes are put together from the words'. Bytes travel as strings of
-the code points 0 to 255. Words of more than LONG_WORD bytes, for which a fold of immutable arrays would take
-quadratic time, are encoded by a heap of merges instead.
+"""Byte-level BPE: Spark higher-order functions fold ranked merges over the distinct words of all documents.
+
+(1) A scan cuts texts at the pre-tokenisation pattern and gives, for a block of documents, its distinct words, dealt
+to buckets by their hashes; the words' order in the block goes to a file in shared storage. (2) A bucket's words
+of all blocks meet, so that each distinct word of the corpus is encoded once: DataFrame expressions fold merges over
+its bytes with a literal rank map, and decode it again by concatenating the ids' binary pieces. (3) The codes go back
+to their blocks, where the documents' ids and bytes are put together. In the fold, bytes are strings of the code points
+0 to 255. Words of more than LONG_WORD bytes, for which a fold of immutable arrays would take quadratic time, are
+encoded by a heap of merges instead; they too are decoded from their ids.
+
+Null texts are empty texts, which have no ids. Rows that repeat, and rows with null ids, are rows of their own. An empty
+table gives no rows. Columns that aren't asked for are ignored. The input must be repeatable, such as a table.
 """
 
 from __future__ import annotations
@@ -14,20 +18,24 @@ import base64
 import hashlib
 import heapq
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RollingHash, documents, flat, ragged, steps
+from .common import RollingHash, documents, flat, open_store, ragged, shared_dir, steps
 
 LONG_WORD = 200
-#: Bytes of text in a block: the more, the fewer words are encoded in several blocks.
+#: Bytes of text in a block; a longer document is a block of its own.
 BLOCK_BYTES = 24 << 20
+#: References to words that one row of a bucket holds; a larger bucket is several rows.
+ROW_WORDS = 1 << 20
 #: Words that are put together at a time; a longer document is a step of its own.
 STEP_WORDS = 200_000
 _BUCKETS = 8192
@@ -203,59 +211,174 @@ def decode_ids(ranks: dict[bytes, int], ids: Column) -> Column:
 # Documents ------------------------------------------------------------------------------------------------
 
 
-def blocks(docs: DataFrame, names: list[str]) -> DataFrame:
-    """Blocks of documents: the columns `names` as arrays, n_words of each document, word numbers, distinct words."""
-    fields = ", ".join(f"`{n}` array<{docs.schema[n].dataType.simpleString()}>" for n in names)
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers below 2 ** 32, byte plane by byte plane, compressed."""
+    return pa.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
 
+
+def _unplanes(data: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(raw.T).view("<u4").ravel().astype(np.int64)
+
+
+def _binary(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The slices of raw as a binary column."""
+    at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(ragged(raw, start, size)))])
+
+
+def _word_rows(docs: DataFrame, names: list[str], folder: str, buckets: int) -> DataFrame:
+    """Step 1: block, bucket, numbers, words of all blocks. Each block's file has its rows' `names`, their numbers of words
+    and the words' numbers in order; the most frequent word of a block has the number 0."""
     k = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = RollingHash()
-        seen: dict[int, int] = {}
-        held: list[list] = [[] for _ in range(k + 3)]  # names, n_words, numbers, distinct words
+        serial = TaskContext.get().partitionId() << 32
+        own: list[pa.RecordBatch] = []
+        parts: list[tuple[np.ndarray, ...]] = []  # raw, starts, hashes, words of each row
         size = 0
 
-        def close() -> pa.RecordBatch:
-            cols = [pa.concat_arrays(held[i]) for i in range(k)]
-            one = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in cols]
-            counts, numbers = np.concatenate(held[k]), np.concatenate(held[k + 1]).tobytes()
-            return pa.RecordBatch.from_arrays([*one, pa.array([counts], pa.list_(pa.int64())), pa.array([numbers], pa.binary()), pa.array([held[k + 2]], pa.list_(pa.string()))], [*names, "n_words", "numbers", "words"])
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal serial, own, parts, size
+            raw = np.concatenate([x[0] for x in parts])
+            shift = np.cumsum([0, *(len(x[0]) for x in parts)])[:-1]
+            start = np.concatenate([x[1] + y for x, y in zip(parts, shift)])
+            hashes, first, number, count = np.unique(np.concatenate([x[2] for x in parts]), return_index=True, return_inverse=True, return_counts=True)
+            order = np.argsort(-count, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            schema = pa.schema([*own[0].schema, ("n_words", pa.int64())])
+            counts = pa.array(np.concatenate([x[3] for x in parts]))
+            table = pa.table([*pa.Table.from_batches(own).columns, counts], schema=schema)
+            store, root = open_store(folder)
+            store.create_dir(root, recursive=True)
+            mine = f"{root}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(mine) as out:
+                with pa.ipc.new_stream(out, table.schema.with_metadata({"words": str(len(number))})) as to:
+                    to.write_table(table.replace_schema_metadata({"words": str(len(number))}))
+                out.write(_planes(place[number.ravel()]))
+            store.move(mine, f"{root}/{serial}.bin")
+            width = (np.append(start[1:], len(raw)) - start)[first][order]
+            at = start[first][order]
+            bucket = (hashes[order] % np.uint64(buckets)).astype(np.int64)
+            deal = np.argsort(bucket, kind="stable")
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[deal])) + 1, [len(deal)]]) if len(deal) else np.zeros(2, np.int64)
+            where = bucket[deal][cuts[:-1]] if len(deal) else np.array([serial % buckets])
+            words = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), _binary(raw, at[deal], width[deal]))
+            numbers = [_planes(np.diff(deal[a:b], prepend=0)) for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(where), serial)), pa.array(where), pa.array(numbers, pa.binary()), words], ["block", "bucket", "numbers", "words"])
+            serial, own, parts, size = serial + 1, [], [], 0
 
         for batch in batches:
             raw_all, at_all = flat(batch[k])
             for lo, hi in steps(at_all):
                 raw, at = raw_all[at_all[lo] : at_all[hi]], at_all[lo : hi + 1] - at_all[lo]
-                if size and size + len(raw) > BLOCK_BYTES:
-                    yield close()
-                    seen, held, size = {}, [[] for _ in range(k + 3)], 0
-                size += len(raw)
+                if own and size + len(raw) > BLOCK_BYTES:
+                    yield from close()
                 start, by_doc = split_words(raw, at)
-                end = np.append(start[1:], len(raw)) if len(start) else start
-                hashes, first, number = np.unique(roll.slices(roll.prefix(raw), start, end), return_index=True, return_inverse=True)
-                data = raw.tobytes()
-                place = np.empty(len(hashes), "<u4")
-                for i, (h, x, y) in enumerate(zip(hashes.tolist(), start[first].tolist(), end[first].tolist())):
-                    if (at_block := seen.setdefault(h, len(seen))) == len(held[k + 2]):
-                        held[k + 2].append(data[x:y].decode("latin-1"))
-                    place[i] = at_block
-                for i in range(k):
-                    held[i].append(batch[i].slice(lo, hi - lo))
-                held[k].append(np.diff(by_doc))
-                held[k + 1].append(place[number])
-        if held[k]:
-            yield close()
+                hashes = roll.slices(roll.prefix(raw), start, np.append(start[1:], len(raw)) if len(start) else start)
+                own.append(pa.RecordBatch.from_arrays([batch[i].slice(lo, hi - lo) for i in range(k)], names))
+                parts.append((raw.copy(), start, hashes, np.diff(by_doc)))
+                size += len(raw)
+        if own:
+            yield from close()
 
     text = F.coalesce(F.col("text"), F.lit("")).alias("__text")
-    return docs.select(*names, text).mapInArrow(run, f"{fields}, n_words array<long>, numbers binary, words array<string>")
+    return docs.select(*names, text).mapInArrow(run, "block long, bucket long, numbers binary, words array<binary>")
 
 
-def encoded_blocks(docs: DataFrame, names: list[str], vocabulary: str) -> DataFrame:
-    """Blocks with the ids and the decoded bytes of each distinct word; a long word has no ids yet and is its own bytes."""
+def _met(rows: DataFrame, parts: int) -> DataFrame:
+    """The buckets' distinct words; blocks, numbers and refs: for each block the places of its words in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size, head = 0, None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held:
+                every = pa.concat_arrays([w for _, _, w in held]).dictionary_encode()
+                index = np.asarray(every.indices).astype("<u4")
+                cut = np.cumsum([0, *(len(w) for _, _, w in held)])
+                one = lambda x, kind: pa.array([x], pa.list_(kind))
+                words = pa.ListArray.from_arrays(pa.array([0, len(every.dictionary)], pa.int32()), every.dictionary)
+                refs = [index[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+                yield pa.RecordBatch.from_arrays([one([x[0] for x in held], pa.int64()), one([x[1] for x in held], pa.binary()), one(refs, pa.binary()), words], ["blocks", "numbers", "refs", "words"])
+
+        for b in batches:
+            for i, (block, bucket, numbers) in enumerate(zip(*(b[j].to_pylist() for j in range(3)))):
+                if held and (bucket != head or size > ROW_WORDS):
+                    yield from close()
+                    held, size = [], 0
+                head = bucket
+                held.append((block, numbers, b[3].slice(i, 1).flatten()))
+                size += len(held[-1][2])
+        yield from close()
+
+    dealt = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "block")
+    return dealt.mapInArrow(run, "blocks array<long>, numbers array<binary>, refs array<binary>, words array<binary>")
+
+
+def encoded_words(met: DataFrame, vocabulary: str) -> DataFrame:
+    """Step 2: blocks, numbers, refs, words, codes (array<int> of each word, null for long ones) and decoded (binary)."""
     ranks = load_ranks(vocabulary)
-    short = lambda w: F.length(w) <= LONG_WORD
-    codes = _let(rank_literal(ranks), lambda m: F.transform("words", lambda w: F.when(short(w), encode_word(rank_of(m), w))))
-    out = blocks(docs, names).withColumn("codes", codes)
-    return out.select(*names, "n_words", "numbers", "codes", F.zip_with("words", F.transform("codes", lambda c: F.when(c.isNotNull(), decode_ids(ranks, c))), lambda w, d: F.coalesce(d, w)).alias("decoded"))
+    latin = lambda w: F.decode(w, "ISO-8859-1")
+    fold = lambda m: F.transform("words", lambda w: F.when(F.length(w) <= LONG_WORD, _let(latin(w), lambda x: encode_word(rank_of(m), x))))
+    coded = met.withColumn("codes", _let(rank_literal(ranks), fold))
+    return coded.withColumn("decoded", F.transform("codes", lambda c: F.when(c.isNotNull(), F.encode(decode_ids(ranks, c), "ISO-8859-1"))))
+
+
+def _returned(coded: DataFrame, vocabulary: str) -> DataFrame:
+    """block, data: the codes and bytes of some of a block's words, with their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = load_ranks(vocabulary)
+        bytes_of = {i: b for b, i in ranks.items()}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                blocks, numbers, refs = (batch[j][row].as_py() for j in range(3))
+                codes, decoded = (batch[j].slice(row, 1).flatten() for j in (4, 5))
+                if codes.null_count:  # long words: encoded here, and decoded from their ids
+                    words, some, back = batch[3].slice(row, 1).flatten().to_pylist(), codes.to_pylist(), decoded.to_pylist()
+                    for i, c in enumerate(some):
+                        if c is None:
+                            some[i] = merge_long(words[i], ranks)
+                            back[i] = b"".join(map(bytes_of.__getitem__, some[i]))
+                    codes, decoded = pa.array(some, pa.list_(pa.int32())), pa.array(back, pa.binary())
+                size = np.asarray(codes.value_lengths()).astype(np.int64)
+                ids, first = np.asarray(codes.flatten()), np.cumsum(size) - size
+                raw, at = flat(decoded)
+                width = np.diff(at)
+                out = []
+                for number, ref in zip(numbers, refs):
+                    mine = np.frombuffer(ref, "<u4").astype(np.int64)
+                    cols = (size[mine], width[mine], ragged(ids, first[mine], size[mine]))
+                    texts = pa.compress(ragged(raw, at[mine], width[mine]).tobytes(), "zstd", asbytes=True)
+                    blobs = [number, *map(_planes, cols), texts]
+                    head = np.array([len(mine), len(cols[2]), int(cols[1].sum()), *map(len, blobs)], "<i8").tobytes()
+                    out.append(head + b"".join(blobs))
+                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(out, pa.binary())], ["block", "data"])
+
+    return coded.mapInArrow(run, "block long, data binary")
+
+
+def _dictionary(rows: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of all words of a block, by number: how many ids, the ids, how many bytes, the bytes."""
+    number, size, width, ids, texts = [], [], [], [], []
+    for data in rows:
+        n, n_ids, n_bytes, *lengths = np.frombuffer(data, "<i8", 8).tolist()
+        cut = np.cumsum([64, *lengths]).tolist()
+        part = [data[a:b] for a, b in zip(cut, cut[1:])]
+        number.append(np.cumsum(_unplanes(part[0], n)))
+        size.append(_unplanes(part[1], n))
+        width.append(_unplanes(part[2], n))
+        ids.append(_unplanes(part[3], n_ids))
+        texts.append(np.frombuffer(pa.decompress(part[4], n_bytes, "zstd", asbytes=True), np.uint8))
+    number, size, width, ids, texts = (np.concatenate(x) for x in (number, size, width, ids, texts))
+    order = np.argsort(number)
+    if not np.array_equal(number[order], np.arange(len(number))):
+        raise RuntimeError("words of a block are missing; the input must be a table")
+    return size[order], ragged(ids, (np.cumsum(size) - size)[order], size[order]), width[order], ragged(texts, (np.cumsum(width) - width)[order], width[order])
 
 
 def _decimal(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -267,57 +390,63 @@ def _decimal(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def assembled(docs: DataFrame, names: list[str], vocabulary: str, with_ids: bool = False) -> DataFrame:
     """A row for each document: `names`, n_tokens, ids_sha256, decoded_sha256 or, with_ids, ids and the decoded text."""
+    spark = docs.sparkSession
     kinds = {n: docs.schema[n].dataType.simpleString() for n in names}
     rest = "ids array<int>, decoded string" if with_ids else "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = shared_dir(spark, "blocks")
+    k = len(names)
+
+    def put_together(block: int, rows: list[bytes], pool: np.ndarray, place: np.ndarray, width: np.ndarray) -> Iterator[pa.RecordBatch]:
+        store, root = open_store(folder)
+        with store.open_input_file(f"{root}/{block}.bin") as f:
+            with pa.ipc.open_stream(f) as stream:
+                total = int(stream.schema.metadata[b"words"])
+                table = stream.read_all().combine_chunks()
+            number = _unplanes(f.read(), total)
+        n_words = np.asarray(table["n_words"])
+        size, ids, bsize, pieces = _dictionary(rows)
+        first, bfirst = np.cumsum(size) - size, np.cumsum(bsize) - bsize
+        every = np.concatenate([[0], np.cumsum(n_words)])
+        for lo, hi in steps(every, STEP_WORDS):
+            mine, cut = number[every[lo] : every[hi]], every[lo : hi + 1] - every[lo]
+            ends = lambda n: np.concatenate([[0], np.cumsum(n)])[cut]  # noqa: B023, E731
+            btext, bcut, tcut = ragged(pieces, bfirst[mine], bsize[mine]), ends(bsize[mine]), ends(size[mine])
+            mids = ragged(ids, first[mine], size[mine])
+            own = [table.column(i).slice(lo, hi - lo).combine_chunks() for i in range(k)]
+            own = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in own]
+            if with_ids:
+                out = [pa.ListArray.from_arrays(pa.array(tcut, pa.int32()), pa.array(mids.astype(np.int32))), pa.array([btext[a:b].tobytes().decode() for a, b in zip(bcut, bcut[1:])], pa.string())]
+                yield pa.RecordBatch.from_arrays([*own, *out], [*names, "ids", "decoded"])
+                continue
+            wide = width[mids]
+            text, dcut = ragged(pool, place[mids], wide), np.concatenate([[0], np.cumsum(wide)])[tcut]
+            sha = lambda x: hashlib.sha256(x).hexdigest()
+            yield pa.RecordBatch.from_arrays(
+                [*own, pa.array(np.diff(tcut)), pa.array([sha(text[a : max(a, b - 1)]) for a, b in zip(dcut, dcut[1:])], pa.string()), pa.array([sha(btext[a:b]) for a, b in zip(bcut, bcut[1:])], pa.string())],
+                [*names, "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = load_ranks(vocabulary)
-        bytes_of = {i: b for b, i in ranks.items()}
-        pool, place, width = _decimal(max(ranks.values()) + 1)
-        k = len(names)
+        digits = _decimal(max(load_ranks(vocabulary).values()) + 1)
+        head, held = None, []
         for batch in batches:
-            for row in range(batch.num_rows):
-                cols = [batch[i].slice(row, 1).flatten() for i in range(k)]
-                n_words = np.asarray(batch[k].slice(row, 1).flatten())
-                number = np.frombuffer(batch[k + 1][row].as_py(), "<u4").astype(np.int64)
-                codes, decoded = batch[k + 2].slice(row, 1).flatten(), batch[k + 3].slice(row, 1).flatten()
-                binary = [w.encode("latin-1") for w in decoded.to_pylist()]
-                if codes.null_count:  # long words, which come as they are: encoded here, and decoded from their ids
-                    every = codes.to_pylist()
-                    for i, c in enumerate(every):
-                        if c is None:
-                            every[i] = merge_long(binary[i], ranks)
-                            binary[i] = b"".join(map(bytes_of.__getitem__, every[i]))
-                    codes = pa.array(every, pa.list_(pa.int32()))
-                size = np.asarray(codes.value_lengths()).astype(np.int64)
-                ids, first = np.asarray(codes.flatten()).astype(np.int64), np.cumsum(size) - size
-                bsize = np.array([len(w) for w in binary], np.int64)
-                pieces, bfirst = np.frombuffer(b"".join(binary), np.uint8), np.cumsum(bsize) - bsize
-                digits = ragged(pool, place[ids], width[ids])
-                dsize = np.diff(np.concatenate([[0], np.cumsum(width[ids])])[np.concatenate([first, [len(ids)]])]) if len(size) else size
-                dfirst = np.cumsum(dsize) - dsize
-                every = np.concatenate([[0], np.cumsum(n_words)])
-                for lo, hi in steps(every, STEP_WORDS):
-                    mine, cut = number[every[lo] : every[hi]], every[lo : hi + 1] - every[lo]
-                    ends = lambda n: np.concatenate([[0], np.cumsum(n[mine])])[cut]  # noqa: B023, E731
-                    btext, bcut, tcut = ragged(pieces, bfirst[mine], bsize[mine]), ends(bsize), ends(size)
-                    own = [c.slice(lo, hi - lo) for c in cols]
-                    if with_ids:
-                        flat_ids = ragged(ids, first[mine], size[mine]).astype(np.int32)
-                        out = [pa.ListArray.from_arrays(pa.array(tcut, pa.int32()), pa.array(flat_ids)), pa.array([btext[a:b].tobytes().decode() for a, b in zip(bcut, bcut[1:])], pa.string())]
-                        yield pa.RecordBatch.from_arrays([*own, *out], [*names, "ids", "decoded"])
-                        continue
-                    text, dcut = ragged(digits, dfirst[mine], dsize[mine]), ends(dsize)
-                    sha = lambda x: hashlib.sha256(x).hexdigest()
-                    yield pa.RecordBatch.from_arrays(
-                        [*own, pa.array(np.diff(tcut)), pa.array([sha(text[a : max(a, b - 1)]) for a, b in zip(dcut, dcut[1:])], pa.string()), pa.array([sha(btext[a:b]) for a, b in zip(bcut, bcut[1:])], pa.string())],
-                        [*names, "n_tokens", "ids_sha256", "decoded_sha256"],
-                    )
-
-    return encoded_blocks(docs, names, vocabulary).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in kinds.items()) + f", {rest}")
+            for block, data in zip(batch[0].to_pylist(), batch[1].to_pylist()):
+                if held and block != head:
+                    yield from put_together(head, held, *digits)
+                    held = []
+                head = block
+                held.append(data)
+        if held:
+            yield from put_together(head, held, *digits)
+
+    rows = _word_rows(docs, names, folder, min(8192, 16 * parts))
+    back = _returned(encoded_words(_met(rows, parts), vocabulary), vocabulary)
+    return back.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in kinds.items()) + f", {rest}")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document; a null text has no ids."""
     import public_tokenizers
 
     docs = documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

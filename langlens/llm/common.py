@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +21,21 @@ STEP_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared storage (a local one only where none is configured)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/langlens-shared"
+    """A new folder in the cluster's shared storage; a local one only where none is configured and all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or f"file://{tempfile.gettempdir()}/langlens-shared"
     return f"{base.rstrip('/')}/langlens/{name}-{uuid.uuid4().hex}"
 
 
+def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a shared folder, and the folder's path in it."""
+    if uri.startswith("file:"):
+        uri = "file:///" + uri[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(uri)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in shared storage: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, name)

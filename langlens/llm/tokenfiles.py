@@ -20,17 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, flat, shared_dir, written
+from .common import documents, flat, open_store, shared_dir, written
 
 END_OF_DOCUMENT = 50256
 
 
-def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    if uri.startswith("file:"):
-        uri = "file:///" + uri[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
-
-
 @lru_cache(2)
 def tokenizer(path: str):
     """A byte-level BPE from a rank file."""
@@ -52,7 +46,7 @@ def export_tokens(docs: DataFrame, folder: str, vocabulary: str, eod: int = END_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(vocabulary).encode_ordinary
         part = TaskContext.get().partitionId()
-        store, root = _open(folder)
+        store, root = open_store(folder)
         store.create_dir(root, recursive=True)
         name, mine = f"part-{part:06d}.bin", f"{root}/.{part}-{uuid.uuid4().hex}"
         n = 0
@@ -80,7 +74,7 @@ def token_counts(spark: SparkSession, folder: str, eod: int = END_OF_DOCUMENT, d
     without tokens has none. Files whose size is no multiple of the token are an error.
     """
     width = np.dtype(dtype).itemsize
-    store, root = _open(folder)
+    store, root = open_store(folder)
     sizes = [(x.base_name, x.size) for x in store.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if x.is_file and not x.base_name.startswith((".", "_"))]
     if bad := [n for n, s in sizes if s % width]:
         raise ValueError(f"not whole tokens: {bad[:3]}")
@@ -89,7 +83,7 @@ def token_counts(spark: SparkSession, folder: str, eod: int = END_OF_DOCUMENT, d
     blocks = files.select("file", "tokens", F.explode(F.sequence(F.lit(0), F.floor((F.col("tokens") - 1) / block_tokens))).alias("block")).repartition(max(1, min(n_blocks, 4096)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _open(folder)
+        store, root = open_store(folder)
         for batch in batches:
             out = []
             for file, tokens, block in zip(*(c.to_pylist() for c in batch.columns)):
@@ -193,7 +187,7 @@ def training_shards(docs: DataFrame, folder: str, key: int, length: int = 512, d
             raise RuntimeError("the input's partitions changed between two reads; write it as a table first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _open(folder)
+        store, root = open_store(folder)
         store.create_dir(root, recursive=True)
 
         def close(shard: int, blocks: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -232,7 +226,7 @@ def training_shards(docs: DataFrame, folder: str, key: int, length: int = 512, d
 def read_slots(folder: str, first: int, n: int, length: int = 512, dtype: str = "u1", slots_per_shard: int = 16384) -> Iterator[np.ndarray]:
     """Sequences of slots first, first+1, ...: sequential reads, resumable at any slot."""
     stride = length * np.dtype(dtype).itemsize
-    store, root = _open(folder)
+    store, root = open_store(folder)
     while n > 0:
         shard, inside = divmod(first, slots_per_shard)
         take = min(n, slots_per_shard - inside)
