@@ -4,6 +4,11 @@ Every line is labelled good or bad from its own features and those of its neighb
 marginals of "good", weighted by line length, make the document's quality, and a logistic curve fitted on
 the training documents maps that to a score. Empty texts and texts without visible lines get the share of
 good training documents. Labels, language, source and id are no inputs.
+
+The fit takes one row for each of at most TRAIN_DOCUMENTS labelled ids, in one executor's task, which holds numbers of
+features alone; texts are scanned in pieces cut at line ends. Without labels, or with labels of one class, every score
+is the share of good ones, (good + 1) / (labelled + 2). Null texts are empty texts. Rows with null ids are scored, their
+held_out is null. Repeated rows are scored alike. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RollingHash, documents, flat, spans, steps, words
+from .common import STEP_BYTES, RollingHash, documents, flat, spans, steps, words
 
 #: Bound of the training sample: labelled documents, those with the smallest hashes of their ids.
 TRAIN_DOCUMENTS = 3000
@@ -26,7 +31,7 @@ FOLDS = 5
 
 def _kinds() -> np.ndarray:
     """Byte classes: upper, lower or non-ASCII, digit, space, sentence marks, other marks."""
-    kind = np.full(256, 5, np.int64)
+    kind = np.full(256, 5, np.uint8)
     kind[65:91] = 0
     kind[97:123] = 1
     kind[128:] = 1
@@ -55,8 +60,8 @@ N_BINS = sum(len(c) + 1 for c in _CUTS.values())
 N_FEATURES = 3 * (N_BINS + 1)
 
 
-def line_features(raw: np.ndarray, at: np.ndarray, roll: RollingHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every non-blank line: its document, its length, and the numbers of its active features (own, previous, next)."""
+def _own(raw: np.ndarray, at: np.ndarray, roll: RollingHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every non-blank line: its row, its length, and the numbers of its own features."""
     start, end = spans(raw != 10, at)
     wstart, wend, _ = words(raw, at)
     # A word belongs to the line that it starts in: words hold no line feed.
@@ -69,47 +74,88 @@ def line_features(raw: np.ndarray, at: np.ndarray, roll: RollingHash) -> tuple[n
     n = len(start)
     doc = np.searchsorted(at, start, "right") - 1
     length = end - start
+    own = np.empty((n, len(_CUTS)), np.int16)
     if not n:
-        return doc, length, np.zeros((0, 3 * len(_CUTS)), np.int64)
+        return doc, length, own
     kind = _KIND[raw]
-    share = lambda mask: (np.cumsum(np.concatenate([[0], mask])))
-    part = lambda c: (c[end] - c[start]) / length
-    mark = kind == 5
+    counts = lambda mask: np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+
+    def part(mask: np.ndarray) -> np.ndarray:
+        c = counts(mask)
+        return (c[end] - c[start]) / length
+
+    marks = counts(kind == 5)
     hashes = roll.slices(roll.prefix(raw), wstart, wend)
     first = np.concatenate([[0], np.cumsum(n_words)[:-1]])
     same = np.zeros(len(wstart))
     same[1:] = (hashes[1:] == hashes[:-1]) & (line_of[1:] == line_of[:-1])
-    marks = share(mark)
-    ends_in_mark = mark[wend - 1] & (wend - wstart > 1)
-    lone = mark[wstart] & (marks[wend] - marks[wstart] == wend - wstart)
+    ends_in_mark = (kind[wend - 1] == 5) & (wend - wstart > 1)
+    lone = marks[wend] - marks[wstart] == wend - wstart
     by_line = lambda x: np.add.reduceat(x.astype(float), first) / n_words
     order = np.lexsort((hashes, line_of))
     new = np.ones(len(order), bool)
     new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (line_of[order][1:] != line_of[order][:-1])
     values = {
-        "length": length,
-        "upper": part(share(kind == 0)),
-        "letters": part(share(kind <= 1)),
-        "digits": part(share(kind == 2)),
-        "space": part(share(kind == 3)),
-        "sentence": part(share(kind == 4)),
-        "marks": part(marks),
-        "mark_runs": by_line(ends_in_mark),
-        "word_length": np.add.reduceat((wend - wstart).astype(float), first) / n_words,
-        "same_as_last": by_line(same),
-        "distinct": np.add.reduceat(new.astype(float), first) / n_words,
-        "lone_marks": by_line(lone),
+        "length": lambda: length,
+        "upper": lambda: part(kind == 0),
+        "letters": lambda: part(kind <= 1),
+        "digits": lambda: part(kind == 2),
+        "space": lambda: part(kind == 3),
+        "sentence": lambda: part(kind == 4),
+        "marks": lambda: (marks[end] - marks[start]) / length,
+        "mark_runs": lambda: by_line(ends_in_mark),
+        "word_length": lambda: by_line(wend - wstart),
+        "same_as_last": lambda: by_line(same),
+        "distinct": lambda: by_line(new),
+        "lone_marks": lambda: by_line(lone),
     }
-    own, base = np.empty((n, len(_CUTS)), np.int64), 0
+    base = 0
     for k, (name, cuts) in enumerate(_CUTS.items()):
-        own[:, k] = base + np.searchsorted(cuts, values[name], "right")
+        own[:, k] = base + np.searchsorted(cuts, values[name](), "right")
         base += len(cuts) + 1
-    edge = np.full((1, len(_CUTS)), N_BINS)
+    return doc, length, own
+
+
+def _pieces(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of at most STEP_BYTES that end with a row or a line, or one line."""
+    lo, n = 0, len(raw)
+    while lo < n:
+        hi = min(lo + STEP_BYTES, n)
+        if hi < n and hi not in at[np.searchsorted(at, hi) :][:1]:
+            feeds = np.flatnonzero(raw[lo:hi] == 10)
+            row = int(at[np.searchsorted(at, hi, "right") - 1])
+            hi = max(lo + int(feeds[-1]) + 1 if len(feeds) else lo, row)
+            if hi <= lo:
+                later = np.flatnonzero(raw[lo + STEP_BYTES :] == 10)[:1] + lo + STEP_BYTES + 1
+                hi = min(int(at[np.searchsorted(at, lo, "right")]), int(later[0]) if len(later) else n)
+        yield lo, hi
+        lo = hi
+
+
+def line_features(raw: np.ndarray, at: np.ndarray, roll: RollingHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every non-blank line: its document, its length, and the numbers of its active features (own, previous, next)."""
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(_CUTS)), np.int16))]
+    for lo, hi in _pieces(raw, at):
+        first, last = int(np.searchsorted(at, lo, "right")) - 1, int(np.searchsorted(at, hi, "left"))
+        doc, length, own = _own(raw[lo:hi], np.clip(at[first : last + 1], lo, hi) - lo, roll)
+        parts.append((doc + first, length, own))
+    doc, length, own = (np.concatenate(x) for x in zip(*parts))
+    if not len(doc):
+        return doc, length, np.zeros((0, 3 * len(_CUTS)), np.int16)
+    edge = np.full((1, len(_CUTS)), N_BINS, np.int16)
     before, after = np.concatenate([edge, own[:-1]]), np.concatenate([own[1:], edge])
     turn = np.flatnonzero(doc[1:] != doc[:-1])
     before[turn + 1] = N_BINS
     after[turn] = N_BINS
-    return doc, length, np.concatenate([own, before + N_BINS + 1, after + 2 * (N_BINS + 1)], 1)
+    return doc, length, np.concatenate([own, before + np.int16(N_BINS + 1), after + np.int16(2 * (N_BINS + 1))], 1)
+
+
+def _scores(w: np.ndarray, active: np.ndarray) -> np.ndarray:
+    """Log-odds of lines: the sum of the weights of their active features."""
+    out = np.zeros(len(active))
+    for k in range(active.shape[1]):
+        out += w[active[:, k]]
+    return out
 
 
 def _grid(doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -172,12 +218,15 @@ def _logit(q: np.ndarray) -> np.ndarray:
 
 def fit(texts: list[str], good: list[int], rounds: int = 120, rate: float = 0.08, decay: float = 1e-3) -> dict:
     """Maximum likelihood by Adam, each line taking its document's label, then the logistic curve."""
-    label = np.asarray(good, float)
-    prior = float((label.sum() + 1) / (len(label) + 2))
     raw, at = flat(pa.array(texts, pa.large_string()))
-    doc, length, active = line_features(raw, at, RollingHash())
+    return fit_lines(*line_features(raw, at, RollingHash()), np.asarray(good, float), rounds, rate, decay)
+
+
+def fit_lines(doc: np.ndarray, length: np.ndarray, active: np.ndarray, label: np.ndarray, rounds: int = 120, rate: float = 0.08, decay: float = 1e-3) -> dict:
+    """fit, from the lines' features."""
+    prior = float((label.sum() + 1) / (len(label) + 2))
     w, trans = np.zeros(N_FEATURES), np.zeros((2, 2))
-    if not len(doc) or len(set(good)) < 2:
+    if not len(doc) or len(np.unique(label)) < 2:
         return {"w": w, "trans": trans, "a": 0.0, "b": float(np.log(prior / (1 - prior))), "prior": prior}
     y = label[doc]
     truth = np.zeros((2, 2))
@@ -186,13 +235,13 @@ def fit(texts: list[str], good: list[int], rounds: int = 120, rate: float = 0.08
     theta, m, v = np.zeros(N_FEATURES + 4), np.zeros(N_FEATURES + 4), np.zeros(N_FEATURES + 4)
     for step in range(1, rounds + 1):
         w, trans = theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2)
-        p, moves, _ = forward_backward(w[active].sum(1), doc, trans)
-        grad = np.bincount(active.ravel(), np.repeat(y - p, active.shape[1]), N_FEATURES)
+        p, moves, _ = forward_backward(_scores(w, active), doc, trans)
+        grad = sum(np.bincount(active[:, k], y - p, N_FEATURES) for k in range(active.shape[1]))
         g = np.concatenate([grad, (truth - moves).ravel()]) / len(doc) - decay * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     w, trans = theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2)
-    q = _quality(w[active].sum(1), doc, length, len(label), trans)
+    q = _quality(_scores(w, active), doc, length, len(label), trans)
     seen = ~np.isnan(q)
     x, t = _logit(q[seen]), label[seen]
     a, b = 1.0, 0.0
@@ -210,7 +259,7 @@ def score_texts(model: dict, col: pa.Array, roll: RollingHash) -> np.ndarray:
     out = np.full(len(at) - 1, model["prior"])
     for lo, hi in steps(at):
         doc, length, active = line_features(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], roll)
-        q = _quality(model["w"][active].sum(1), doc, length, hi - lo, model["trans"])
+        q = _quality(_scores(model["w"], active), doc, length, hi - lo, model["trans"])
         s = 1 / (1 + np.exp(-(model["a"] * _logit(q) + model["b"])))
         out[lo:hi] = np.where(np.isnan(q), model["prior"], s)
     return out
@@ -221,9 +270,27 @@ def train_quality(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMEN
     known = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0)
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = documents(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    return fit([r.text for r in rows], [r.quality for r in rows])
+    rows = documents(docs).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roll, parts, labels = RollingHash(), [], []
+        for batch in batches:
+            raw, at = flat(batch[0])
+            for lo, hi in steps(at):
+                doc, length, active = line_features(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], roll)
+                parts.append((doc + sum(map(len, labels)), length, active))
+                labels.append(np.asarray(batch[1].slice(lo, hi - lo)).astype(float))
+        if parts:
+            model = fit_lines(*(np.concatenate(x) for x in zip(*parts)), np.concatenate(labels))
+            yield pa.RecordBatch.from_pylist([{"w": model["w"].tolist(), "trans": model["trans"].ravel().tolist(), "rest": [model[k] for k in ("a", "b", "prior")]}])
+
+    # The sample's size is bounded; one task fits it.
+    fitted = rows.repartition(1).sortWithinPartitions("doc_id").select("text", "quality").mapInArrow(run, "w array<double>, trans array<double>, rest array<double>").collect()
+    if not fitted:
+        return fit([], [])
+    a, b, prior = fitted[0].rest
+    return {"w": np.array(fitted[0].w), "trans": np.array(fitted[0].trans).reshape(2, 2), "a": a, "b": b, "prior": prior}
 
 
 def score_quality(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
