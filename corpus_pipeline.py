@@ -1,6 +1,9 @@
 """A corpus pipeline of five stages; each works on all that the one before it kept.
 
 quality classifier -> line dedup -> n-gram Jaccard join -> benchmark decontamination -> byte-level BPE
+
+Null and empty texts, null ids, repeated rows and empty tables pass as each stage's operator states; further columns,
+whatever their names, are carried along.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 from langlens.llm import bpe, decontaminate, jaccard, linededup, quality
 from langlens.llm.common import written
 
-#: The classifier and the component search are no SQL; tests hold the rows against a brute-force version.
+#: The classifier and the component search are no SQL; tests/llm/test_pipeline.py holds the rows against a plain version.
 ORACLE_SQL = None
 
 
@@ -21,12 +24,12 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated and near-repeated lines go, and documents that consisted of them."""
+    """Repeated and near-repeated lines go, and documents that consisted of them alone."""
     return linededup.rewrite(docs)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that of the smallest id."""
+    """One row of each group of near duplicates stays: that of the smallest id; equal rows count as copies."""
     return jaccard.keep_one(docs)
 
 
@@ -36,12 +39,12 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids, n_tokens and the SHA-256 of the decoded text."""
+    """All columns but text, with ids, n_tokens and the SHA-256 of the decoded text."""
     import public_tokenizers
 
-    rows = docs.select("doc_id", "lang", "source", "text")
-    out = bpe.assembled(rows, ["doc_id", "lang", "source"], public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=True)
-    return out.select("doc_id", "lang", "source", "ids", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    names = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "decoded_sha256")]
+    out = bpe.assembled(docs, names, public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=True)
+    return out.select(*names, "ids", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [
