@@ -49,3 +49,38 @@ def test_against_brute_force(spark, monkeypatch):
         got = sorted(map(tuple, suffixdedup.dedup_bytes(frame(spark, rows)).collect()), key=str)
         assert got == brute(rows)
     assert suffixdedup.dedup_bytes(empty(spark)).collect() == []
+
+
+def test_collections_against_brute_force():
+    for seed in range(4):
+        rng = random.Random(seed)
+        base = bytes(rng.randrange(97, 100) for _ in range(330))
+        texts = []
+        for _ in range(40):
+            x = bytearray(base)
+            for _ in range(rng.randrange(3)):
+                x[rng.randrange(330)] = 120
+            a = rng.randrange(60)
+            texts.append(bytes(x[a : a + rng.randrange(200, 271)]))
+        texts += [b"ab" * 150, b"z" * 220]
+        seen = collections.Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+        assert [m.tolist() for m in suffixdedup.repeats(texts)] == [[seen[t[i : i + 200]] > 1 for i in range(len(t) - 199)] for t in texts]
+
+
+def test_long_and_low_entropy_texts(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(3_000_000))
+    rows = [(1, long), (2, long[1_048_500:1_050_000]), (3, "ab" * 20_000), (4, "ba" * 150), (5, "q" * 5000), (6, "short")]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffixdedup.dedup_bytes(frame(spark, rows)).collect()}
+    assert got == {1: (1500, 1), 2: (1500, 1), 3: (40_000, 1), 4: (300, 1), 5: (5000, 1), 6: (0, 0)}
+
+
+def test_hot_seeds_are_split(spark, monkeypatch):
+    rng = random.Random(10)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = text(150)
+    tails = [text(120) for _ in range(8)]
+    rows = [(i, text(rng.randrange(100)) + passage + rng.choice(tails)[: rng.randrange(40, 120)]) for i in range(60)]
+    monkeypatch.setattr(suffixdedup, "HOT_PIECES", 3)
+    monkeypatch.setattr(suffixdedup, "BROADCAST_PIECES", 0)
+    assert sorted(map(tuple, suffixdedup.dedup_bytes(frame(spark, rows)).collect()), key=str) == brute(rows)
