@@ -238,16 +238,27 @@ def log_probabilities(model: Model, h: np.ndarray, at: np.ndarray, n_lanes: int
     return out / np.log(10), ids == model.n
 
 
-def train(model: Model, h: np.ndarray, at: np.ndarray, rate: float = 0.01, n_lanes: int = 64) -> int:
+class Adam:
+    """The optimiser's moments, kept from slice to slice."""
+
+    def __init__(self, model: Model) -> None:
+        self.m, self.v, self.grad = ({k: np.zeros_like(x) for k, x in model.w.items()} for _ in range(3))
+        self.step = 0
+
+
+def train(model: Model, h: np.ndarray, at: np.ndarray, adam: Adam | None = None, rate: float = 0.01, n_lanes: int = 128) -> int:
     """One pass of truncated backpropagation with Adam; returns the number of tokens.
 
     Of E only the rows of input tokens, and of W and wb only the classes of targets get gradients in a window, so
     that only these are updated and a step costs the same in a large vocabulary."""
     ids = model.numbers(h)
     end = int(model.numbers(np.array([END]))[0])
-    m, v, grad = ({k: np.zeros_like(x) for k, x in model.w.items()} for _ in range(3))
+    adam = adam or Adam(model)
+    m, v, grad = adam.m, adam.v, adam.grad
     state = np.zeros((n_lanes, HIDDEN), np.float32)
-    for step, (x, new, y, where, active) in enumerate(_windows(ids, at, n_lanes, end), 1):
+    for x, new, y, where, active in _windows(ids, at, n_lanes, end):
+        adam.step += 1
+        step = adam.step
         states, kept = model.run(x, new, state[:active])
         state = states[-1]
         there = (where.ravel() >= 0).astype(np.float32)
@@ -280,12 +291,12 @@ def fit(docs: DataFrame, counts: DataFrame, trainers: int = TRAINERS, rounds: in
     trainers = max(trainers, -(-int(n_all) // TRAINER_TOKENS))
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll, total = RollingHash(), 0
+        roll, total, adam = RollingHash(), 0, Adam(model)
         for b in batches:
             raw, at = flat(b[0])
             for lo, hi in steps(at, 8 << 20):
                 ids, cut = tokens(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], roll)
-                total += train(model, ids, cut)
+                total += train(model, ids, cut, adam)
         every = model.vector()
         for k, lo in enumerate(range(0, len(every) if total else 0, PIECE)):
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total]), pa.array([every[lo : lo + PIECE].tobytes()], pa.binary())], ["k", "n", "w"])
@@ -351,4 +362,5 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """See score_documents: a row for each document, a null text being one end; null ids are scored, never learned from."""
     return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

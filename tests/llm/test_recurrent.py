@@ -108,3 +108,34 @@ def test_rare_tokens_are_joined(spark, monkeypatch):
     for name, value in (("HEAD", 2), ("FREQUENT", 3), ("least_count", lambda n: n)):
         monkeypatch.setattr(recurrent, name, value)
     check(recurrent.score_documents(frame(spark)).collect(), BASE)
+
+
+def test_scores_equal_a_plain_version():
+    rng = np.random.default_rng(4)
+    head = np.array([recurrent.END, *range(10, 40)])
+    model = recurrent.Model(head, np.arange(len(head), 0, -1.0), 30, 9)
+    for k in model.w:
+        if k != "wb":
+            model.w[k] = model.w[k] + rng.normal(0, 0.4, model.w[k].shape).astype(np.float32)
+    docs = [[*rng.integers(8, 44, n).tolist(), recurrent.END] for n in (0, 1, 70, 5, 33, 31, 32)]
+    at = np.cumsum([0, *map(len, docs)])
+    got, rare = recurrent.log_probabilities(model, np.concatenate(docs).astype(np.int64), at, n_lanes=3)
+    w, size, want = model.w, recurrent.HIDDEN, []
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    soft = lambda z: z - np.log(np.exp(z).sum())
+    number = {int(t): i for i, t in enumerate(head)}
+    for d in docs:
+        state, last = np.zeros(size), number[recurrent.END]
+        for t in d:
+            x, u = w["E"][last] + w["bias"], state @ w["U"]
+            r, z = sigmoid(x[:size] + u[:size]), sigmoid(x[size : 2 * size] + u[size : 2 * size])
+            n = np.tanh(x[2 * size :] + r * u[2 * size :])
+            state = (1 - z) * n + z * state
+            last = number.get(t, model.n)
+            c = min(last // model.width, model.classes) if last < model.n else model.classes
+            p = soft(state @ w["C"] + w["cb"])[c]
+            if last < model.n:
+                p += soft(state @ w["W"][c] + w["wb"][c])[last - c * model.width]
+            want.append(p / np.log(10))
+    assert np.allclose(got, want, atol=1e-4)
+    assert rare.tolist() == [t not in number for d in docs for t in d]
