@@ -236,38 +236,39 @@ def _word_rows(docs: DataFrame, names: list[str], folder: str, buckets: int) ->
         roll = RollingHash()
         serial = TaskContext.get().partitionId() << 32
         own: list[pa.RecordBatch] = []
-        parts: list[tuple[np.ndarray, ...]] = []  # raw, starts, hashes, words of each row
+        parts: list[tuple[np.ndarray, ...]] = []  # of each step: hashes, bytes, widths and counts of its words; their order; words of each row
         size = 0
 
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal serial, own, parts, size
-            raw = np.concatenate([x[0] for x in parts])
-            shift = np.cumsum([0, *(len(x[0]) for x in parts)])[:-1]
-            start = np.concatenate([x[1] + y for x, y in zip(parts, shift)])
-            hashes, first, number, count = np.unique(np.concatenate([x[2] for x in parts]), return_index=True, return_inverse=True, return_counts=True)
+            hashes, first, number = np.unique(np.concatenate([x[0] for x in parts]), return_index=True, return_inverse=True)
+            raw, width = np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts])
+            count = np.bincount(number.ravel(), np.concatenate([x[3] for x in parts]), len(hashes))
             order = np.argsort(-count, kind="stable")
-            place = np.empty(len(order), np.int64)
+            place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order))
+            shift = np.cumsum([0, *(len(x[0]) for x in parts)])
+            numbers = np.concatenate([place[number.ravel()[a:b]][x[4]] for x, a, b in zip(parts, shift, shift[1:])])
             schema = pa.schema([*own[0].schema, ("n_words", pa.int64())])
-            counts = pa.array(np.concatenate([x[3] for x in parts]))
+            counts = pa.array(np.concatenate([x[5] for x in parts]))
             table = pa.table([*pa.Table.from_batches(own).columns, counts], schema=schema)
             store, root = open_store(folder)
             store.create_dir(root, recursive=True)
             mine = f"{root}/.{uuid.uuid4().hex}"
             with store.open_output_stream(mine) as out:
-                with pa.ipc.new_stream(out, table.schema.with_metadata({"words": str(len(number))})) as to:
-                    to.write_table(table.replace_schema_metadata({"words": str(len(number))}))
-                out.write(_planes(place[number.ravel()]))
+                with pa.ipc.new_stream(out, table.schema.with_metadata({"words": str(len(numbers))})) as to:
+                    to.write_table(table.replace_schema_metadata({"words": str(len(numbers))}))
+                out.write(_planes(numbers))
             store.move(mine, f"{root}/{serial}.bin")
-            width = (np.append(start[1:], len(raw)) - start)[first][order]
-            at = start[first][order]
+            at = (np.cumsum(width) - width)[first][order]
+            width = width[first][order]
             bucket = (hashes[order] % np.uint64(buckets)).astype(np.int64)
             deal = np.argsort(bucket, kind="stable")
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[deal])) + 1, [len(deal)]]) if len(deal) else np.zeros(2, np.int64)
             where = bucket[deal][cuts[:-1]] if len(deal) else np.array([serial % buckets])
             words = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), _binary(raw, at[deal], width[deal]))
-            numbers = [_planes(np.diff(deal[a:b], prepend=0)) for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(where), serial)), pa.array(where), pa.array(numbers, pa.binary()), words], ["block", "bucket", "numbers", "words"])
+            dealt = [_planes(np.diff(deal[a:b], prepend=0)) for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(where), serial)), pa.array(where), pa.array(dealt, pa.binary()), words], ["block", "bucket", "numbers", "words"])
             serial, own, parts, size = serial + 1, [], [], 0
 
         for batch in batches:
@@ -277,9 +278,11 @@ def _word_rows(docs: DataFrame, names: list[str], folder: str, buckets: int) ->
                 if own and size + len(raw) > BLOCK_BYTES:
                     yield from close()
                 start, by_doc = split_words(raw, at)
-                hashes = roll.slices(roll.prefix(raw), start, np.append(start[1:], len(raw)) if len(start) else start)
-                own.append(pa.RecordBatch.from_arrays([batch[i].slice(lo, hi - lo) for i in range(k)], names))
-                parts.append((raw.copy(), start, hashes, np.diff(by_doc)))
+                end = np.append(start[1:], len(raw)) if len(start) else start
+                hashes, first, number, count = np.unique(roll.slices(roll.prefix(raw), start, end), return_index=True, return_inverse=True, return_counts=True)
+                width = (end - start)[first]
+                own.append(pa.RecordBatch.from_arrays([batch[i].take(pa.array(np.arange(lo, hi))) for i in range(k)], names))  # copies, as a slice keeps the texts
+                parts.append((hashes, ragged(raw, start[first], width), width, count, number.ravel().astype(np.uint32), np.diff(by_doc)))
                 size += len(raw)
         if own:
             yield from close()
