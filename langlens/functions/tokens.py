@@ -34,14 +34,20 @@ def lexemes(text: Column) -> Column:
 
 
 def kind(lexeme: Column) -> Column:
-    """ident, number, line-comment, block-comment, string or symbol."""
+    """ident, number, line-comment, block-comment, string or symbol, by the first characters; only characters beyond
+    ASCII need their Unicode class."""
     long = F.length(lexeme) > 1
+    first, two = F.substring(lexeme, 1, 1), F.substring(lexeme, 1, 2)
+    ascii_ = first < "\x80"
     return (
-        F.when(long & lexeme.rlike(r"^(?:/\*|\{-|\(\*|<!--)"), "block-comment")
-        .when(lexeme.rlike(r"^(?://|--|#|%)"), "line-comment")
-        .when(long & lexeme.rlike("^[\"'`]"), "string")
-        .when(lexeme.rlike(f"^[+-]?[{_N}]"), "number")
-        .when(lexeme.rlike(r"^[\p{IsAlphabetic}_]"), "ident")
+        F.when(long & (two.isin("/*", "{-", "(*") | (two == "<!")), "block-comment")
+        .when(first.isin("#", "%") | two.isin("//", "--"), "line-comment")
+        .when(long & first.isin(*_QUOTES), "string")
+        .when(first.between("0", "9") | (long & first.isin("+", "-")), "number")
+        .when(long & ascii_ | first.between("a", "z") | first.between("A", "Z") | (first == "_"), "ident")
+        .when(ascii_, "symbol")
+        .when(lexeme.rlike(f"^[{_N}]"), "number")
+        .when(lexeme.rlike(r"^\p{IsAlphabetic}"), "ident")
         .otherwise("symbol")
     )
 
@@ -49,15 +55,18 @@ def kind(lexeme: Column) -> Column:
 def tokens(text: Column) -> Column:
     """array<struct<kind, open, text, close>>; open and close are the marks of comments and strings."""
 
-    def token(x: Column) -> Column:
-        k = kind(x)
-        open_ = F.when(k == "block-comment", F.regexp_extract(x, r"^(/\*|\{-|\(\*|<!--)", 1)).when(k == "line-comment", F.regexp_extract(x, "^(//+|--+|#+|%+)", 1)).when(k == "string", F.regexp_extract(x, "^(\"{3,}|'{3,}|`{3,}|[\"'`])", 1))
-        close = F.when(k == "block-comment", F.regexp_extract(x, r"(\*/|-\}|\*\)|-->)$", 1)).when(k == "string", open_)
-        inner = F.substring(x, F.length(open_) + 1, F.length(x) - F.length(open_) - F.coalesce(F.length(close), F.lit(0)))
-        body = F.when(k == "line-comment", F.regexp_replace(inner, r"^[ \t]+", "")).when(k.isin("block-comment", "string"), inner).otherwise(x)
+    def token(t: Column) -> Column:
+        k, x = t["k"], t["x"]
+        run = F.length(x) - F.length(F.ltrim(x, F.substring(x, 1, 1)))  # how often the first character stands there
+        page = F.substring(x, 1, 2) == "<!"
+        size = F.when(k == "block-comment", F.when(page, 4).otherwise(2)).when(k == "line-comment", run).when(k == "string", F.when(run > 2, run).otherwise(1))
+        open_ = F.substring(x, F.lit(1), size)
+        close = F.when(k == "block-comment", F.when(page, "-->").otherwise(F.substring(x, -2, 2))).when(k == "string", open_)
+        inner = F.substring(x, size + 1, F.length(x) - size - F.coalesce(F.length(close), F.lit(0)))
+        body = F.when(k == "line-comment", F.ltrim(inner, F.lit(" \t"))).when(k.isin("block-comment", "string"), inner).otherwise(x)
         return F.struct(k.alias("kind"), open_.alias("open"), body.alias("text"), close.alias("close"))
 
-    return F.transform(lexemes(text), token)
+    return F.transform(F.transform(lexemes(text), lambda x: F.struct(kind(x).alias("k"), x.alias("x"))), token)
 
 
 def key_tokens(text: Column, max_bytes: int = MAX_TOKEN_BYTES) -> Column:

@@ -32,8 +32,9 @@ def on_contents(opened: DataFrame, catalog: Catalog | None = None) -> DataFrame:
     after = candidates.narrow(F.col("candidates"), F.col("by_interpreter"))
     seen = seen.withColumns({"after": after, "text": texts.truncated(F.col("whole"))})
     # Columns of their own, so that no expression holds the rules more than once.
-    # The always true rand() keeps later filters and inferred constraints above, as they would repeat the rules.
-    above = F.rand() < 2
+    # Always true, and the same in every run; as it isn't to be moved, it keeps later filters and inferred constraints
+    # above, which would repeat the rules.
+    above = F.spark_partition_id() >= 0
     gate = (F.size("after") > 1) & F.col("extension").isNotNull() & above
     seen = seen.withColumn("ruled", F.when(gate, by_rules(F.col("extension"), F.col("after"), F.col("text"), catalog)).otherwise(none))
     seen = seen.withColumn("left", candidates.narrow(F.col("after"), F.col("ruled")))

@@ -2,39 +2,80 @@
 
 from __future__ import annotations
 
-import fnmatch
 import os
+import re
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
-from ..functions.paths import excluded
+from ..functions.paths import excluded, glob_regex
 
 SKIPPED = fixed.DOCUMENTATION_GLOBS + fixed.VENDOR_GLOBS
 
 
-def _ignored(rel: str, is_dir: bool, lines: list[tuple[str, str]]) -> bool:
-    """The last ignore line that matches decides; lines: (folder of the ignore file, pattern)."""
+@lru_cache(4096)
+def _ignore_rule(line: str) -> tuple[bool, bool, bool, re.Pattern]:
+    """(negated, folders only, by name alone, pattern) of a line of an ignore file."""
+    negated, p = line.startswith("!"), line.removeprefix("!").removeprefix("\\")
+    folders, p = p.endswith("/"), p.rstrip("/")
+    by_name = "/" not in p
+    p = p.removeprefix("/")
+    # Braces are plain characters here, unlike in globs.
+    pattern = glob_regex(p.replace("{", "\0").replace("}", "\1")).replace(re.escape("\0"), r"\{").replace(re.escape("\1"), r"\}")
+    return negated, folders, by_name, re.compile(pattern)
+
+
+def _ignored(path: str, is_dir: bool, lines: list[tuple[str, str]]) -> bool:
+    """The last ignore line that matches decides; lines: (folder of the ignore file, line), from the top down. A line
+    with a slash before its end is for paths from its own folder on, others are for names at any depth."""
     verdict = False
     for base, line in lines:
-        inside = rel[len(base) + 1 :] if base else rel
-        if base and not rel.startswith(base + "/"):
+        if base and not path.startswith(base + "/"):
             continue
-        negate, p = line.startswith("!"), line.lstrip("!")
-        if p.endswith("/") and not is_dir:
+        negated, folders, by_name, pattern = _ignore_rule(line)
+        if folders and not is_dir:
             continue
-        p = p.rstrip("/")
-        hit = fnmatch.fnmatchcase(inside, p.lstrip("/")) if "/" in p else fnmatch.fnmatchcase(inside.rsplit("/", 1)[-1], p)
-        verdict = not negate if hit else verdict
+        inside = path[len(base) + 1 :] if base else path
+        if pattern.match(inside.rsplit("/", 1)[-1] if by_name else inside):
+            verdict = not negated
     return verdict
 
 
-def walk(root: str, hidden: bool = False, ignore_files: bool = True) -> list[tuple[str, int]]:
-    """(path relative to root, size) of regular files: hidden names and ignored paths left out, links not followed,
-    unreadable folders skipped."""
+def _ignore_lines(folder: str) -> list[str]:
+    out = []
+    for name in (".gitignore", ".ignore"):
+        try:
+            text = Path(folder, name).read_text(errors="replace")
+        except OSError:
+            continue
+        out += [x.rstrip() for x in text.splitlines() if x.strip() and not x.startswith("#")]
+    return out
+
+
+def _above(root: str) -> list[tuple[str, str]]:
+    """(path from there to root, line) of the ignore files of the folders above root, up to the top of its repository."""
+    out, here, rest = [], os.path.abspath(root), []
+    if os.path.exists(os.path.join(here, ".git")):
+        return []
+    while (up := os.path.dirname(here)) != here:
+        rest.insert(0, os.path.basename(here))
+        here = up
+        out = [("/".join(rest), x) for x in _ignore_lines(here)] + out
+        if os.path.exists(os.path.join(here, ".git")):
+            return out
+    return []
+
+
+def walk(root: str, hidden: bool = False, ignore_files: bool = True, skipped: list[str] = ()) -> list[tuple[str, int]]:
+    """(path relative to root, size) of regular files: hidden names, ignored paths and those that match a glob of
+    skipped are left out, folders among them with all below; links aren't followed, unreadable folders and files that
+    vanish meanwhile are left out."""
     out, stack = [], [("", [])]
+    above = _above(root) if ignore_files else []
+    skip = re.compile("|".join(map(glob_regex, skipped))) if skipped else None
     while stack:
         rel, lines = stack.pop()
         try:
@@ -42,25 +83,30 @@ def walk(root: str, hidden: bool = False, ignore_files: bool = True) -> list[tup
         except OSError:
             continue
         if ignore_files:
-            for name in (".gitignore", ".ignore"):
-                if (p := Path(root, rel, name)).is_file():
-                    text = p.read_text(errors="replace").splitlines()
-                    lines = [*lines, *((rel, x.strip()) for x in text if x.strip() and not x.startswith("#"))]
+            lines = [*lines, *((rel, x) for x in _ignore_lines(os.path.join(root, rel)))]
         for e in entries:
             path = f"{rel}/{e.name}" if rel else e.name
-            if (e.name.startswith(".") and not hidden) or e.is_symlink() or _ignored(path, e.is_dir(), lines):
+            try:
+                is_dir = e.is_dir(follow_symlinks=False)
+                if (e.name.startswith(".") and not hidden) or e.is_symlink() or (skip and skip.match(path)):
+                    continue
+                if _ignored(path, is_dir, lines) if lines else False:
+                    continue
+                if any(_ignored(f"{prefix}/{path}", is_dir, [("", line)]) for prefix, line in above):
+                    continue
+                if is_dir:
+                    stack.append((path, lines))
+                elif e.is_file(follow_symlinks=False):
+                    out.append((path, e.stat().st_size))
+            except OSError:
                 continue
-            if e.is_dir():
-                stack.append((path, lines))
-            else:
-                out.append((path, e.stat().st_size))
     return sorted(out)
 
 
 def paths(spark: SparkSession, root: str, parallelism: int | None = None, **options) -> DataFrame:
     """(path, size) of a tree without documentation and vendored paths; LANGLENS_THREADS or parallelism partitions."""
     n = parallelism or int(os.environ.get("LANGLENS_THREADS") or 0) or spark.sparkContext.defaultParallelism
-    rows = spark.createDataFrame(walk(root, **options), "path string, size long")
+    rows = spark.createDataFrame(walk(root, skipped=SKIPPED, **options), "path string, size long")
     return rows.where(~excluded(F.col("path"), SKIPPED)).repartition(n)
 
 
