@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents
 
@@ -127,46 +128,53 @@ def feature(seen: dict) -> str:
     return f"codec={seen['codec']};timescale={seen['timescale']};duration={seen['duration']};samples={len(seen['samples'])};keyframes={ranges}"
 
 
-_DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-_TRACKS = "media_id long, codec string, timescale long, duration long, n_samples long, keyframes array<struct<start:long,end:long>>, error string"
+_DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_TRACKS = "codec string, timescale long, duration long, n_samples long, keyframes array<struct<start:long,end:long>>, error string"
 
 
 def media_tracks(media: DataFrame, id_col: str = "media_id", data_col: str = "data") -> DataFrame:
-    """Codec, duration and keyframe byte ranges of binary media. Null or damaged files: null columns and an error."""
+    """media_id (of any type), codec, duration and keyframe byte ranges of binary media, a row for each row. Null, empty or
+    damaged files: null columns and an error. Null ids are kept; an empty table gives no rows."""
+    kept = media.select(F.col(id_col).alias("media_id"), F.col(data_col).alias("data"))
+    kind = kept.schema["media_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("media_id", pa.int64()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("error", pa.string())])
+        schema = pa.schema([("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("error", pa.string())])
         for batch in batches:
             rows = []
-            for key, data in zip(batch[0].to_pylist(), batch[1].to_pylist()):
+            for data in batch[1].to_pylist():
                 try:
                     x = probe(data or b"")
-                    rows.append({"media_id": key, "codec": x["codec"], "timescale": x["timescale"], "duration": x["duration"], "n_samples": len(x["samples"]), "keyframes": [{"start": a, "end": b} for a, b in x["keyframes"]], "error": None})
+                    rows.append({"codec": x["codec"], "timescale": x["timescale"], "duration": x["duration"], "n_samples": len(x["samples"]), "keyframes": [{"start": a, "end": b} for a, b in x["keyframes"]], "error": None})
                 except (ValueError, KeyError, IndexError, struct.error) as e:
-                    rows.append({"media_id": key, "error": f"{type(e).__name__}: {e}"})
-            yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows.append({"error": f"{type(e).__name__}: {e}"})
+            yield pa.RecordBatch.from_arrays([batch[0], *pa.RecordBatch.from_pylist(rows, schema).columns], ["media_id", *schema.names])
 
-    return media.selectExpr(f"cast(`{id_col}` as bigint) media_id", f"`{data_col}` data").mapInArrow(run, _TRACKS)
+    return kept.mapInArrow(run, f"media_id {kind}, {_TRACKS}")
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Every text through a container and back: what was stored, and its features."""
+    """Every text through a container and back: what was stored, and its features. Ids of any type, null ones too, are
+    kept; null texts are empty; repeated rows are rows of their own; other columns are ignored."""
+    rows = documents(docs)
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _DIGEST.split(", ")]
+        kinds = [pa.string() if x.endswith("string") else pa.int64() for x in _DIGEST.split(", ")]
         for batch in batches:
-            rows = []
-            for key, text in zip(batch[0].to_pylist(), batch[1].to_pylist()):
+            out = []
+            for text in batch[1].to_pylist():
                 raw = (text or "").encode()
                 stored = pack(raw)
                 seen = probe(stored)
                 back = payload(stored, seen)
-                rows.append((key, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(seen)))
-            kinds = [pa.string() if x.endswith("string") else pa.int64() for x in _DIGEST.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names)
+                out.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(seen)))
+            yield pa.RecordBatch.from_arrays([batch[0], *(pa.array([x[i] for x in out], k) for i, k in enumerate(kinds))], ["doc_id", *names])
 
-    return documents(docs).mapInArrow(run, _DIGEST)
+    return rows.mapInArrow(run, f"doc_id {kind}, {_DIGEST}")
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests of every document; see media_digests for odd rows."""
     return media_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
