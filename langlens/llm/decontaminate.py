@@ -67,7 +67,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
 
     One narrow scan hashes every window of words; what is in no benchmark text ends there, by a bit map of the
     benchmark's hashes; the rest is joined with the benchmark's windows and verified on the words. A row of
-    length 0 carries the number of words.
+    length 0 carries the number of words; it meets no window, and its hash is the text's own, which spreads the rows.
     """
     windows = written(benchmark_windows(benchmark, window), "windows")
     total = windows.count()
@@ -84,10 +84,12 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
             at = F.filter(at, lambda i: may(_hash(lambda k: F.get("h", i + k), n)))
         return F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), _hash(lambda k: F.get("h", i + k), n).alias("hash"), F.slice("w", i + 1, F.lit(n)).alias("words")))
 
-    whole = F.array(F.struct(F.size("w").alias("pos"), F.lit(0).alias("len"), F.lit(0).cast("bigint").alias("hash"), F.array().cast("array<string>").alias("words")))
+    whole = F.array(F.struct(F.size("w").alias("pos"), F.lit(0).alias("len"), F.xxhash64("k1", "k2").alias("hash"), F.array().cast("array<string>").alias("words")))
     scan = hashed.select("k1", "k2", "doc_id", F.explode(F.concat(whole, *map(placed, lengths))).alias("x")).select("k1", "k2", "doc_id", "x.*")
     side = windows.select("hash", F.col("len").alias("len_"), F.col("words").alias("words_"), "items")
-    found = scan.join(F.broadcast(side) if small else side, "hash", "left").where("len = 0 or (len = len_ and words = words_)")
+    side = F.broadcast(side) if small else side.withColumnRenamed("hash", "hash_")
+    met = scan.join(side, "hash", "left") if small else scan.join(side, (F.col("hash") == F.col("hash_")) & (F.col("len") > 0), "left")
+    found = met.where("len = 0 or (len = len_ and words = words_)")
     head = F.col("len") == 0
     span = F.when(~head, F.struct("pos", "len"))
     per_text = found.groupBy("k1", "k2", "doc_id").agg(
@@ -132,6 +134,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = MI
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_words, n_hit, n_items, items_sha256, contaminated of every document; null texts have no words, null ids are kept."""
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
