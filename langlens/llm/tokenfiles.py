@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import documents, flat, open_store, shared_dir, written
 
 END_OF_DOCUMENT = 50256
+#: Blocks that a task of the separator scan takes, where they are many.
+BLOCKS_A_TASK = 32
 
 
 @lru_cache(2)
@@ -80,7 +83,8 @@ def token_counts(spark: SparkSession, folder: str, eod: int = END_OF_DOCUMENT, d
         raise ValueError(f"not whole tokens: {bad[:3]}")
     files = spark.createDataFrame([(n, s // width) for n, s in sizes] or [("", 0)], "file string, tokens long").where("tokens > 0")
     n_blocks = sum(-(-s // (width * block_tokens)) for _, s in sizes)
-    blocks = files.select("file", "tokens", F.explode(F.sequence(F.lit(0), F.floor((F.col("tokens") - 1) / block_tokens))).alias("block")).repartition(max(1, min(n_blocks, 4096)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = files.select("file", "tokens", F.explode(F.sequence(F.lit(0), F.floor((F.col("tokens") - 1) / block_tokens))).alias("block")).repartition(max(1, min(n_blocks, max(parts, n_blocks // BLOCKS_A_TASK))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(folder)
@@ -98,11 +102,14 @@ def token_counts(spark: SparkSession, folder: str, eod: int = END_OF_DOCUMENT, d
                 ["file", "block", "last", "first", "n", "ends"],
             )
 
-    seen = blocks.mapInArrow(scan, "file string, block long, last boolean, first long, n long, ends array<long>")
+    seen = written(blocks.mapInArrow(scan, "file string, block long, last boolean, first long, n long, ends array<long>"), "separators")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    # The prefix scan carries two numbers a block: documents ended so far, and where the last of them ended.
-    light = seen.select("file", "block", "last", "first", "n", F.size("ends").cast("long").alias("k"), "ends", F.expr("case when size(ends) > 0 then first + ends[size(ends) - 1] + 1 end").alias("end"))
-    carried = light.withColumns({"ordinal": F.coalesce(F.sum("k").over(before), F.lit(0)), "open": F.coalesce(F.max("end").over(before), F.lit(0))})
+    # The prefix scan carries two numbers a block: documents ended so far, and where the last of them ended. The places of
+    # the separators stay where they are and are joined afterwards.
+    end = F.expr("case when size(ends) > 0 then first + ends[size(ends) - 1] + 1 end")
+    light = seen.select("file", "block", F.size("ends").cast("long").alias("k"), end.alias("end"))
+    sums = light.select("file", "block", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("ordinal"), F.coalesce(F.max("end").over(before), F.lit(0)).alias("open"))
+    carried = seen.select("*", F.size("ends").cast("long").alias("k"), end.alias("end")).join(sums, ["file", "block"])
     cuts = F.expr("transform(ends, (e, i) -> named_struct('i', i, 'first', if(i = 0, open, first + ends[i - 1] + 1), 'stop', first + e))")
     tail = F.expr("if(last and coalesce(end, open) < first + n, array(named_struct('i', cast(k as int), 'first', coalesce(end, open), 'stop', first + n)), cast(array() as array<struct<i:int,first:bigint,stop:bigint>>))")
     rows = carried.select("file", "ordinal", F.explode(F.concat(cuts, tail)).alias("d"))
@@ -142,30 +149,60 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def training_shards(docs: DataFrame, folder: str, key: int, length: int = 512, dtype: str = "u1", slots_per_shard: int = 16384, pad: int = 0) -> DataFrame:
+#: Tasks that write shards; a task of more writes one after another.
+MOST_TASKS = 65536
+
+
+def _manifest(folder: str, holds: dict) -> None:
+    """Writes the folder's manifest, or compares it with the one that is there."""
+    store, root = open_store(folder)
+    store.create_dir(root, recursive=True)
+    name, text = f"{root}/manifest.json", json.dumps(holds, sort_keys=True).encode()
+    if store.get_file_info(name).is_file:
+        with store.open_input_file(name) as f:
+            if f.read() != text:
+                raise ValueError(f"{folder} holds other shards")
+        return
+    mine = f"{root}/.manifest-{uuid.uuid4().hex}"
+    with store.open_output_stream(mine) as out:
+        out.write(text)
+    store.move(mine, name)
+
+
+def training_shards(docs: DataFrame, folder: str, key: int, length: int = 512, dtype: str = "u1", slots_per_shard: int = 16384, pad: int = 0, ids_col: str | None = None) -> DataFrame:
     """Materialises sequences in training order: (doc_id, seq, slot, shard, byte_offset, n_tokens, crc32).
 
-    Token ids are the UTF-8 bytes of each text (a vocabulary of 256), cut into sequences of `length`, the last
-    padded with `pad` up to the fixed stride; an empty text is one sequence of 0 tokens. Sequences are numbered
-    by input partition and place, the Feistel permutation gives each its global slot, and range partitions of
-    slots write the shards, in which slot s lies at byte (s mod slots_per_shard) * stride. On the way there, the
-    sequences that a batch sends to one shard travel as one compressed block; a task holds one shard. Partition numbering
-    needs a repeatable input, such as a table; a partition that comes out different the second time is an error.
+    Token ids are those of the column ids_col (array<int>, in a dtype that holds them, such as what the byte-level BPE
+    gives) or, without one, the UTF-8 bytes of each text (a vocabulary of 256). They are cut into sequences of `length`,
+    the last padded with `pad` up to the fixed stride; a document without tokens, null ones too, is one sequence of 0
+    tokens. Null ids are kept, repeated rows are documents of their own, an empty table writes no shard. Sequences are
+    numbered by input partition and place, the Feistel permutation gives each its global slot, and ranges of slots are
+    the partitions that write the shards, in which slot s lies at byte (s mod slots_per_shard) * stride. On the way there,
+    the sequences that a batch sends to one shard travel as one compressed block; a task holds one shard. Partition
+    numbering needs a repeatable input, such as a table; a partition that comes out different the second time is an error.
+
+    A manifest tells what the folder holds. A call for the same folder and the same manifest goes on where a broken one
+    stopped: shards that are there are not written again. Another manifest is an error.
     """
     width = np.dtype(dtype).itemsize
-    rows = documents(docs)
+    rows = docs.select("doc_id", F.coalesce(F.col(ids_col), F.array()).cast("array<int>").alias("text")) if ids_col else documents(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    count = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / length))
+    count = F.greatest(F.lit(1), F.ceil((F.size("text") if ids_col else F.octet_length("text")) / length))
     sizes = dict(rows.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(count)).collect())
     base, total = {}, 0
     for p in sorted(sizes):
         base[p], total = total, total + sizes[p]
+    _manifest(folder, {"key": key, "length": length, "dtype": dtype, "slots_per_shard": slots_per_shard, "pad": pad, "sequences": total, "ids": ids_col or "bytes"})
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = TaskContext.get().partitionId()
         at = first = base.get(p, 0)
         for batch in batches:
-            raw, off = flat(batch[1])
+            if ids_col:
+                raw, off = np.asarray(batch[1].flatten()), np.asarray(batch[1].offsets).astype(np.int64)
+                off = off - off[0]
+            else:
+                raw, off = flat(batch[1])
             size = np.diff(off)
             n = np.maximum(1, -(-size // length))
             row = np.repeat(np.arange(len(n)), n)
@@ -200,10 +237,12 @@ def training_shards(docs: DataFrame, folder: str, key: int, length: int = 512, d
             sizes = [len(x) for x in part["slot"].to_pylist()]
             for blob, n, lo in zip(part["data"].to_pylist(), sizes, np.cumsum([0, *sizes])):
                 data[place[lo : lo + n]] = np.frombuffer(pa.decompress(blob, n * length * width, "zstd"), dtype).reshape(n, length)
-            mine = f"{root}/.{shard}-{uuid.uuid4().hex}"
-            with store.open_output_stream(mine) as out:
-                out.write(data.tobytes())
-            store.move(mine, f"{root}/shard-{shard:08d}.bin")
+            name = f"{root}/shard-{shard:08d}.bin"
+            if store.get_file_info(name).size != data.nbytes:
+                mine = f"{root}/.{shard}-{uuid.uuid4().hex}"
+                with store.open_output_stream(mine) as out:
+                    out.write(data.tobytes())
+                store.move(mine, name)
             crc = [zlib.crc32(data[x]) for x in place]
             return pa.RecordBatch.from_arrays([ids, seq, slot, pa.array(np.full(len(place), shard)), pa.array(place * length * width), tokens, pa.array(crc, pa.int64())], ["doc_id", "seq", "slot", "shard", "byte_offset", "n_tokens", "crc32"])
 
@@ -219,7 +258,9 @@ def training_shards(docs: DataFrame, folder: str, key: int, length: int = 512, d
 
     n_shards = max(1, -(-total // slots_per_shard))
     placed = rows.mapInArrow(number, f"shard long, doc_id array<{kind}>, seq array<long>, slot array<long>, n_tokens array<long>, data binary")
-    ranged = placed.repartitionByRange(min(n_shards, 65536), "shard").sortWithinPartitions("shard")
+    # Ranges of equal numbers of shards: the permutation fills all alike, so that no sample of the keys is needed.
+    tasks = min(n_shards, MOST_TASKS)
+    ranged = placed.repartitionById(tasks, F.floor(F.col("shard") * tasks / n_shards).cast("int")).sortWithinPartitions("shard")
     return ranged.mapInArrow(write, f"doc_id {kind}, seq long, slot long, shard long, byte_offset long, n_tokens long, crc32 long")
 
 

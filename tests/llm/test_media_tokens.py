@@ -89,3 +89,41 @@ def test_training_shards(spark, tmp_path):
     again = [x.tobytes() for x in tokenfiles.read_slots(folder, 20, 30, 64, slots_per_shard=16)]
     assert again == [x.tobytes() for x in data[20:50]]
     assert tokenfiles.training_shards(empty(spark), folder + "2", key=3).collect() == []
+
+
+def test_training_shards_of_token_ids_go_on_by_the_manifest(spark, tmp_path):
+    folder = f"file://{tmp_path}/ids"
+    spark.createDataFrame([(i, [(i * 7 + k) % 50_000 for k in range(i * 3 % 40)], "x") for i in range(50)] + [(None, None, "y")], "doc_id long, tokens array<int>, slot string").repartition(3).write.parquet(f"{tmp_path}/t")
+    src = spark.read.parquet(f"{tmp_path}/t")
+    args = {"key": 5, "length": 8, "dtype": "<u2", "slots_per_shard": 16, "ids_col": "tokens"}
+    rows = sorted(map(tuple, tokenfiles.training_shards(src, folder, **args).collect()), key=str)
+    data = list(tokenfiles.read_slots(folder, 0, len(rows), 8, "<u2", 16))
+    got = {}
+    for i, _, slot, _, _, n, _ in sorted(rows, key=lambda r: r[1]):
+        got.setdefault(i, []).extend(data[slot][:n].tolist())
+    assert got == {**{i: [(i * 7 + k) % 50_000 for k in range(i * 3 % 40)] for i in range(50)}, None: []}
+    shards = sorted(p for p in (tmp_path / "ids").iterdir() if p.name.startswith("shard"))
+    lost, kept = shards[0], shards[1]
+    whole, stamp = lost.read_bytes(), kept.stat().st_mtime_ns
+    lost.unlink()
+    assert sorted(map(tuple, tokenfiles.training_shards(src, folder, **args).collect()), key=str) == rows
+    assert lost.read_bytes() == whole and kept.stat().st_mtime_ns == stamp
+    with pytest.raises(ValueError):
+        tokenfiles.training_shards(src, folder, **args | {"key": 6})
+
+
+def test_media_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a", "x"), (None, None)], "doc_id string, text string")
+    assert {r.doc_id: r.n_bytes for r in media.media_digests(docs).collect()} == {"a": 1, None: 0}
+    rows = spark.createDataFrame([("k", bytearray(media.pack(b"abc")))], "media_id string, data binary")
+    assert media.media_tracks(rows).first().media_id == "k"
+
+
+def test_media_bytes_are_those_of_the_container(spark):
+    rows = {r.doc_id: r for r in media.media_digests(frame(spark)).collect()}
+    for i, t in BASE:
+        stored = media.pack((t or "").encode())
+        keys = ",".join(f"{a}-{b}" for a, b in media.probe(stored)["keyframes"])
+        n = -(-max(1, len((t or "").encode())) // 64)
+        assert (rows[i].media_bytes, rows[i].media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert rows[i].feature == f"codec=raw8;timescale=1000;duration={20 * n};samples={n};keyframes={keys}"
