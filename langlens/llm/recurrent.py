@@ -185,7 +185,9 @@ class Model:
             carry = np.where(new[t][:, None], np.float32(0), dh * z + du @ w["U"].T)
         flat_dx = dx.reshape(-1, 3 * size)
         grad["bias"] += flat_dx.sum(0)
-        np.add.at(grad["E"], x.ravel(), flat_dx)
+        order = np.argsort(x.ravel(), kind="stable")
+        which, first = np.unique(x.ravel()[order], return_index=True)
+        grad["E"][which] += np.add.reduceat(flat_dx[order], first)
 
 
 def _lanes(n_tokens: np.ndarray, n_lanes: int) -> list[list[int]]:
