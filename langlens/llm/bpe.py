@@ -216,9 +216,9 @@ def _planes(x: np.ndarray) -> bytes:
     return pa.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
 
 
-def _unplanes(data: bytes, n: int) -> np.ndarray:
+def _unplanes(data: bytes, n: int, kind: type = np.int64) -> np.ndarray:
     raw = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(raw.T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(raw.T).view("<u4").ravel().astype(kind, copy=False)
 
 
 def _binary(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -406,13 +406,13 @@ def assembled(docs: DataFrame, names: list[str], vocabulary: str, with_ids: bool
             with pa.ipc.open_stream(f) as stream:
                 total = int(stream.schema.metadata[b"words"])
                 table = stream.read_all().combine_chunks()
-            number = _unplanes(f.read(), total)
+            number = _unplanes(f.read(), total, np.uint32)
         n_words = np.asarray(table["n_words"])
         size, ids, bsize, pieces = _dictionary(rows)
         first, bfirst = np.cumsum(size) - size, np.cumsum(bsize) - bsize
         every = np.concatenate([[0], np.cumsum(n_words)])
         for lo, hi in steps(every, STEP_WORDS):
-            mine, cut = number[every[lo] : every[hi]], every[lo : hi + 1] - every[lo]
+            mine, cut = number[every[lo] : every[hi]].astype(np.int64), every[lo : hi + 1] - every[lo]
             ends = lambda n: np.concatenate([[0], np.cumsum(n)])[cut]  # noqa: B023, E731
             btext, bcut, tcut = ragged(pieces, bfirst[mine], bsize[mine]), ends(bsize[mine]), ends(size[mine])
             mids = ragged(ids, first[mine], size[mine])
