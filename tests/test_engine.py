@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from langlens import catalog
 from langlens import fixed_values as fixed
 from langlens.catalog import builtin
 from langlens.functions import paths, text, tokens
@@ -184,3 +185,22 @@ def test_every_sample_is_detected(spark):
     both = rows.join(found.withColumnRenamed("language", "found"), "path").select("path", "language", "found").collect()
     wrong = [tuple(r) for r in both if r.language != r.found and "filenames/" not in r.path]
     assert len(both) > 2000 and len(wrong) <= 2, wrong[:10]
+
+
+def test_catalogue_files_and_tables(spark, tmp_path):
+    builtin().validate()
+    (tmp_path / "languages.yml").write_text("A:\n  type: programming\n  extensions: ['.q']\nB:\n  type: data\n  color: '#fff'\n  extensions: ['.q']\n")
+    (tmp_path / "heuristics.yml").write_text("disambiguations:\n- extensions: ['.q']\n  rules:\n  - language: A\n    and:\n    - named_pattern: n\n    - negative_pattern: '^no'\n  - language: B\n    pattern: ['^b', '^c']\nnamed_patterns:\n  n: '^a+$'\n")
+    c = catalog.load(str(tmp_path))
+    assert c.rules == [([".q"], [(["A"], ("all", ("named", "n"), ("not", "^no"))), (["B"], ["^b", "^c"])])]
+    c.save(spark, f"{tmp_path}/saved")
+    again = catalog.read(spark, f"{tmp_path}/saved")
+    assert (again.languages, again.filenames, again.extensions, again.interpreters) == (c.languages, c.filenames, c.extensions, c.interpreters)
+    rows = spark.createDataFrame([(b"x\naaa",), (b"aa\nno",), (b"no\ncc",), (b"z",)], "content binary").withColumn("path", F.concat(F.col("content").cast("string"), F.lit(".q")))
+    for x in (c, again):
+        got = {bytes(r.content): (r.strategy, r.candidates) for r in detect.on_contents(detect.on_paths(rows, x).drop("strategy", "language"), x).select("content", "strategy", "candidates").collect()}
+        assert got == {b"x\naaa": ("Heuristics", ["A"]), b"aa\nno": ("Classifier", ["A", "B"]), b"no\ncc": ("Heuristics", ["B"]), b"z": ("Classifier", ["A", "B"])}
+    for bad in ("language: A\n    pattern: '('", "language: A\n    named_pattern: m"):
+        (tmp_path / "heuristics.yml").write_text(f"disambiguations:\n- extensions: ['.q']\n  rules:\n  - {bad}\n")
+        with pytest.raises(ValueError):
+            catalog.load(str(tmp_path))
