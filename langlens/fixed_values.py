@@ -741,3 +741,6 @@ VENDOR_GLOBS = [
     '**/.google_apis/**',
     '**/Jenkinsfile',
 ]
+
+# Fixed value: a pattern that Java reads differently; "&&" and "[" in a class are plain characters where it comes from.
+READ_AS = {r"^[\s&&[^\n]]*=(comment|begin pod|begin para|item\d+)": r"^[\s&\[\^\n]\]*=(comment|begin pod|begin para|item\d+)"}

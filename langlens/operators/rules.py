@@ -8,15 +8,13 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import fixed_values as fixed
 from ..catalog import Catalog, builtin
 
-#: A pattern that Java reads differently: '&&' and '[' in a class are plain characters where it comes from.
-_READ_AS = {r"^[\s&&[^\n]]*=(comment|begin pod|begin para|item\d+)": r"^[\s&\[\^\n]\]*=(comment|begin pod|begin para|item\d+)"}
-
 
 def java_pattern(pattern: str) -> str:
     """A multi-line pattern for Java: an opening brace that starts no quantifier is a plain character."""
-    pattern = _READ_AS.get(pattern, pattern)
+    pattern = fixed.READ_AS.get(pattern, pattern)
     return "(?m)" + re.sub(r"(?<!\\)\{(?!\d+(?:,\d*)?\})", r"\\{", pattern)
 
 

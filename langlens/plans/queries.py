@@ -168,7 +168,8 @@ n1 AS (SELECT *, CASE WHEN len(by_ext) = 0 THEN by_int WHEN len(by_int) = 0 THEN
          WHEN len(list_filter(by_ext, lambda x: list_contains(by_int, x))) = 0 THEN by_ext ELSE list_filter(by_ext, lambda x: list_contains(by_int, x)) END AS narrowed FROM s5),
 """
 
-# Rules of the extensions in the virtual table, written out for RE2; c: the candidates, t: the text.
+# The rules of the extensions in the virtual table (see fixed_values.RULES), written out once more for RE2,
+# so that the SQL doesn't rest on what it is to check; c: the candidates, t: the text.
 _RULE_CASE = """CASE extension
  WHEN '.rs' THEN CASE WHEN list_contains(c, 'Rust') AND regexp_matches(t, '(?m)^(use |fn |mod |pub |macro_rules|impl|#!?\\[)') THEN ['Rust']
    WHEN list_contains(c, 'RenderScript') AND regexp_matches(t, '(?m)#include|#pragma\\s+(rs|version)|__attribute__') THEN ['RenderScript'] ELSE [] END
@@ -196,6 +197,7 @@ sh AS (SELECT d.* FROM d JOIN kinds USING (language) WHERE type IN ('markup', 'p
 """
 )
 
+# The globs of fixed_values that paths of the virtual table can meet, as regular expressions.
 _DOC_DIRS = r"(^|/)([Dd]ocs|[Dd]oc|[Dd]ocumentation|[Gg]roovydoc|[Jj]avadoc|[Mm]an|[Ee]xamples|[Dd]emo|[Dd]emos|inst/doc|[Ss]amples?)/"
 _DOC_FILES = r"(^|/)(CHANGE|CONTRIBUTING|COPYING|INSTALL|LICEN[CS]E|[Ll]icen[cs]e|README|[Rr]eadme)[^/]*$"
 _VENDOR = r"(^|/)(vendor|node_modules|[Tt]es(t|ts)/fixtures)/|(^|/)[^/]*[.-]min\.js$|(^|/)jquery[^/]*\.js$|(^|/)configure$"
