@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RollingHash, documents, flat, open_store, ragged, shared_dir, steps
+from .common import RollingHash, documents, flat, open_store, ragged, shared_dir, steps, trim
 
 LONG_WORD = 200
 #: Bytes of text in a block; a longer document is a block of its own.
@@ -270,6 +270,7 @@ def _word_rows(docs: DataFrame, names: list[str], folder: str, buckets: int) ->
             dealt = [_planes(np.diff(deal[a:b], prepend=0)) for a, b in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(where), serial)), pa.array(where), pa.array(dealt, pa.binary()), words], ["block", "bucket", "numbers", "words"])
             serial, own, parts, size = serial + 1, [], [], 0
+            trim()
 
         for batch in batches:
             raw_all, at_all = flat(batch[k])
@@ -438,10 +439,12 @@ def assembled(docs: DataFrame, names: list[str], vocabulary: str, with_ids: bool
                 if held and block != head:
                     yield from put_together(head, held, *digits)
                     held = []
+                    trim()
                 head = block
                 held.append(data)
         if held:
             yield from put_together(head, held, *digits)
+        trim()
 
     rows = _word_rows(docs, names, folder, min(8192, 16 * parts))
     back = _returned(encoded_words(_met(rows, parts), vocabulary), vocabulary)

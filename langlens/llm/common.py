@@ -6,6 +6,8 @@ repeat are separate documents; columns other than id and text are ignored, whate
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -60,6 +62,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     return text.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", "doc_id", F.lit("k2"))})
 
 
+def trim() -> None:
+    """Gives memory that was freed back to the system: Python workers live on, beside the executor's own memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column, and the rows' offsets in them."""
     if isinstance(col, pa.ChunkedArray):
