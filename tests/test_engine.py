@@ -204,3 +204,17 @@ def test_catalogue_files_and_tables(spark, tmp_path):
         (tmp_path / "heuristics.yml").write_text(f"disambiguations:\n- extensions: ['.q']\n  rules:\n  - {bad}\n")
         with pytest.raises(ValueError):
             catalog.load(str(tmp_path))
+
+
+def test_detection_on_a_stream(spark, tmp_path):
+    from langlens import streaming
+
+    for i, p in enumerate(("a.py", "b/GNUmakefile", "c.unknown", "d.h")):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / f"in/{i}.json").write_text('{"path": "%s"}' % p)
+    source = spark.readStream.schema("path string").json(str(tmp_path / "in"))
+    asked = streaming.detect_paths(source)
+    query = asked.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    assert query.awaitTermination(60)
+    got = {r.path: r.language for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got["a.py"] == "Python" and got["b/GNUmakefile"] == "Makefile" and got["c.unknown"] is None and got["d.h"] is None
