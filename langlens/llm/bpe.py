@@ -318,6 +318,8 @@ def _met(rows: DataFrame, parts: int) -> DataFrame:
                 held.append((block, numbers, b[3].slice(i, 1).flatten()))
                 size += len(held[-1][2])
         yield from close()
+        held = []
+        trim()
 
     dealt = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "block")
     return dealt.mapInArrow(run, "blocks array<long>, numbers array<binary>, refs array<binary>, words array<binary>")
@@ -362,6 +364,7 @@ def _returned(coded: DataFrame, vocabulary: str) -> DataFrame:
                     head = np.array([len(mine), len(cols[2]), int(cols[1].sum()), *map(len, blobs)], "<i8").tobytes()
                     out.append(head + b"".join(blobs))
                 yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(out, pa.binary())], ["block", "data"])
+        trim()
 
     return coded.mapInArrow(run, "block long, data binary")
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RollingHash, documents, flat, lower, steps, words, written
+from .common import RollingHash, documents, flat, lower, steps, trim, words, written
 
 WORDS = 5
 #: Similarity as a fraction, compared in whole numbers: UP * intersection >= OF * union.
@@ -113,6 +113,7 @@ def _marked(rows: DataFrame) -> DataFrame:
             for lo, part in _sets(b, 3, roll):
                 own = [b[i].slice(lo, len(part)) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array([len(x) for x in part], pa.int64()), pa.array([_signature(x) for x in part], pa.int64()), _list([_prefix(x) for x in part])], ["k1", "k2", "doc_id", "n", "sid", "items"])
+        trim()
 
     return _row_keys(rows).select("k1", "k2", "doc_id", "text").mapInArrow(run, f"k1 long, k2 long, doc_id {kind}, n long, sid long, items array<long>")
 
@@ -173,6 +174,8 @@ def survivors(marked: DataFrame) -> DataFrame:
                 held, size = [[], [], []], 0
         if size:
             yield from close()
+        held = []
+        trim()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine: dict[int, list[bytes]] = {}
@@ -207,6 +210,7 @@ def distinct_sets(rows: DataFrame, marked: DataFrame) -> DataFrame:
         for b in batches:
             for lo, part in _sets(b, 0, roll):
                 yield pa.RecordBatch.from_arrays([pa.array([_signature(x) for x in part], pa.int64()), pa.array([len(x) for x in part], pa.int64()), _list(part), b[1].slice(lo, len(part))], ["sid", "n", "items", "hits"])
+        trim()
 
     return written(texts.mapInArrow(run, "sid long, n long, items array<long>, hits long").dropDuplicates(["sid"]), "sets")
 

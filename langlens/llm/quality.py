@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, RollingHash, documents, flat, spans, steps, words
+from .common import STEP_BYTES, RollingHash, documents, flat, spans, steps, trim, words
 
 #: Bound of the training sample: labelled documents, those with the smallest hashes of their ids.
 TRAIN_DOCUMENTS = 3000
@@ -284,6 +284,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMEN
         if parts:
             model = fit_lines(*(np.concatenate(x) for x in zip(*parts)), np.concatenate(labels))
             yield pa.RecordBatch.from_pylist([{"w": model["w"].tolist(), "trans": model["trans"].ravel().tolist(), "rest": [model[k] for k in ("a", "b", "prior")]}])
+        trim()
 
     # The sample's size is bounded; one task fits it.
     fitted = rows.repartition(1).sortWithinPartitions("doc_id").select("text", "quality").mapInArrow(run, "w array<double>, trans array<double>, rest array<double>").collect()
@@ -304,6 +305,7 @@ def score_quality(docs: DataFrame, model: dict, threshold: float = THRESHOLD) ->
             score = score_texts(model, batch[1], roll)
             held = [None if i is None else zlib.crc32(str(i).encode()) % FOLDS == 0 for i in batch[0].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch[0], pa.array(held, pa.bool_()), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        trim()
 
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
@@ -317,6 +319,7 @@ def filter_quality(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -
         roll = RollingHash()
         for batch in batches:
             yield batch.filter(pa.array(score_texts(model, batch[at], roll) >= threshold))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
 
