@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -117,77 +117,129 @@ class Model:
         """States of a window. x, new: steps x lanes; new resets a lane's state before the step."""
         w, size = self.w, HIDDEN
         out = np.empty((*x.shape, size), np.float32)
-        before, gates, cand, hn = (np.empty((*x.shape, k * size), np.float32) for k in (1, 2, 1, 1))
-        inputs = w["E"][x] + w["bias"]
+        before, cand, hn = (np.empty_like(out) for _ in range(3))
+        gates = np.empty((*x.shape, 2 * size), np.float32)
+        inputs = w["E"][x]
+        inputs += w["bias"]
+        resets = new.any(1)
         for t in range(len(x)):
-            state = np.where(new[t][:, None], np.float32(0), state)
+            if resets[t]:
+                state = np.where(new[t][:, None], np.float32(0), state)
             u = state @ w["U"]
-            g = 1 / (1 + np.exp(-(inputs[t, :, : 2 * size] + u[:, : 2 * size])))
-            n = np.tanh(inputs[t, :, 2 * size :] + g[:, :size] * u[:, 2 * size :])
-            before[t], gates[t], cand[t], hn[t] = state, g, n, u[:, 2 * size :]
-            state = n + g[:, size:] * (state - n)
-            out[t] = state
+            g, n, after = gates[t], cand[t], out[t]
+            np.add(inputs[t, :, : 2 * size], u[:, : 2 * size], out=g)
+            np.negative(g, out=g)
+            np.exp(g, out=g)
+            g += np.float32(1)
+            np.reciprocal(g, out=g)
+            before[t], hn[t] = state, u[:, 2 * size :]
+            np.multiply(g[:, :size], hn[t], out=n)
+            n += inputs[t, :, 2 * size :]
+            np.tanh(n, out=n)
+            np.subtract(state, n, out=after)
+            after *= g[:, size:]
+            after += n
+            state = after
         return out, (before, gates, cand, hn)
 
     def output(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None, scale: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log probability of y given states h (rows); with grad also the gradient to h (of scale-weighted log loss)."""
+        """Natural log probability of y given states h (rows); with grad also the gradient to h (of scale-weighted log loss).
+
+        grad then holds the gradients of C, cb and, for the classes of y, W and wb. Rows are dealt to their classes by
+        sorting, so that only the products are made class by class."""
         w = self.w
         cls = np.where(y < self.n, y // self.width, self.classes)
-        z = h @ w["C"] + w["cb"]
-        z -= z.max(1, keepdims=True)
-        e = np.exp(z)
-        total = e.sum(1)
-        rows = np.arange(len(y))
-        logp = z[rows, cls] - np.log(total)
+        order = np.argsort(cls.astype(np.min_scalar_type(self.classes)), kind="stable")
+        order = order[: np.searchsorted(cls[order], self.classes)]  # without rare tokens
+        mine, inside, hs = cls[order], y[order] - cls[order] * self.width, h[order]
+        first = np.flatnonzero(np.diff(mine, prepend=-1))
+        groups = list(zip(mine[first].tolist(), first.tolist(), [*first[1:].tolist(), len(mine)]))
+
+        def by_class() -> np.ndarray:
+            z = h @ w["C"]
+            z += w["cb"]
+            return z
+
+        def by_token() -> np.ndarray:
+            z = np.empty((len(mine), self.width), np.result_type(h, w["W"]))
+            for c, a, b in groups:
+                np.dot(hs[a:b], w["W"][c], out=z[a:b])
+            z += w["wb"][mine]
+            return z
+
+        scale = None if grad is None else scale.astype(h.dtype)
+        logp, d = _softmax(by_class, cls, scale)
         dh = None
         if grad is not None:
-            d = e / total[:, None]
-            d[rows, cls] -= 1
-            d *= scale[:, None]
-            grad["C"] += h.T @ d
-            grad["cb"] += d.sum(0)
+            # Sums go by the rows as they are: sorted ones let large sums of one sign build up, whose rounding spoils the training.
+            np.dot(h.T, d, out=grad["C"])
+            d.sum(0, out=grad["cb"])
             dh = d @ w["C"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if a == b:
-                continue
-            pick = order[a:b]
-            z = h[pick] @ w["W"][c] + w["wb"][c]
-            z -= z.max(1, keepdims=True)
-            e = np.exp(z)
-            total = e.sum(1)
-            k, inside = np.arange(len(pick)), y[pick] - c * self.width
-            logp[pick] += z[k, inside] - np.log(total)
+        if groups:
+            more, d = _softmax(by_token, inside, None if grad is None else scale[order])
+            logp[order] += more
             if grad is not None:
-                d = e / total[:, None]
-                d[k, inside] -= 1
-                d *= scale[pick][:, None]
-                grad["W"][c] += h[pick].T @ d
-                grad["wb"][c] += d.sum(0)
-                dh[pick] += d @ w["W"][c].T
+                back, ones = np.empty(hs.shape, d.dtype), np.ones(len(d), d.dtype)
+                for c, a, b in groups:
+                    np.dot(hs[a:b].T, d[a:b], out=grad["W"][c])
+                    np.dot(ones[a:b], d[a:b], out=grad["wb"][c])
+                    np.dot(d[a:b], w["W"][c].T, out=back[a:b])
+                dh[order] += back
         return logp, dh
 
-    def backward(self, x: np.ndarray, new: np.ndarray, kept: tuple, dout: np.ndarray, grad: dict) -> None:
+    def backward(self, x: np.ndarray, new: np.ndarray, kept: tuple, dout: np.ndarray, grad: dict) -> np.ndarray:
+        """grad gets the gradients of U, bias and, for the tokens of x, which are returned, of E."""
         w, size = self.w, HIDDEN
         before, gates, cand, hn = kept
-        carry = np.zeros_like(before[0])
-        dx = np.empty((*x.shape, 3 * size), np.float32)
+        r, z = gates[:, :, :size], gates[:, :, size:]
+        by_n = (1 - z) * (1 - cand * cand)
+        by_z = (before - cand) * (z * (1 - z))
+        by_r = hn * (r * (1 - r))
+        carry, ut = np.zeros_like(before[0]), np.ascontiguousarray(w["U"].T)
+        dx, dn = np.empty((*x.shape, 3 * size), np.float32), np.empty_like(before)
+        resets = new.any(1)
         for t in range(len(x) - 1, -1, -1):
-            r, z, n = gates[t, :, :size], gates[t, :, size:], cand[t]
-            dh = dout[t] + carry
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before[t] - n) * z * (1 - z)
-            dr = dn * hn[t] * r * (1 - r)
-            dx[t] = np.concatenate([dr, dz, dn], 1)
-            du = np.concatenate([dr, dz, dn * r], 1)
-            grad["U"] += before[t].T @ du
-            carry = np.where(new[t][:, None], np.float32(0), dh * z + du @ w["U"].T)
-        flat_dx = dx.reshape(-1, 3 * size)
-        grad["bias"] += flat_dx.sum(0)
-        order = np.argsort(x.ravel(), kind="stable")
-        which, first = np.unique(x.ravel()[order], return_index=True)
-        grad["E"][which] += np.add.reduceat(flat_dx[order], first)
+            dh, du = dout[t] + carry, dx[t]
+            np.multiply(dh, by_n[t], out=dn[t])
+            np.multiply(dn[t], by_r[t], out=du[:, :size])
+            np.multiply(dh, by_z[t], out=du[:, size : 2 * size])
+            np.multiply(dn[t], r[t], out=du[:, 2 * size :])
+            dh *= z[t]
+            dh += du @ ut
+            carry = np.where(new[t][:, None], np.float32(0), dh) if resets[t] else dh
+        dx = dx.reshape(-1, 3 * size)
+        grad["U"][...] = before.reshape(-1, size).T @ dx
+        dx[:, 2 * size :] = dn.reshape(-1, size)
+        dx.sum(0, out=grad["bias"])
+        number = x.ravel().astype(np.min_scalar_type(self.n))
+        order = np.argsort(number, kind="stable")
+        number = number[order]
+        first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+        which = number[first].astype(np.int64)
+        grad["E"][which] = np.add.reduceat(dx[order], first)
+        return which
+
+
+def _softmax(logits: Callable[[], np.ndarray], target: np.ndarray, scale: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities of the targets and, with scale, the gradient of scale-weighted log loss to the logits.
+
+    Rows are shifted by their maximum only if a sum would leave the middle of the numbers' range."""
+    rows = np.arange(len(target))
+    for shift in (False, True):
+        e = logits()
+        if shift:
+            e -= e.max(1, keepdims=True)
+        logp = e[rows, target]
+        with np.errstate(over="ignore"):
+            np.exp(e, out=e)
+            total = e @ np.ones(e.shape[1], e.dtype)
+        if not len(total) or (total.min() > 1e-25 and total.max() < 1e25):
+            break
+    logp -= np.log(total)
+    if scale is not None:
+        e *= (scale / total)[:, None]
+        e[rows, target] -= scale
+    return logp, e
 
 
 def _lanes(n_tokens: np.ndarray, n_lanes: int) -> list[list[int]]:
@@ -241,41 +293,63 @@ def log_probabilities(model: Model, h: np.ndarray, at: np.ndarray, n_lanes: int
 
 
 class Adam:
-    """The optimiser's moments, kept from slice to slice."""
+    """The optimiser's moments, kept from slice to slice, as sums: ten times the mean gradient, a thousand times the mean square."""
 
     def __init__(self, model: Model) -> None:
         self.m, self.v, self.grad = ({k: np.zeros_like(x) for k, x in model.w.items()} for _ in range(3))
         self.step = 0
 
+    def update(self, model: Model, touched: dict[str, np.ndarray], rate: float) -> None:
+        """A step for the touched rows of some weights and for all of the others; gradients are cut to a norm of 1."""
+        self.step += 1
+        parts = [(k, s) for k in model.w for s in ([touched[k]] if k == "E" else _blocks(touched[k], model.w[k][0].size) if k in touched else [slice(None)])]
+        grads = [self.grad[k][s] for k, s in parts]
+        norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads))
+        size = math.sqrt(0.001 / (1 - 0.999**self.step))
+        pace, least = np.float32(rate * 0.1 / (1 - 0.9**self.step) / size), np.float32(1e-6 / size)
+        for (k, s), g in zip(parts, grads):
+            if norm > 1:
+                g *= np.float32(1 / (norm + 1e-9))
+            m, v = self.m[k][s], self.v[k][s]
+            m *= np.float32(0.9)
+            m += g
+            v *= np.float32(0.999)
+            g *= g
+            v += g
+            if k == "E":  # these rows are copies
+                self.m[k][s], self.v[k][s] = m, v
+            np.sqrt(v, out=g)
+            g += least
+            np.divide(m, g, out=g)
+            g *= pace
+            model.w[k][s] -= g
+
+
+def _blocks(rows: np.ndarray, width: int) -> Iterator[slice]:
+    """Sorted row numbers as slices, of as many numbers at most as a processor's cache holds with their moments."""
+    most, ends = max(1, (1 << 15) // width), np.flatnonzero(np.diff(rows) != 1) + 1
+    for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(rows)]):
+        for lo in range(a, b, most):
+            yield slice(int(rows[lo]), int(rows[min(lo + most, b) - 1]) + 1)
+
 
 def train(model: Model, h: np.ndarray, at: np.ndarray, adam: Adam | None = None, rate: float = 0.01, n_lanes: int = 128) -> int:
     """One pass of truncated backpropagation with Adam; returns the number of tokens.
 
-    Of E only the rows of input tokens, and of W and wb only the classes of targets get gradients in a window, so
-    that only these are updated and a step costs the same in a large vocabulary."""
+    Of E only the rows of input tokens, and of W and wb only the classes of targets get gradients in a window, and
+    only these are updated."""
     ids = model.numbers(h)
     end = int(model.numbers(np.array([END]))[0])
     adam = adam or Adam(model)
-    m, v, grad = adam.m, adam.v, adam.grad
     state = np.zeros((n_lanes, HIDDEN), np.float32)
     for x, new, y, where, active in _windows(ids, at, n_lanes, end):
-        adam.step += 1
-        step = adam.step
         states, kept = model.run(x, new, state[:active])
         state = states[-1]
         there = (where.ravel() >= 0).astype(np.float32)
-        _, dh = model.output(states.reshape(-1, HIDDEN), y.ravel(), grad, there / max(1.0, float(there.sum())))
-        model.backward(x, new, kept, dh.reshape(states.shape).astype(np.float32), grad)
+        _, dh = model.output(states.reshape(-1, HIDDEN), y.ravel(), adam.grad, there / max(1.0, float(there.sum())))
+        which = model.backward(x, new, kept, dh.reshape(states.shape), adam.grad)
         cls = np.unique(y[y < model.n] // model.width)
-        touched = {"E": np.unique(x), "W": cls, "wb": cls}
-        parts = {k: (touched.get(k, slice(None)), g[touched.get(k, slice(None))]) for k, g in grad.items()}
-        norm = np.sqrt(sum(float((g * g).sum()) for _, g in parts.values()))
-        for k, (rows, g) in parts.items():
-            g = g * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
-            m[k][rows] = mk = m[k][rows] + np.float32(0.1) * (g - m[k][rows])
-            v[k][rows] = vk = v[k][rows] + np.float32(0.001) * (g * g - v[k][rows])
-            model.w[k][rows] -= (rate * (mk / (1 - 0.9**step)) / (np.sqrt(vk / (1 - 0.999**step)) + 1e-6)).astype(np.float32)
-            grad[k][rows] = 0
+        adam.update(model, {"E": which, "W": cls, "wb": cls}, rate)
     return len(ids)
 
 

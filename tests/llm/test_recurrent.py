@@ -1,5 +1,6 @@
 import collections
 import math
+import sys
 import zlib
 
 import numpy as np
@@ -139,3 +140,32 @@ def test_scores_equal_a_plain_version():
             want.append(p / np.log(10))
     assert np.allclose(got, want, atol=1e-4)
     assert rare.tolist() == [t not in number for d in docs for t in d]
+
+
+def test_few_calls_for_each_class():
+    n, rng, calls = 2500, np.random.default_rng(5), []
+    model = recurrent.Model(np.arange(10, 10 + n), np.ones(n), 5, 5)
+    h, y = rng.normal(0, 0.3, (n, recurrent.HIDDEN)).astype(np.float32), rng.permutation(n)
+    grad, scale = {k: np.zeros_like(v) for k, v in model.w.items()}, np.full(n, 1 / n, np.float32)
+    sys.setprofile(lambda frame, event, what: calls.append(what) if event == "c_call" else None)
+    try:
+        model.output(h, y, grad, scale)
+    finally:
+        sys.setprofile(None)
+    print(len(calls) / model.classes)
+    assert len(calls) < 6 * model.classes  # a window's time had gone into calls on a few rows each
+
+
+def test_logits_beyond_the_range_of_exp():
+    rng = np.random.default_rng(6)
+    model = recurrent.Model(np.arange(10, 40), np.ones(30), 5, 5)
+    h, y = rng.normal(0, 0.5, (50, recurrent.HIDDEN)).astype(np.float32), rng.integers(0, 31, 50)
+    y[:30] = np.arange(30)
+    model.w["W"] = rng.normal(0, 0.3, model.w["W"].shape).astype(np.float32)
+    got = []
+    for shift in (0, 300, -300):  # added to all logits, which changes no probability
+        model.w["cb"], model.w["wb"] = model.w["cb"] + np.float32(shift), model.w["wb"] + np.float32(shift)
+        grad = {k: np.zeros_like(v) for k, v in model.w.items()}
+        got.append((*model.output(h, y, grad, np.ones(50, np.float32)), grad["C"], grad["W"], grad["wb"]))
+    for more in got[1:]:
+        assert all(np.all(np.isfinite(b)) and np.allclose(a, b, atol=2e-3) for a, b in zip(got[0], more))
