@@ -38,16 +38,23 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+@contextlib.contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """The shuffles of what is made and run within end with their job, not when the driver collects its garbage."""
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, None)
+    spark.conf.set(clean, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(clean, before) if before else spark.conf.unset(clean)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in shared storage: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, name)
-    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # its shuffles end with the job
-    before = df.sparkSession.conf.get(clean, None)
-    df.sparkSession.conf.set(clean, "true")
-    try:
+    with shuffles_end(df.sparkSession):
         df.write.parquet(path)
-    finally:
-        df.sparkSession.conf.set(clean, before) if before else df.sparkSession.conf.unset(clean)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

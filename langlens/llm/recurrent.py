@@ -13,6 +13,7 @@ Null texts are empty texts: one end. Rows with a null id are scored, never learn
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -22,14 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RollingHash, documents, flat, lower, steps, words, written
+from .common import STEP_BYTES, RollingHash, documents, flat, lower, open_store, shared_dir, shuffles_end, steps, trim, words, written
 
 #: The vocabulary has so many tokens at least, if there are as many.
 HEAD = 1024
 HIDDEN = 24
 WINDOW = 32
 TRAINERS = 8
-#: Tokens that one trainer takes; a larger input has more trainers.
+#: Tokens that one trainer takes, or as many as the model has numbers, if these are more; a larger input has more trainers.
 TRAINER_TOKENS = 3_000_000
 #: Weights travel to their average in pieces of so many numbers.
 PIECE = 1 << 13
@@ -41,7 +42,10 @@ FOLDS, HELD_OUT = 7, 2
 
 
 def tokens(raw: np.ndarray, at: np.ndarray, roll: RollingHash) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit token hashes of all rows, each row's closed by END, and the rows' offsets."""
+    """64-bit token hashes of all rows, each row's closed by END, and the rows' offsets; in small steps, as scans take tens of bytes a byte."""
+    if len(at) > 2 and at[-1] > STEP_BYTES:
+        ids, cuts = zip(*(tokens(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], roll) for lo, hi in steps(at)))
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(c) for c in cuts]))])
     start, end, by_doc = words(raw, at)
     h = roll.slices(roll.prefix(lower(raw)), start, end).view(np.int64)
     n = len(at) - 1
@@ -77,6 +81,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
                 ids, _ = tokens(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], roll)
                 h, c = np.unique(ids, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c)], ["h", "c"])
+        trim()
 
     return docs.where(_learned()).select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
@@ -353,6 +358,27 @@ def train(model: Model, h: np.ndarray, at: np.ndarray, adam: Adam | None = None,
     return len(ids)
 
 
+def _store(spark: SparkSession, thing: object) -> str:
+    """thing in shared storage, once: what a function carries along is copied to the disks of the driver and of all executors."""
+    uri = shared_dir(spark, "model")
+    store, path = open_store(uri)
+    store.create_dir(path.rpartition("/")[0])
+    with store.open_output_stream(path) as out:
+        out.write(pickle.dumps(thing, pickle.HIGHEST_PROTOCOL))
+    return uri
+
+
+def _fetch(uri: str) -> object:
+    store, path = open_store(uri)
+    with store.open_input_stream(path) as f:
+        return pickle.loads(f.read())
+
+
+def trainers_for(n_tokens: int, numbers: int, least: int = TRAINERS) -> int:
+    """So few that the weights they send, which are of the model's size each, stay in proportion to the tokens."""
+    return max(least, -(-n_tokens // max(TRAINER_TOKENS, numbers)))
+
+
 def fit(docs: DataFrame, counts: DataFrame, trainers: int = TRAINERS, rounds: int = ROUNDS) -> tuple[Model, np.ndarray, np.ndarray, int, int]:
     """The model, the frequent tokens with their counts (by falling count), all training tokens N and types V."""
     n_all, v_all = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -364,18 +390,25 @@ def fit(docs: DataFrame, counts: DataFrame, trainers: int = TRAINERS, rounds: in
     model = Model(head, c[:size].astype(float), int(n_all - c[:size].sum()), int(v_all - len(head)))
     # Dealt by id and text, so that the copies of one text are spread.
     dealt = docs.where(_learned()).select("text", F.xxhash64("doc_id", "text").alias("k"))
-    trainers = max(trainers, -(-int(n_all) // TRAINER_TOKENS))
-
-    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll, total, adam = RollingHash(), 0, Adam(model)
-        for b in batches:
-            raw, at = flat(b[0])
-            for lo, hi in steps(at, 8 << 20):
-                ids, cut = tokens(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], roll)
-                total += train(model, ids, cut, adam)
-        every = model.vector()
-        for k, lo in enumerate(range(0, len(every) if total else 0, PIECE)):
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total]), pa.array([every[lo : lo + PIECE].tobytes()], pa.binary())], ["k", "n", "w"])
+    trainers = trainers_for(int(n_all), sum(x.size for x in model.w.values()), trainers)
+
+    def trainer(stored: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            roll, total, model = RollingHash(), 0, _fetch(stored)
+            adam = Adam(model)
+            for b in batches:
+                raw, at = flat(b[0])
+                for lo, hi in steps(at, 8 << 20):
+                    ids, cut = tokens(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], roll)
+                    total += train(model, ids, cut, adam)
+            every = model.vector()
+            del model, adam
+            for k, lo in enumerate(range(0, len(every) if total else 0, PIECE)):
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total]), pa.array([every[lo : lo + PIECE].tobytes()], pa.binary())], ["k", "n", "w"])
+            del every
+            trim()
+
+        return one
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
@@ -389,9 +422,13 @@ def fit(docs: DataFrame, counts: DataFrame, trainers: int = TRAINERS, rounds: in
 
     kind = "k long, n long, w binary"
     for _ in range(rounds if len(head) else 0):
+        stored = _store(docs.sparkSession, model)
         # One set of weights comes back, however many trainers there are.
-        parts = dealt.repartition(trainers, "k").sortWithinPartitions("k").select("text").mapInArrow(one, kind)
-        parts = sorted(parts.repartition("k").mapInArrow(mean, kind).collect(), key=lambda r: r.k)
+        with shuffles_end(docs.sparkSession):
+            parts = dealt.repartitionById(trainers, F.pmod("k", F.lit(trainers)).cast("int")).sortWithinPartitions("k").select("text").mapInArrow(trainer(stored), kind)
+            parts = sorted(parts.repartition("k").mapInArrow(mean, kind).collect(), key=lambda r: r.k)
+        store, path = open_store(stored)
+        store.delete_file(path)
         if parts:
             model.trained = parts[0].n
             model.load(np.concatenate([np.frombuffer(r.w, np.float32) for r in parts]))
@@ -405,10 +442,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts = written(token_counts(rows), "counts")
     model, top, top_c, n_all, v_all = fit(rows, counts)
     order = np.argsort(top)
-    top, log_c = top[order], np.log10(top_c[order] + 1.0)
+    stored = _store(docs.sparkSession, (model, top[order], np.log10(top_c[order] + 1.0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll, serial = RollingHash(), TaskContext.get().partitionId() << 40
+        model, top, log_c = _fetch(stored)
         for b in batches:
             raw, at = flat(b[1])
             for lo, hi in steps(at, 8 << 20):
@@ -426,6 +464,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
                     ["key", "doc_id", "held_out", "n_tokens", "known", "base", "part", "rest"],
                 )
                 serial += hi - lo
+        trim()
 
     seen = written(rows.mapInArrow(run, f"key long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, part double, rest array<long>"), "scores")
     rest = seen.select("key", F.explode("rest").alias("h")).groupBy("key", "h").agg(F.count("*").alias("n")).join(counts, "h")

@@ -1,6 +1,8 @@
 import collections
 import math
 import sys
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -169,3 +171,65 @@ def test_logits_beyond_the_range_of_exp():
         got.append((*model.output(h, y, grad, np.ones(50, np.float32)), grad["C"], grad["W"], grad["wb"]))
     for more in got[1:]:
         assert all(np.all(np.isfinite(b)) and np.allclose(a, b, atol=2e-3) for a, b in zip(got[0], more))
+
+
+def test_rounds_leave_no_shuffle_files(spark):
+    def held():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+
+    docs = frame(spark, [(i, f"w{i} w{i * 7 % 900} common") for i in range(3000)])
+    counts = recurrent.token_counts(docs).cache()
+    counts.count()
+    before = held()
+    model, *_ = recurrent.fit(docs, counts, rounds=1)
+    sent = recurrent.TRAINERS * model.vector().nbytes
+    for _ in range(50):  # files go in the background
+        if held() - before < sent / 10:
+            break
+        time.sleep(0.2)
+    assert held() - before < sent / 10
+
+
+def test_weights_sent_stay_in_proportion():
+    assert recurrent.trainers_for(20_000_000, 4_000_000) == recurrent.TRAINERS
+    for n, numbers in ((10**8, 8 * 10**6), (10**9, 25 * 10**6), (10**10, 80 * 10**6)):
+        k = recurrent.trainers_for(n, numbers)
+        assert k * numbers < 1.2 * n and k * max(numbers, recurrent.TRAINER_TOKENS) >= n
+
+
+def test_functions_carry_no_weights(spark, monkeypatch):
+    docs, sizes, broadcast = frame(spark, [(i, f"w{i} w{i} common") for i in range(4000)]), [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sizes.append(len(value)) or broadcast(self, value))
+    got = recurrent.score_documents(docs)  # functions of more than a megabyte are broadcast, by way of all disks
+    assert got.count() == 4000 and sum(sizes) == 0
+
+
+def test_tokens_in_small_steps():
+    rng = np.random.default_rng(8)
+    texts = [b" ".join(b"Word%d" % i for i in rng.integers(0, 900, n)) for n in (3000, 0, 1, 40000, 7, 90000, 250000, 0, 5)]
+    raw, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    tracemalloc.start()
+    ids, cut = recurrent.tokens(raw, at, recurrent.RollingHash())
+    small = np.concatenate([np.tile(np.frombuffer(b"a b ", np.uint8), 2000)] * 1500)
+    tracemalloc.reset_peak()
+    recurrent.tokens(small, np.arange(0, len(small) + 1, 8000), recurrent.RollingHash())
+    assert tracemalloc.get_traced_memory()[1] < 16 * len(small)  # the tokens alone take four bytes a byte here
+    tracemalloc.stop()
+    for k, text in enumerate(texts):
+        alone, _ = recurrent.tokens(np.frombuffer(text, np.uint8), np.array([0, len(text)]), recurrent.RollingHash())
+        assert ids[cut[k] : cut[k + 1]].tolist() == alone.tolist() and len(alone) == len(text.split()) + 1
+
+
+def test_as_many_trainers_as_chosen(spark, monkeypatch):
+    seen, frames = [], type(frame(spark))
+    keep = frames.mapInArrow
+    monkeypatch.setattr(frames, "mapInArrow", lambda self, f, kind, *a, **b: seen.append(self) or keep(self, f, kind, *a, **b))
+    deal = frames.repartition
+    monkeypatch.setattr(frames, "repartition", lambda self, n, *cols: deal(self, max(n, 40) if cols and isinstance(n, int) else n, *cols))
+    docs = frame(spark, [(i, f"text {i} and more") for i in range(700)])
+    counts = recurrent.token_counts(docs)
+    recurrent.fit(docs, counts, trainers=5, rounds=1)
+    dealt = next(d for d in seen[1:] if d.columns == ["text"])
+    sizes = [len(x) for x in dealt.rdd.glom().collect()]
+    assert len(sizes) == 5 and min(sizes) > 60  # however a cluster deals out keys; each trainer sends all weights
