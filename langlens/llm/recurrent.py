@@ -221,7 +221,8 @@ class Model:
         number = number[order]
         first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
         which = number[first].astype(np.int64)
-        grad["E"][which] = np.add.reduceat(dx[order], first)
+        # Two numbers at a time, which a complex one holds: reduceat adds one after another.
+        grad["E"][which] = np.add.reduceat(dx[order].view(np.complex64), first).view(np.float32)
         return which
 
 
@@ -282,9 +283,9 @@ def _windows(ids: np.ndarray, at: np.ndarray, n_lanes: int, end: int) -> Iterato
         yield np.where(there, x, end), new, np.where(there, ids[at0], end), where, active
 
 
-def log_probabilities(model: Model, h: np.ndarray, at: np.ndarray, n_lanes: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of each token's probability (of its class alone for rare tokens), and which tokens are rare."""
-    ids = model.numbers(h)
+def log_probabilities(model: Model, h: np.ndarray, at: np.ndarray, n_lanes: int = 256, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of each token's probability (of its class alone for rare tokens), and which tokens are rare; ids: their numbers, if known."""
+    ids = model.numbers(h) if ids is None else ids
     end = int(model.numbers(np.array([END]))[0])
     out = np.zeros(len(ids))
     state = np.zeros((n_lanes, HIDDEN), np.float32)
@@ -332,7 +333,7 @@ class Adam:
 
 def _blocks(rows: np.ndarray, width: int) -> Iterator[slice]:
     """Sorted row numbers as slices, of as many numbers at most as a processor's cache holds with their moments."""
-    most, ends = max(1, (1 << 15) // width), np.flatnonzero(np.diff(rows) != 1) + 1
+    most, ends = max(1, (1 << 16) // width), np.flatnonzero(np.diff(rows) != 1) + 1
     for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(rows)]):
         for lo in range(a, b, most):
             yield slice(int(rows[lo]), int(rows[min(lo + most, b) - 1]) + 1)
@@ -442,18 +443,19 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts = written(token_counts(rows), "counts")
     model, top, top_c, n_all, v_all = fit(rows, counts)
     order = np.argsort(top)
-    stored = _store(docs.sparkSession, (model, top[order], np.log10(top_c[order] + 1.0)))
+    # The vocabulary is part of the frequent tokens, so one search finds a token's number and count.
+    stored = _store(docs.sparkSession, (model, top[order], np.log10(top_c[order] + 1.0), model.numbers(top[order])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll, serial = RollingHash(), TaskContext.get().partitionId() << 40
-        model, top, log_c = _fetch(stored)
+        model, top, log_c, number = _fetch(stored)
         for b in batches:
             raw, at = flat(b[1])
             for lo, hi in steps(at, 8 << 20):
                 ids, cut = tokens(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], roll)
-                logp, rare = log_probabilities(model, ids, cut)
                 place = np.minimum(np.searchsorted(top, ids), max(0, len(top) - 1))
                 local = top[place] == ids if len(top) else np.zeros(len(ids), bool)
+                logp, rare = log_probabilities(model, ids, cut, ids=np.where(local, number[place], model.n) if len(top) else None)
                 base = np.where(local, log_c[place] if len(top) else 0.0, 0.0)
                 logp = logp + np.where(rare, np.where(local, base, 0.0) - model.rare_log, 0.0)
                 first, n = cut[:-1], np.diff(cut)
