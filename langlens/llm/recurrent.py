@@ -12,6 +12,7 @@ Null texts are empty texts: one end. Rows with a null id are scored, never learn
 
 from __future__ import annotations
 
+import bisect
 import math
 import pickle
 import zlib
@@ -35,6 +36,10 @@ TRAINER_TOKENS = 3_000_000
 #: Weights travel to their average in pieces of so many numbers.
 PIECE = 1 << 13
 ROUNDS = 2
+#: Rows whose outputs are worked on at once, forth and back, as they stay in a processor's cache; a class's rows stay together.
+ROWS = 512
+#: Numbers that the optimiser works on at once, for the same reason.
+BLOCK = 1 << 15
 #: The most frequent tokens, whose counts every task holds; counts of the others are joined.
 FREQUENT = 100_000
 END = 1
@@ -120,83 +125,105 @@ class Model:
 
     def run(self, x: np.ndarray, new: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, tuple]:
         """States of a window. x, new: steps x lanes; new resets a lane's state before the step."""
-        w, size = self.w, HIDDEN
-        out = np.empty((*x.shape, size), np.float32)
-        before, cand, hn = (np.empty_like(out) for _ in range(3))
-        gates = np.empty((*x.shape, 2 * size), np.float32)
+        w, size, (steps, lanes) = self.w, HIDDEN, x.shape
+        out = np.empty((steps, lanes, size), np.float32)
+        before, cand = np.empty_like(out), np.empty_like(out)
+        # Gates and candidate lie one after another, as operations on parts of rows are slow; the gates' sums are negated.
+        gates, sums = np.empty((steps, 2, lanes, size), np.float32), np.empty((steps, 3, lanes, size), np.float32)
         inputs = w["E"][x]
         inputs += w["bias"]
+        inputs = np.ascontiguousarray(inputs.reshape(steps, lanes, 3, size).transpose(0, 2, 1, 3), np.float32)
+        u = np.ascontiguousarray(w["U"].reshape(size, 3, size).transpose(1, 0, 2), np.float32)
+        for part in (inputs[:, :2], u[:2]):
+            np.negative(part, out=part)
         resets = new.any(1)
-        for t in range(len(x)):
+        for t in range(steps):
             if resets[t]:
                 state = np.where(new[t][:, None], np.float32(0), state)
-            u = state @ w["U"]
-            g, n, after = gates[t], cand[t], out[t]
-            np.add(inputs[t, :, : 2 * size], u[:, : 2 * size], out=g)
-            np.negative(g, out=g)
+            g, n, after, by_state = gates[t], cand[t], out[t], sums[t]
+            np.matmul(state, u, out=by_state)
+            np.add(inputs[t, :2], by_state[:2], out=g)
             np.exp(g, out=g)
             g += np.float32(1)
             np.reciprocal(g, out=g)
-            before[t], hn[t] = state, u[:, 2 * size :]
-            np.multiply(g[:, :size], hn[t], out=n)
-            n += inputs[t, :, 2 * size :]
+            before[t] = state
+            np.multiply(g[0], by_state[2], out=n)
+            n += inputs[t, 2]
             np.tanh(n, out=n)
             np.subtract(state, n, out=after)
-            after *= g[:, size:]
+            after *= g[1]
             after += n
             state = after
-        return out, (before, gates, cand, hn)
+        return out, (before, gates, cand, sums[:, 2])
 
     def output(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None, scale: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of y given states h (rows); with grad also the gradient to h (of scale-weighted log loss).
 
         grad then holds the gradients of C, cb and, for the classes of y, W and wb. Rows are dealt to their classes by
         sorting, so that only the products are made class by class."""
-        w = self.w
+        w, n = self.w, len(h)
         cls = np.where(y < self.n, y // self.width, self.classes)
         order = np.argsort(cls.astype(np.min_scalar_type(self.classes)), kind="stable")
         order = order[: np.searchsorted(cls[order], self.classes)]  # without rare tokens
-        mine, inside, hs = cls[order], y[order] - cls[order] * self.width, h[order]
+        mine = cls[order]
+        inside = y[order] - mine * self.width
         first = np.flatnonzero(np.diff(mine, prepend=-1))
-        groups = list(zip(mine[first].tolist(), first.tolist(), [*first[1:].tolist(), len(mine)]))
-
-        def by_class() -> np.ndarray:
-            z = h @ w["C"]
-            z += w["cb"]
-            return z
-
-        def by_token() -> np.ndarray:
-            z = np.empty((len(mine), self.width), np.result_type(h, w["W"]))
-            for c, a, b in groups:
-                np.dot(hs[a:b], w["W"][c], out=z[a:b])
-            z += w["wb"][mine]
-            return z
-
-        scale = None if grad is None else scale.astype(h.dtype)
-        logp, d = _softmax(by_class, cls, scale)
-        dh = None
+        ends = [*first[1:].tolist(), len(mine)]
+        groups = list(zip(mine[first].tolist(), first.tolist(), ends))
+        # A column of ones beside the states makes the classes' bias and its gradient part of the products.
+        kind = np.result_type(h, w["W"])
+        one, both, ct = np.ones((n, HIDDEN + 1), kind), np.concatenate([w["C"], w["cb"][None]]), w["C"].T
+        one[:, :HIDDEN] = h
+        hs = h[order]
+        logp, dh = np.empty(n, kind), None
+        if grad is not None:
+            scale, dh, total = scale.astype(kind), np.empty(h.shape, kind), np.zeros_like(both)
+            scales, back = scale[order], np.empty(hs.shape, kind)
+        for lo in range(0, n, ROWS):
+            part = slice(lo, min(lo + ROWS, n))
+            logp[part], e, size = _softmax(lambda: one[part] @ both, cls[part], grad is not None)
+            if grad is not None:
+                # Sums go by the rows as they are: sorted ones let large sums of one sign build up, whose rounding spoils the training.
+                by = (scale[part] / size)[:, None]
+                total += (one[part] * by).T @ e
+                np.multiply(e @ ct, by, out=dh[part])
         if grad is not None:
-            # Sums go by the rows as they are: sorted ones let large sums of one sign build up, whose rounding spoils the training.
-            np.dot(h.T, d, out=grad["C"])
-            d.sum(0, out=grad["cb"])
-            dh = d @ w["C"].T
-        if groups:
-            more, d = _softmax(by_token, inside, None if grad is None else scale[order])
-            logp[order] += more
+            grad["C"][...], grad["cb"][...] = total[:-1], total[-1]
+        at = 0
+        while at < len(groups):
+            start = groups[at][1]
+            to = max(at + 1, bisect.bisect_right(ends, start + ROWS))
+            some, stop = groups[at:to], ends[to - 1]
+            at = to
+
+            def by_token() -> np.ndarray:
+                z = np.empty((stop - start, self.width), kind)
+                for c, a, b in some:
+                    mine = z[a - start : b - start]
+                    np.dot(hs[a:b], w["W"][c], out=mine)
+                    mine += w["wb"][c]
+                return z
+
+            more, e, size = _softmax(by_token, inside[start:stop], grad is not None)
+            logp[order[start:stop]] += more
             if grad is not None:
-                back, ones = np.empty(hs.shape, d.dtype), np.ones(len(d), d.dtype)
-                for c, a, b in groups:
-                    np.dot(hs[a:b].T, d[a:b], out=grad["W"][c])
-                    np.dot(ones[a:b], d[a:b], out=grad["wb"][c])
-                    np.dot(d[a:b], w["W"][c].T, out=back[a:b])
-                dh[order] += back
+                by = scales[start:stop] / size
+                hb = hs[start:stop] * by[:, None]
+                for c, a, b in some:
+                    mine = e[a - start : b - start]
+                    np.dot(hb[a - start : b - start].T, mine, out=grad["W"][c])
+                    np.dot(by[a - start : b - start], mine, out=grad["wb"][c])
+                    np.dot(mine, w["W"][c].T, out=back[a:b])
+                back[start:stop] *= by[:, None]
+        if grad is not None:
+            dh[order] += back
         return logp, dh
 
     def backward(self, x: np.ndarray, new: np.ndarray, kept: tuple, dout: np.ndarray, grad: dict) -> np.ndarray:
         """grad gets the gradients of U, bias and, for the tokens of x, which are returned, of E."""
         w, size = self.w, HIDDEN
         before, gates, cand, hn = kept
-        r, z = gates[:, :, :size], gates[:, :, size:]
+        r, z = gates[:, 0], gates[:, 1]
         by_n = (1 - z) * (1 - cand * cand)
         by_z = (before - cand) * (z * (1 - z))
         by_r = hn * (r * (1 - r))
@@ -226,8 +253,9 @@ class Model:
         return which
 
 
-def _softmax(logits: Callable[[], np.ndarray], target: np.ndarray, scale: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Log probabilities of the targets and, with scale, the gradient of scale-weighted log loss to the logits.
+def _softmax(logits: Callable[[], np.ndarray], target: np.ndarray, slope: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log probabilities of the targets, the exponentials and their sums; with slope the sum is taken off the target's,
+    so that a row divided by its sum is the gradient of log loss to the logits.
 
     Rows are shifted by their maximum only if a sum would leave the middle of the numbers' range."""
     rows = np.arange(len(target))
@@ -242,10 +270,9 @@ def _softmax(logits: Callable[[], np.ndarray], target: np.ndarray, scale: np.nda
         if not len(total) or (total.min() > 1e-25 and total.max() < 1e25):
             break
     logp -= np.log(total)
-    if scale is not None:
-        e *= (scale / total)[:, None]
-        e[rows, target] -= scale
-    return logp, e
+    if slope:
+        e[rows, target] -= total
+    return logp, e, total
 
 
 def _lanes(n_tokens: np.ndarray, n_lanes: int) -> list[list[int]]:
@@ -303,7 +330,7 @@ class Adam:
 
     def __init__(self, model: Model) -> None:
         self.m, self.v, self.grad = ({k: np.zeros_like(x) for k, x in model.w.items()} for _ in range(3))
-        self.step = 0
+        self.step, self.room = 0, np.empty(BLOCK, np.float32)
 
     def update(self, model: Model, touched: dict[str, np.ndarray], rate: float) -> None:
         """A step for the touched rows of some weights and for all of the others; gradients are cut to a norm of 1."""
@@ -320,20 +347,22 @@ class Adam:
             m *= np.float32(0.9)
             m += g
             v *= np.float32(0.999)
-            g *= g
-            v += g
+            # The steps are made in a small room, which stays in the cache, as large gradients go to memory and back.
+            room = self.room[: g.size].reshape(g.shape) if g.size <= BLOCK else np.empty_like(g)
+            np.multiply(g, g, out=room)
+            v += room
             if k == "E":  # these rows are copies
                 self.m[k][s], self.v[k][s] = m, v
-            np.sqrt(v, out=g)
-            g += least
-            np.divide(m, g, out=g)
-            g *= pace
-            model.w[k][s] -= g
+            np.sqrt(v, out=room)
+            room += least
+            np.divide(m, room, out=room)
+            room *= pace
+            model.w[k][s] -= room
 
 
 def _blocks(rows: np.ndarray, width: int) -> Iterator[slice]:
     """Sorted row numbers as slices, of as many numbers at most as a processor's cache holds with their moments."""
-    most, ends = max(1, (1 << 16) // width), np.flatnonzero(np.diff(rows) != 1) + 1
+    most, ends = max(1, BLOCK // width), np.flatnonzero(np.diff(rows) != 1) + 1
     for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(rows)]):
         for lo in range(a, b, most):
             yield slice(int(rows[lo]), int(rows[min(lo + most, b) - 1]) + 1)

@@ -158,6 +158,42 @@ def test_few_calls_for_each_class():
     assert len(calls) < 6 * model.classes  # a window's time had gone into calls on a few rows each
 
 
+def test_outputs_in_blocks_equal_a_plain_version():
+    n, v, rng = 6000, 40_000, np.random.default_rng(9)
+    model = recurrent.Model(np.arange(10, 10 + v), np.arange(v, 0, -1.0), 50, 5)
+    model.w["C"] += rng.normal(0, 0.3, model.w["C"].shape).astype(np.float32)
+    model.w["W"] += rng.normal(0, 0.3, model.w["W"].shape).astype(np.float32)
+    h, scale = rng.normal(0, 0.5, (n, recurrent.HIDDEN)).astype(np.float32), rng.random(n).astype(np.float32)
+    y = np.where(rng.random(n) < 0.3, rng.integers(0, 100, n), rng.integers(0, v + 1, n))  # one class has over 1,700 rows
+    y[:5] = v
+    grad = {k: np.zeros_like(x) for k, x in model.w.items()}
+    tracemalloc.start()
+    logp, dh = model.output(h, y, grad, scale)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print(peak / (n * model.width * 4))
+    assert peak < 1.5 * n * model.width * 4  # not all rows' outputs at once, which don't stay in a processor's cache
+    w, h = {k: x.astype(float) for k, x in model.w.items()}, h.astype(float)
+    want = {k: np.zeros(x.shape) for k, x in w.items()}
+    soft = lambda z: np.exp(z) / np.exp(z).sum()
+    for i, t in enumerate(y.tolist()):
+        c = min(t // model.width, model.classes) if t < model.n else model.classes
+        p = soft(h[i] @ w["C"] + w["cb"])
+        d, lp = scale[i] * (p - (np.arange(len(p)) == c)), np.log(p[c])
+        want["C"] += np.outer(h[i], d)
+        want["cb"] += d
+        back = w["C"] @ d
+        if t < model.n:
+            p = soft(h[i] @ w["W"][c] + w["wb"][c])
+            d = scale[i] * (p - (np.arange(model.width) == t - c * model.width))
+            lp += np.log(p[t - c * model.width])
+            want["W"][c] += np.outer(h[i], d)
+            want["wb"][c] += d
+            back = back + w["W"][c] @ d
+        assert abs(lp - logp[i]) < 1e-4 and np.allclose(back, dh[i], atol=1e-4)
+    assert all(np.allclose(grad[k], want[k], atol=2e-3) for k in ("C", "cb", "W", "wb"))
+
+
 def test_logits_beyond_the_range_of_exp():
     rng = np.random.default_rng(6)
     model = recurrent.Model(np.arange(10, 40), np.ones(30), 5, 5)
