@@ -103,7 +103,9 @@ def steps(at: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
 
 
 class RollingHash:
-    """64-bit polynomial hashes of any slices of a byte or word sequence, by prefix sums modulo 2**64."""
+    """64-bit polynomial hashes of any slices of a byte sequence, by prefix sums modulo 2**64. Only for slices of fewer than
+    1,024 bytes, or where equal hashes are harmless: longer ones collide by design if they follow the Thue-Morse sequence.
+    """
 
     BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -146,6 +148,50 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: Bytes that slice_hashes works on at once, and places whose multipliers are kept.
+_HASH_BYTES, _HASH_PLACES = 1 << 18, 1 << 12
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
+_BYTES = np.random.default_rng(20240607).integers(0, 1 << 64, 256, dtype=np.uint64)
+_MULTIPLIERS = mix(np.arange(1, _HASH_PLACES + 1, dtype=np.uint64) * _PLACE)
+
+
+def slice_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of slices of bytes that follow one another without overlap: the sum of each byte's random number
+    times a random number of its place in the slice, modulo 2**64. As every place has its own multiplier, no two
+    texts of any length, however regular, collide but by the chance of 64 bits."""
+    out = np.zeros(len(start), np.uint64)
+    if not len(start):
+        return out
+    with np.errstate(over="ignore"):
+        for lo in range(int(start[0]), int(end[-1]), _HASH_BYTES):
+            hi = min(lo + _HASH_BYTES, int(end[-1]))
+            a, b = int(np.searchsorted(end, lo, "right")), int(np.searchsorted(start, hi, "left"))
+            if a == b:
+                continue
+            origin = np.zeros(hi - lo, np.int64)
+            origin[0] = min(int(start[a]), lo)
+            inner = start[a:b]
+            inner = inner[inner > lo]
+            origin[inner - lo] = inner
+            np.maximum.accumulate(origin, out=origin)
+            place = np.arange(lo, hi) - origin
+            far = int(place.max()) >= _HASH_PLACES
+            by = mix((place + 1).astype(np.uint64) * _PLACE) if far else _MULTIPLIERS[place]
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw[lo:hi]] * by, dtype=np.uint64)])
+            out[a:b] += sums[np.minimum(end[a:b], hi) - lo] - sums[np.maximum(start[a:b], lo) - lo]
+        return mix(out + (end - start).astype(np.uint64) * _PLACE)
+
+
+def word_grams(token: np.ndarray, first: np.ndarray, stop: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of the runs first to stop of word hashes, of n words at most."""
+    out = np.zeros(len(first), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            there = first + k < stop
+            out[there] += token[(first + k)[there]] * (_MULTIPLIERS[k] | np.uint64(1))
+        return mix(out + (stop - first).astype(np.uint64) * _PLACE)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
