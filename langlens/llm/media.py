@@ -86,11 +86,27 @@ def walk(data: bytes | memoryview, start: int = 0, end: int | None = None, path:
         start = stop
 
 
-def probe(data: bytes | memoryview) -> dict:
-    """codec, timescale, duration (ticks), samples [(offset, size)], keyframes [(first byte, end byte)] of the first track."""
-    at: dict[bytes, tuple[int, int]] = {}
+def tracks(data: bytes | memoryview) -> list[dict]:
+    """Of every track, in order of the file: codec, timescale, duration (ticks), samples [(offset, size)], keyframes
+    [(first byte, end byte)]. Each track has its own tables; one without stss has keyframes alone."""
+    found: list[dict[bytes, tuple[int, int]]] = []
     for path, body, stop in walk(data):
-        at.setdefault(path[-1], (body, stop))
+        if path == (b"moov", b"trak"):
+            found.append({})
+        elif found and path[:2] == (b"moov", b"trak"):
+            found[-1].setdefault(path[-1], (body, stop))
+    return [_track(data, at) for at in found]
+
+
+def probe(data: bytes | memoryview) -> dict:
+    """The first track of tracks(); a file without any is an error."""
+    found = tracks(data)
+    if not found:
+        raise ValueError("no track")
+    return found[0]
+
+
+def _track(data: bytes | memoryview, at: dict[bytes, tuple[int, int]]) -> dict:
     u32 = lambda kind, skip, n: struct.unpack_from(f">{n}I", data, at[kind][0] + 4 + skip)
     version = data[at[b"mdhd"][0]]
     scale, duration = struct.unpack_from(">IQ" if version else ">II", data, at[b"mdhd"][0] + (20 if version else 12))
@@ -132,23 +148,28 @@ _DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 l
 _TRACKS = "codec string, timescale long, duration long, n_samples long, keyframes array<struct<start:long,end:long>>, error string"
 
 
-def media_tracks(media: DataFrame, id_col: str = "media_id", data_col: str = "data") -> DataFrame:
-    """media_id (of any type), codec, duration and keyframe byte ranges of binary media, a row for each row. Null, empty or
-    damaged files: null columns and an error. Null ids are kept; an empty table gives no rows."""
+def media_tracks(media: DataFrame, id_col: str = "media_id", data_col: str = "data", every: bool = False) -> DataFrame:
+    """media_id (of any type), codec, duration and keyframe byte ranges of binary media, a row for each row: of its first
+    track, or with `every` a row for each track in the file's order. Null, empty or damaged files: one row with null columns
+    and an error. Null ids are kept; an empty table gives no rows."""
     kept = media.select(F.col(id_col).alias("media_id"), F.col(data_col).alias("data"))
     kind = kept.schema["media_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("error", pa.string())])
         for batch in batches:
-            rows = []
-            for data in batch[1].to_pylist():
+            rows, of = [], []
+            for i, data in enumerate(batch[1].to_pylist()):
                 try:
-                    x = probe(data or b"")
-                    rows.append({"codec": x["codec"], "timescale": x["timescale"], "duration": x["duration"], "n_samples": len(x["samples"]), "keyframes": [{"start": a, "end": b} for a, b in x["keyframes"]], "error": None})
+                    found = tracks(data or b"") if every else [probe(data or b"")]
+                    if not found:
+                        raise ValueError("no track")
+                    mine = [{"codec": x["codec"], "timescale": x["timescale"], "duration": x["duration"], "n_samples": len(x["samples"]), "keyframes": [{"start": a, "end": b} for a, b in x["keyframes"]], "error": None} for x in found]
                 except (ValueError, KeyError, IndexError, struct.error) as e:
-                    rows.append({"error": f"{type(e).__name__}: {e}"})
-            yield pa.RecordBatch.from_arrays([batch[0], *pa.RecordBatch.from_pylist(rows, schema).columns], ["media_id", *schema.names])
+                    mine = [{"error": f"{type(e).__name__}: {e}"}]
+                rows += mine
+                of += [i] * len(mine)
+            yield pa.RecordBatch.from_arrays([batch[0].take(pa.array(of, pa.int64())), *pa.RecordBatch.from_pylist(rows, schema).columns], ["media_id", *schema.names])
 
     return kept.mapInArrow(run, f"media_id {kind}, {_TRACKS}")
 

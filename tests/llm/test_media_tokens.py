@@ -41,6 +41,20 @@ def test_media_tracks(spark):
     assert all(got[i].error for i in (2, 3, 4))
 
 
+def test_tracks_have_their_own_tables(spark):
+    """A track without stss before one that has it, in one file: made of two files of one track."""
+    one, two = media.pack(b"a" * 64 * 40, key_every=1), media.pack(b"b" * 64 * 40, key_every=4)
+    trak = lambda data: next(data[body - 8 : stop] for path, body, stop in media.walk(data) if path == (b"moov", b"trak"))
+    plain = trak(one).replace(b"stss", b"free")
+    data = media._box(b"moov", plain, trak(two))
+    first, second = media.tracks(data)
+    assert len(first["keyframes"]) == 40 and second["keyframes"] == media.probe(two)["keyframes"] and len(second["keyframes"]) == 10
+    table = spark.createDataFrame([("x", data), ("y", None), (None, one)], "media_id string, data binary")
+    rows = [(r.media_id, len(r.keyframes or []), r.error is None) for r in media.media_tracks(table, every=True).collect()]
+    assert sorted(rows, key=str) == sorted([("x", 40, True), ("x", 10, True), ("y", 0, False), (None, 40, True)], key=str)
+    assert media.media_tracks(table).count() == 3
+
+
 def test_separator_scan_blocks(spark, tmp_path):
     ids = np.random.default_rng(1).integers(0, 6, 1000).astype("<u2")
     ids[100:400] = 3
