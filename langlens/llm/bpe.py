@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RollingHash, documents, flat, open_store, ragged, shared_dir, steps, trim
+from .common import documents, flat, open_store, quoted, ragged, shared_dir, slice_hashes, steps, trim
 
 LONG_WORD = 200
 #: Bytes of text in a block; a longer document is a block of its own.
@@ -233,24 +233,23 @@ def _word_rows(docs: DataFrame, names: list[str], folder: str, buckets: int) ->
     k = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll = RollingHash()
         serial = TaskContext.get().partitionId() << 32
         own: list[pa.RecordBatch] = []
-        parts: list[tuple[np.ndarray, ...]] = []  # of each step: hashes, bytes, widths and counts of its words; their order; words of each row
+        parts: list[tuple] = []  # of each step: its distinct words and their counts; the words in order; words of each row
         size = 0
 
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal serial, own, parts, size
-            hashes, first, number = np.unique(np.concatenate([x[0] for x in parts]), return_index=True, return_inverse=True)
-            raw, width = np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts])
-            count = np.bincount(number.ravel(), np.concatenate([x[3] for x in parts]), len(hashes))
+            every = pa.concat_arrays([x[0] for x in parts]).dictionary_encode()  # by their bytes, not by a hash
+            number, distinct = np.asarray(every.indices), every.dictionary
+            count = np.bincount(number, np.concatenate([x[1] for x in parts]), len(distinct))
             order = np.argsort(-count, kind="stable")
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order))
             shift = np.cumsum([0, *(len(x[0]) for x in parts)])
-            numbers = np.concatenate([place[number.ravel()[a:b]][x[4]] for x, a, b in zip(parts, shift, shift[1:])])
+            numbers = np.concatenate([place[number[a:b]][x[2]] for x, a, b in zip(parts, shift, shift[1:])])
             schema = pa.schema([*own[0].schema, ("n_words", pa.int64())])
-            counts = pa.array(np.concatenate([x[5] for x in parts]))
+            counts = pa.array(np.concatenate([x[3] for x in parts]))
             table = pa.table([*pa.Table.from_batches(own).columns, counts], schema=schema)
             store, root = open_store(folder)
             store.create_dir(root, recursive=True)
@@ -260,9 +259,9 @@ def _word_rows(docs: DataFrame, names: list[str], folder: str, buckets: int) ->
                     to.write_table(table.replace_schema_metadata({"words": str(len(numbers))}))
                 out.write(_planes(numbers))
             store.move(mine, f"{root}/{serial}.bin")
-            at = (np.cumsum(width) - width)[first][order]
-            width = width[first][order]
-            bucket = (hashes[order] % np.uint64(buckets)).astype(np.int64)
+            raw, at = flat(distinct.take(pa.array(order)))
+            at, width = at[:-1], np.diff(at)
+            bucket = (slice_hashes(raw, at, at + width) % np.uint64(buckets)).astype(np.int64)
             deal = np.argsort(bucket, kind="stable")
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[deal])) + 1, [len(deal)]]) if len(deal) else np.zeros(2, np.int64)
             where = bucket[deal][cuts[:-1]] if len(deal) else np.array([serial % buckets])
@@ -279,11 +278,11 @@ def _word_rows(docs: DataFrame, names: list[str], folder: str, buckets: int) ->
                 if own and size + len(raw) > BLOCK_BYTES:
                     yield from close()
                 start, by_doc = split_words(raw, at)
-                end = np.append(start[1:], len(raw)) if len(start) else start
-                hashes, first, number, count = np.unique(roll.slices(roll.prefix(raw), start, end), return_index=True, return_inverse=True, return_counts=True)
-                width = (end - start)[first]
+                each = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.append(start, len(raw)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
+                each = each.dictionary_encode()
+                number = np.asarray(each.indices).astype(np.uint32)
                 own.append(pa.RecordBatch.from_arrays([batch[i].take(pa.array(np.arange(lo, hi))) for i in range(k)], names))  # copies, as a slice keeps the texts
-                parts.append((hashes, ragged(raw, start[first], width), width, count, number.ravel().astype(np.uint32), np.diff(by_doc)))
+                parts.append((each.dictionary, np.bincount(number, minlength=len(each.dictionary)), number, np.diff(by_doc)))
                 size += len(raw)
         if own:
             yield from close()
@@ -398,6 +397,9 @@ def _decimal(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def assembled(docs: DataFrame, names: list[str], vocabulary: str, with_ids: bool = False) -> DataFrame:
     """A row for each document: `names`, n_tokens, ids_sha256, decoded_sha256 or, with_ids, ids and the decoded text."""
     spark = docs.sparkSession
+    # Numbered meanwhile, as names may have dots.
+    given, names = names, [f"c{i}" for i in range(len(names))]
+    docs = docs.select(*(F.col(quoted(n)).alias(c) for n, c in zip(given, names)), "text")
     kinds = {n: docs.schema[n].dataType.simpleString() for n in names}
     rest = "ids array<int>, decoded string" if with_ids else "n_tokens long, ids_sha256 string, decoded_sha256 string"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -451,7 +453,7 @@ def assembled(docs: DataFrame, names: list[str], vocabulary: str, with_ids: bool
 
     rows = _word_rows(docs, names, folder, min(8192, 16 * parts))
     back = _returned(encoded_words(_met(rows, parts), vocabulary), vocabulary)
-    return back.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in kinds.items()) + f", {rest}")
+    return back.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in kinds.items()) + f", {rest}").toDF(*given, *(x.split()[0] for x in rest.split(", ")))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RollingHash, documents, flat, lower, steps, trim, words, written
+from .common import documents, flat, lower, quoted, slice_hashes, steps, trim, word_grams, words, written
 
 WORDS = 5
 #: Similarity as a fraction, compared in whole numbers: UP * intersection >= OF * union.
@@ -46,17 +46,16 @@ HELD = 1 << 20
 BUCKETS = 4096
 
 
-def shingles(raw: np.ndarray, at: np.ndarray, roll: RollingHash, n: int = WORDS) -> list[np.ndarray]:
+def shingles(raw: np.ndarray, at: np.ndarray, n: int = WORDS) -> list[np.ndarray]:
     """Of each row the sorted distinct hashes of its n-word shingles; with fewer words, of all its words as one."""
     start, end, by_doc = words(raw, at)
-    token = roll.slices(roll.prefix(raw), start, end)
-    prefix = roll.prefix(token)
+    token = slice_hashes(raw, start, end)
     out = []
     count = np.diff(by_doc)
     size = np.where(count >= n, count - n + 1, np.minimum(count, 1))
     first = ragged_arange(by_doc[:-1], size)
     stop = np.minimum(first + n, np.repeat(by_doc[1:], size))
-    hashes = roll.slices(prefix, first, stop)
+    hashes = word_grams(token, first, stop, n)
     cut = np.concatenate([[0], np.cumsum(size)])
     for a, b in zip(cut, cut[1:]):
         out.append(np.unique(hashes[a:b]))
@@ -83,10 +82,10 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return UP * both >= OF * (len(x) + len(y) - both)
 
 
-def _sets(batch: pa.RecordBatch, col: int, roll: RollingHash) -> Iterator[tuple[int, list[np.ndarray]]]:
+def _sets(batch: pa.RecordBatch, col: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     raw, at = flat(batch[col])
     for lo, hi in steps(at):
-        yield lo, shingles(lower(raw[at[lo] : at[hi]]), at[lo : hi + 1] - at[lo], roll)
+        yield lo, shingles(lower(raw[at[lo] : at[hi]]), at[lo : hi + 1] - at[lo])
 
 
 def _signature(x: np.ndarray) -> int | None:
@@ -108,9 +107,8 @@ def _marked(rows: DataFrame) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll = RollingHash()
         for b in batches:
-            for lo, part in _sets(b, 3, roll):
+            for lo, part in _sets(b, 3):
                 own = [b[i].slice(lo, len(part)) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array([len(x) for x in part], pa.int64()), pa.array([_signature(x) for x in part], pa.int64()), _list([_prefix(x) for x in part])], ["k1", "k2", "doc_id", "n", "sid", "items"])
         trim()
@@ -206,9 +204,8 @@ def distinct_sets(rows: DataFrame, marked: DataFrame) -> DataFrame:
     texts = _row_keys(rows).join(keys, "k1").select("text", "hits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll = RollingHash()
         for b in batches:
-            for lo, part in _sets(b, 0, roll):
+            for lo, part in _sets(b, 0):
                 yield pa.RecordBatch.from_arrays([pa.array([_signature(x) for x in part], pa.int64()), pa.array([len(x) for x in part], pa.int64()), _list(part), b[1].slice(lo, len(part))], ["sid", "n", "items", "hits"])
         trim()
 
@@ -453,7 +450,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by a 128-bit hash of id and text; ids needn't be unique."""
     own = ["__row", "__k1", "__k2"]
-    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__row"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("__k1"), F.xxhash64(F.coalesce("text", F.lit("")), "doc_id", F.lit("k2")).alias("__k2"))
+    packed = docs.select(F.struct(*map(quoted, docs.columns)).alias("__row"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("__k1"), F.xxhash64(F.coalesce("text", F.lit("")), "doc_id", F.lit("k2")).alias("__k2"))
     marked, roots = _classed(documents(docs))
     named = marked.where("sid is not null").join(roots, "sid", "left").select("k1", "k2", F.coalesce("root", "sid").alias("root"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2").alias("place"))
     lead = named.groupBy("root").agg(F.min("place").alias("lead"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, written
+from .common import keyed, quoted, written
 
 #: Characters of a half-line that are varied together, at least.
 BLOCK = 256
@@ -146,7 +146,7 @@ def _kept(lines: Column, keep: Column) -> Column:
 def _cleaned(docs: DataFrame) -> DataFrame:
     """row (all columns of docs), text, l (lines), n_visible (lines that aren't blank), keep, out (the lines that stay)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), text.alias("text"), F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(text, "doc_id", F.lit("k2")).alias("k2"))
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), text.alias("text"), F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(text, "doc_id", F.lit("k2")).alias("k2"))
     joined = rows.join(kept_lines(docs), ["k1", "k2"], "left").withColumns({"l": F.split("text", "\n"), "keep": F.coalesce("keep", F.array().cast("array<int>"))})
     seen = joined.withColumn("n_visible", F.size(F.filter("l", lambda x: ~x.rlike(_BLANK))))
     return seen.withColumn("out", F.when(F.col("n_visible") == F.size("keep"), F.col("l")).otherwise(_kept(F.col("l"), F.col("keep"))))

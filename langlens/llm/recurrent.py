@@ -15,7 +15,6 @@ from __future__ import annotations
 import bisect
 import math
 import pickle
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, RollingHash, documents, flat, lower, open_store, shared_dir, shuffles_end, steps, trim, words, written
+from .common import STEP_BYTES, documents, flat, lower, open_store, shared_dir, shuffles_end, slice_hashes, steps, trim, words, written
 
 #: The vocabulary has so many tokens at least, if there are as many.
 HEAD = 1024
@@ -46,13 +45,13 @@ END = 1
 FOLDS, HELD_OUT = 7, 2
 
 
-def tokens(raw: np.ndarray, at: np.ndarray, roll: RollingHash) -> tuple[np.ndarray, np.ndarray]:
+def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit token hashes of all rows, each row's closed by END, and the rows' offsets; in small steps, as scans take tens of bytes a byte."""
     if len(at) > 2 and at[-1] > STEP_BYTES:
-        ids, cuts = zip(*(tokens(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], roll) for lo, hi in steps(at)))
+        ids, cuts = zip(*(tokens(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]) for lo, hi in steps(at)))
         return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(c) for c in cuts]))])
     start, end, by_doc = words(raw, at)
-    h = roll.slices(roll.prefix(lower(raw)), start, end).view(np.int64)
+    h = slice_hashes(lower(raw), start, end).view(np.int64)
     n = len(at) - 1
     out = np.empty(len(h) + n, np.int64)
     stops = by_doc[1:] + np.arange(n)
@@ -62,12 +61,12 @@ def tokens(raw: np.ndarray, at: np.ndarray, roll: RollingHash) -> tuple[np.ndarr
     return out, np.concatenate([[0], stops + 1])
 
 
-def _held(doc_id: int | None) -> bool | None:
-    return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
+def _held() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT
 
 
 def _learned() -> Column:
-    return F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD_OUT)
+    return F.coalesce(~_held(), F.lit(False))
 
 
 def least_count(n_all: int) -> int:
@@ -79,11 +78,10 @@ def token_counts(docs: DataFrame) -> DataFrame:
     """(h, c) of all tokens of the training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll = RollingHash()
         for b in batches:
             raw, at = flat(b[0])
             for lo, hi in steps(at, 8 << 20):
-                ids, _ = tokens(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], roll)
+                ids, _ = tokens(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                 h, c = np.unique(ids, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c)], ["h", "c"])
         trim()
@@ -424,12 +422,12 @@ def fit(docs: DataFrame, counts: DataFrame, trainers: int = TRAINERS, rounds: in
 
     def trainer(stored: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            roll, total, model = RollingHash(), 0, _fetch(stored)
+            total, model = 0, _fetch(stored)
             adam = Adam(model)
             for b in batches:
                 raw, at = flat(b[0])
                 for lo, hi in steps(at, 8 << 20):
-                    ids, cut = tokens(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], roll)
+                    ids, cut = tokens(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                     total += train(model, ids, cut, adam)
             every = model.vector()
             del model, adam
@@ -476,12 +474,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
     stored = _store(docs.sparkSession, (model, top[order], np.log10(top_c[order] + 1.0), model.numbers(top[order])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll, serial = RollingHash(), TaskContext.get().partitionId() << 40
+        serial = TaskContext.get().partitionId() << 40
         model, top, log_c, number = _fetch(stored)
         for b in batches:
             raw, at = flat(b[1])
             for lo, hi in steps(at, 8 << 20):
-                ids, cut = tokens(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], roll)
+                ids, cut = tokens(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                 place = np.minimum(np.searchsorted(top, ids), max(0, len(top) - 1))
                 local = top[place] == ids if len(top) else np.zeros(len(ids), bool)
                 logp, rare = log_probabilities(model, ids, cut, ids=np.where(local, number[place], model.n) if len(top) else None)
@@ -490,14 +488,14 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 first, n = cut[:-1], np.diff(cut)
                 rest = np.concatenate([[0], np.cumsum(~local)])[cut].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(serial + np.arange(hi - lo)), b[0].slice(lo, hi - lo), pa.array([_held(i) for i in b[0].slice(lo, hi - lo).to_pylist()], pa.bool_()), pa.array(n),
+                    [pa.array(serial + np.arange(hi - lo)), b[0].slice(lo, hi - lo), b[2].slice(lo, hi - lo), pa.array(n),
                      pa.array(np.add.reduceat(local.astype(np.int64), first)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(logp, first)), pa.ListArray.from_arrays(pa.array(rest), pa.array(ids[~local]))],
                     ["key", "doc_id", "held_out", "n_tokens", "known", "base", "part", "rest"],
                 )
                 serial += hi - lo
         trim()
 
-    seen = written(rows.mapInArrow(run, f"key long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, part double, rest array<long>"), "scores")
+    seen = written(rows.withColumn("held_out", _held()).mapInArrow(run, f"key long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, part double, rest array<long>"), "scores")
     rest = seen.select("key", F.explode("rest").alias("h")).groupBy("key", "h").agg(F.count("*").alias("n")).join(counts, "h")
     more = rest.groupBy("key").agg(F.sum("n").alias("k2"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("b2"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))

@@ -246,14 +246,14 @@ def test_tokens_in_small_steps():
     texts = [b" ".join(b"Word%d" % i for i in rng.integers(0, 900, n)) for n in (3000, 0, 1, 40000, 7, 90000, 250000, 0, 5)]
     raw, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
     tracemalloc.start()
-    ids, cut = recurrent.tokens(raw, at, recurrent.RollingHash())
+    ids, cut = recurrent.tokens(raw, at)
     small = np.concatenate([np.tile(np.frombuffer(b"a b ", np.uint8), 2000)] * 1500)
     tracemalloc.reset_peak()
-    recurrent.tokens(small, np.arange(0, len(small) + 1, 8000), recurrent.RollingHash())
+    recurrent.tokens(small, np.arange(0, len(small) + 1, 8000))
     assert tracemalloc.get_traced_memory()[1] < 16 * len(small)  # the tokens alone take four bytes a byte here
     tracemalloc.stop()
     for k, text in enumerate(texts):
-        alone, _ = recurrent.tokens(np.frombuffer(text, np.uint8), np.array([0, len(text)]), recurrent.RollingHash())
+        alone, _ = recurrent.tokens(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
         assert ids[cut[k] : cut[k + 1]].tolist() == alone.tolist() and len(alone) == len(text.split()) + 1
 
 
