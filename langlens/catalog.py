@@ -72,7 +72,7 @@ class Catalog:
         unknown languages never hold, as they are no candidates."""
         import regex
 
-        from .operators.rules import java_pattern
+        from .functions.patterns import java_pattern
 
         def patterns(rule: object) -> list[str]:
             if rule is None or isinstance(rule, str):

@@ -742,5 +742,25 @@ VENDOR_GLOBS = [
     '**/Jenkinsfile',
 ]
 
-# Fixed value: a pattern that Java reads differently; "&&" and "[" in a class are plain characters where it comes from.
-READ_AS = {r"^[\s&&[^\n]]*=(comment|begin pod|begin para|item\d+)": r"^[\s&\[\^\n]\]*=(comment|begin pod|begin para|item\d+)"}
+# rules' patterns, and patterns that are found in the same texts but don't try the same text again and again.
+# A word is tried from its start alone, blanks and words are not given back, what may reach over line ends reaches over one.
+_TARGET = r"[\w \t\x0B\f\/\\.]"
+LINEAR = {
+    "^module\\s+[\\w.]*\\s*;|import\\s+[\\w\\s,.:]*;|\\w+\\s+\\w+\\s*\\(.*\\)(?:\\(.*\\))?\\s*{[^}]*}|unittest\\s*(?:\\(.*\\))?\\s*{[^}]*}":
+        r"^module\s++[\w.]*+\s*+;|import\s[\w\s,.:]*+;|(?<!\w)\w++\s++\w++\s*+\(.*\)\s*+{[^}]*+}|unittest\s*+(?:\(.*\)\s*+)?{[^}]*+}",
+    "([\\/\\\\].*:\\s+.*\\s\\\\$|: \\\\$|^[ %]:|^[\\w\\s\\/\\\\.]+\\w+\\.\\w+\\s*:\\s+[\\w\\s\\/\\\\.]+\\w+\\.\\w+)":
+        r"^[^\/\\\r\n]*+[\/\\].*:\s+.*\s\\$|: \\$|^[ %]:|^" + _TARGET + r"*(?:" + _TARGET + r"|\r\n?|\n)\w\.\w++\s*+:\s[\w\s\/\\.]+\w\.\w",
+    "^\\s*(?:public\\s+|private\\s+|\\s*)function\\s+\\w+\\s*\\([\\w\\s,]*\\)\\s*{": r"^\s*(?:public\s+|private\s+)?function\s+\w+\s*\([\w\s,]*\)\s*{",
+    "(?:^|<)\\s*[A-Za-z0-9_]+\\s*=\\s*<": r"(?:^[ \t\x0B\f]*+|<\s*+)[A-Za-z0-9_]++\s*+=\s*+<",
+    "package\\s+\\w+|\\b(?:im|ex)port\\s*\"[\\w:./]+\"|\\w+\\s*::\\s*(?:proc|struct)\\s*\\(|^\\s*//\\s": r'package\s+\w|\b(?:im|ex)port\s*"[\w:./]+"|\w\s*+::\s*(?:proc|struct)\s*\(|^\s*//\s',
+    "^\\s+\\w+\\s+=>\\s": r"^[ \t\x0B\f]*(?:[ \t\x0B\f]|\r\n?|\n)\w++\s++=>\s",
+    "(?i:\\w+\\s*=\\s*)": r"\w\s*+=",
+    "((?i:[A-Z.][\\w.]*:{)|(^|\\n)\\\\(cd?|d|l|p|ts?) )": r"(?i:(?<![\w.])[0-9_]*+[A-Z.][\w.]*+:{)|(^|\n)\\(cd?|d|l|p|ts?) ",
+    "^[^#!;][^=]*=": r"\A(?:[#!;][^\r\n]*+(?:\r\n?|\n))*+[^#!;][^=]*+=",
+    "^[^#!][^:]*:": r"\A(?:[#!][^\r\n]*+(?:\r\n?|\n))*+[^#!][^:]*+:",
+    "^[^#]*:-": r"^[^#\r\n]*:-",
+    "^[^\\[#]+:-": r"^[^\[#\r\n]*(?:[^\[#\r\n]|\r\n?|\n):-",
+    "(^\\s*module)|let rec |match\\s+(\\S+\\s)+with": r"^\s*module|let rec |match\s++(?:\S++\s(?!with))*+\S++\swith",
+    "=> |case\\s+(\\S+\\s)+of": r"=> |case\s++(?:\S++\s(?!of))*+\S++\sof",
+    "^[^#]+:-": r"^[^#\r\n]*(?:[^#\r\n]|\r\n?|\n):-",
+}

@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .. import fixed_values as fixed
 from ..catalog import Catalog, builtin
-
-
-def java_pattern(pattern: str) -> str:
-    """A multi-line pattern for Java: an opening brace that starts no quantifier is a plain character."""
-    pattern = fixed.READ_AS.get(pattern, pattern)
-    return "(?m)" + re.sub(r"(?<!\\)\{(?!\d+(?:,\d*)?\})", r"\\{", pattern)
+from ..functions.patterns import java_pattern
 
 
 def condition(rule: object, text: Column, named: dict) -> Column:
