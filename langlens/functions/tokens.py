@@ -1,11 +1,14 @@
 """A tokenizer for source code of any language, as one ordered alternation.
 
 Comments, strings, numbers, identifiers and symbols; what does not close is a one-character symbol, and scanning
-goes on right after it, which is how alternatives of a regular expression fail anyway.
+goes on right after it, which is how alternatives of a regular expression fail anyway. Openers of block comments after
+the last of their closers are told apart before, so that none of them is scanned to the end of the text in vain.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +19,12 @@ _BLOCKS = [(r"/\*", r"\*/"), (r"\{-", r"-\}"), (r"\(\*", r"\*\)"), ("<!--", "-->
 _LINES = ["//++", "--++", "#++", "%++"]
 
 
+#: Stands behind the first character of an opener that nothing closes: a code point that is no character. A text
+#: that has it is taken as it is.
+_OPEN = "\ufdd0"
+_PAIRS = [("/*", "*/"), ("{-", "-}"), ("(*", "*)"), ("<!--", "-->")]
+
+
 def _alternatives() -> list[str]:
     out = [f"{a}[\\s\\S]*?{b}" for a, b in _BLOCKS]
     out += [f"{a}[^\\r\\n]*+" for a in _LINES]
@@ -28,9 +37,39 @@ def _alternatives() -> list[str]:
 PATTERN = "(" + "|".join(_alternatives()) + ")"
 
 
+#: The same for texts with _OPEN, which is skipped like a blank.
+_MARKED = PATTERN.replace(r"[^\p{IsWhite_Space}]", rf"[^\p{{IsWhite_Space}}{_OPEN}]")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _hopeless_marked(text: Column) -> Column:
+    """The text with _OPEN in every opener of a block comment that has no closer after it: those that end after the
+    start of the last closer."""
+
+    def mark(open_: str, close: str) -> Callable[[Column], Column]:
+        def one(t: Column) -> Column:
+            back = F.instr(F.reverse(t), F.lit(close[::-1]))
+            last = F.when(back > 0, F.length(t) - back - len(close) + 2).otherwise(0)
+            first = F.greatest(F.lit(1), last - len(open_) + 1)  # from here on, counted from 1, openers are hopeless
+            tail = F.replace(F.substring(t, first, F.length(t)), F.lit(open_), F.lit(open_[0] + _OPEN + open_[1:]))
+            return F.when(F.contains(t, F.lit(open_)), F.concat(F.substring(t, F.lit(1), first - 1), tail)).otherwise(t)
+
+        return one
+
+    for pair in _PAIRS:
+        text = _let(text, mark(*pair))
+    return text
+
+
 def lexemes(text: Column) -> Column:
     """array<string> of the tokens' texts, in order."""
-    return F.regexp_extract_all(text, F.lit(PATTERN), 1)
+    every = lambda t, pattern: F.regexp_extract_all(t, F.lit(pattern), 1)
+    found = lambda t: F.when(F.contains(t, F.lit(_OPEN)), F.transform(every(t, _MARKED), lambda x: F.translate(x, _OPEN, ""))).otherwise(every(t, PATTERN))
+    return F.when(F.contains(text, F.lit(_OPEN)), every(text, PATTERN)).otherwise(_let(_hopeless_marked(text), found))
 
 
 def kind(lexeme: Column) -> Column:

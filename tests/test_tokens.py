@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 import unicodedata
 
 import pyarrow.parquet as pq
@@ -132,3 +133,29 @@ def test_queries_against_the_scanner(spark, name):
             want[r["doc_id"], k] += 1
             chars[r["doc_id"], k] += len(x)
     assert got == sorted(((*k, n, chars[k]) for k, n in want.items()), key=str)
+
+
+OPENERS = [(o, c) for o, c in BLOCKS.items()]
+
+
+@pytest.mark.parametrize("open_,close", OPENERS)
+def test_openers_without_closers_take_linear_time(spark, open_, close):
+    n = 51_200 // len(open_)
+    many = [open_ * n, f"a{close}" + open_ * n, f"{open_} x {close} " + (open_ + " y ") * (n // 3), (open_ + "\n") * n, open_ * (n // 2) + close + open_ * (n // 2), "{-/*(*<!--" * 5_000]
+    table = spark.createDataFrame(list(enumerate(many)), "i int, t string").coalesce(1).cache()
+    table.count()
+    began = time.time()
+    got = {r.i: r.n for r in table.select("i", F.size(tokens.lexemes(F.col("t"))).alias("n")).collect()}
+    assert time.time() - began < 1.0 * len(many)
+    assert got == {i: len(scan(t)) for i, t in enumerate(many)}
+
+
+def test_openers_near_closers_and_the_mark_itself(spark):
+    """Openers that share characters with closers, in all orders, alone and inside of other tokens."""
+    rng = random.Random(11)
+    parts = ["/", "*", "(", ")", "{", "-", "}", "<", "!", ">", "/*", "*/", "(*", "*)", "{-", "-}", "<!--", "-->", '"', "'", "\\", "\n", "a", " ", "//", "7"]
+    texts = ["/*/", "(*)", "{-}", "<!-->", "<!--->", "*/*", "/**/*", "*)(*", "// /* x", '"/*" (* \'(*\' *)', "-->{-<!--", "\ufdd0", "/* \ufdd0 /*", "\ufdd0 /* a */ /*"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 18))) for _ in range(1500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tokens.tokens(F.col("t")).alias("x")).collect()
+    for r in rows:
+        assert [tuple(x) for x in r.x] == scan(texts[r.i]), texts[r.i]
