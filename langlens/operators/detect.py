@@ -61,6 +61,6 @@ def detect(files: DataFrame, model: DataFrame | None = None, catalog: Catalog |
         # Kept, as it is read three times; only undecided rows keep their text.
         open_ = F.col("strategy") == "Classifier"
         kept = opened.select("path", "strategy", "language", "error", F.when(open_, F.col("candidates")).alias("asked"), F.when(open_, F.col("text")).alias("text")).persist()
-        picked = bayes.best(bayes.scores(kept, model, "path", "asked", key_tokens(F.col("text"))), "path").withColumnRenamed("language", "picked")
+        picked = bayes.decide(kept.where(F.col("asked").isNotNull()), model, "path", "asked", key_tokens(F.col("text"))).withColumnRenamed("language", "picked")
         last = kept.join(picked, "path", "left").withColumn("language", F.coalesce("picked", "language"))
     return done.unionByName(last.select("path", "strategy", "language", "error"))

@@ -81,7 +81,7 @@ def nb_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
     model = bayes.fit(docs.where("doc_id % 5 <> 0").select(F.col("lang").alias("language"), "text"), _words())
     held = docs.where("doc_id % 5 = 0").withColumn("candidates", F.array(*map(F.lit, ["es", "en", "de", "fr"])))
-    return bayes.best(bayes.scores(held, model, "doc_id", "candidates", _words()), "doc_id")
+    return bayes.decide(held, model, "doc_id", "candidates", _words())
 
 
 def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

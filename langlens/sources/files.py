@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
 from ..functions.paths import excluded, glob_regex
+from .store import shared_folder, stored
 
 SKIPPED = fixed.DOCUMENTATION_GLOBS + fixed.VENDOR_GLOBS
 
@@ -69,44 +72,98 @@ def _above(root: str) -> list[tuple[str, str]]:
     return []
 
 
-def walk(root: str, hidden: bool = False, ignore_files: bool = True, skipped: list[str] = ()) -> list[tuple[str, int]]:
-    """(path relative to root, size) of regular files: hidden names, ignored paths and those that match a glob of
-    skipped are left out, folders among them with all below; links aren't followed, unreadable folders and files that
-    vanish meanwhile are left out."""
-    out, stack = [], [("", [])]
-    above = _above(root) if ignore_files else []
-    skip = re.compile("|".join(map(glob_regex, skipped))) if skipped else None
-    while stack:
-        rel, lines = stack.pop()
+Lines = list[tuple[str, str]]
+
+
+class _Folder:
+    """Lists one folder of a walk at a time."""
+
+    def __init__(self, root: str, hidden: bool, ignore_files: bool, skipped: list[str]) -> None:
+        self.root, self.hidden, self.ignore_files = root, hidden, ignore_files
+        self.above = _above(root) if ignore_files else []
+        self.skip = re.compile("|".join(map(glob_regex, skipped))) if skipped else None
+
+    def entries(self, rel: str, lines: Lines) -> tuple[list[tuple[str, int]], list[str], Lines]:
+        """(path, size) of the folder's files, the paths of the folders in it to be entered, and the ignore lines for them."""
+        files, folders = [], []
         try:
-            entries = sorted(os.scandir(os.path.join(root, rel)), key=lambda e: e.name)
+            entries = sorted(os.scandir(os.path.join(self.root, rel)), key=lambda e: e.name)
         except OSError:
-            continue
-        if ignore_files:
-            lines = [*lines, *((rel, x) for x in _ignore_lines(os.path.join(root, rel)))]
+            return files, folders, lines
+        if self.ignore_files:
+            lines = [*lines, *((rel, x) for x in _ignore_lines(os.path.join(self.root, rel)))]
         for e in entries:
             path = f"{rel}/{e.name}" if rel else e.name
             try:
                 is_dir = e.is_dir(follow_symlinks=False)
-                if (e.name.startswith(".") and not hidden) or e.is_symlink() or (skip and skip.match(path)):
+                if (e.name.startswith(".") and not self.hidden) or e.is_symlink() or (self.skip and self.skip.match(path)):
                     continue
-                if _ignored(path, is_dir, lines) if lines else False:
+                if lines and _ignored(path, is_dir, lines):
                     continue
-                if any(_ignored(f"{prefix}/{path}", is_dir, [("", line)]) for prefix, line in above):
+                if any(_ignored(f"{prefix}/{path}", is_dir, [("", line)]) for prefix, line in self.above):
                     continue
                 if is_dir:
-                    stack.append((path, lines))
+                    folders.append(path)
                 elif e.is_file(follow_symlinks=False):
-                    out.append((path, e.stat().st_size))
+                    files.append((path, e.stat().st_size))
             except OSError:
                 continue
+        return files, folders, lines
+
+
+def walk(root: str, hidden: bool = False, ignore_files: bool = True, skipped: list[str] = ()) -> list[tuple[str, int]]:
+    """(path relative to root, size) of regular files: hidden names, ignored paths and those that match a glob of
+    skipped are left out, folders among them with all below; links aren't followed, unreadable folders and files that
+    vanish meanwhile are left out. On the driver; walked() is the same for large trees."""
+    folder, out, stack = _Folder(root, hidden, ignore_files, list(skipped)), [], [("", [])]
+    while stack:
+        files, folders, lines = folder.entries(*stack.pop())
+        out += files
+        stack += [(f, lines) for f in folders]
     return sorted(out)
 
 
-def paths(spark: SparkSession, root: str, parallelism: int | None = None, **options) -> DataFrame:
-    """(path, size) of a tree without documentation and vendored paths; LANGLENS_THREADS or parallelism partitions."""
+_ARROW = [pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.struct([("base", pa.string()), ("line", pa.string())]))]
+_FOUND = "path string, size long, folder boolean, lines array<struct<base:string,line:string>>"
+
+
+def walked(spark: SparkSession, root: str, hidden: bool = False, ignore_files: bool = True, skipped: list[str] = (), parallelism: int | None = None) -> DataFrame:
+    """walk() as a DataFrame, breadth first: in each round tasks list the folders that the round before found, which
+    carry the ignore lines that hold for them. Rounds are tables in shared storage; the driver holds their counts alone.
+    The root is a folder that all executors see."""
+    skipped, n = list(skipped), parallelism or spark.sparkContext.defaultParallelism
+    base = shared_folder(spark, "walk")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder = _Folder(root, hidden, ignore_files, skipped)
+        for b in batches:
+            for rel, lines in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True):
+                files, folders, below = folder.entries(rel, [(x["base"], x["line"]) for x in lines or ()])
+                below = [{"base": a, "line": x} for a, x in below]
+                rows = [(p, size, False, None) for p, size in files] + [(p, None, True, below) for p in folders]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], ["path", "size", "folder", "lines"])
+
+    frontier, rounds = spark.createDataFrame([("", [])], "path string, lines array<struct<base:string,line:string>>"), 0
+    while True:
+        found = stored(frontier.repartition(n if rounds else 1).mapInArrow(listed, _FOUND), f"{base}/round={rounds}")
+        rounds += 1
+        frontier = found.where("folder").select("path", "lines")
+        if frontier.isEmpty():
+            break
+    return spark.read.schema(_FOUND).parquet(base).where("not folder").select("path", "size")
+
+
+def paths(spark: SparkSession, root: str, parallelism: int | None = None, distributed: bool | None = None, **options) -> DataFrame:
+    """(path, size) of a tree without documentation and vendored paths; LANGLENS_THREADS or parallelism partitions. On a
+    cluster, or if asked for, tasks walk the tree; on one machine the driver does, which is faster for small trees."""
     n = parallelism or int(os.environ.get("LANGLENS_THREADS") or 0) or spark.sparkContext.defaultParallelism
-    rows = spark.createDataFrame(walk(root, skipped=SKIPPED, **options), "path string, size long")
+    if distributed is None:
+        distributed = spark.conf.get("spark.master", "local").split("[")[0] != "local"
+    if distributed:
+        rows = walked(spark, root, skipped=SKIPPED, parallelism=n, **options)
+    else:
+        rows = spark.createDataFrame(walk(root, skipped=SKIPPED, **options), "path string, size long")
     return rows.where(~excluded(F.col("path"), SKIPPED)).repartition(n)
 
 
