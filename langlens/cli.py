@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .api import detect_tree
 from .catalog import load
 from .operators import breakdown
+from .operators.bayes import Model
+from .sources.store import shared_folder, stored
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=None) -> int:
@@ -22,13 +24,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     p.add_argument("-c", "--condensed", action="store_true", help="headers only")
     p.add_argument("-f", "--filter", action="append", default=[], metavar="REGEX")
     p.add_argument("-n", "--no-color", action="store_true")
+    p.add_argument("-m", "--model", metavar="FOLDER", help="a model that `train` made, in place of the built-in one")
     args = p.parse_args(argv)
     out = out or sys.stdout
     title = (lambda s: s) if args.no_color else lambda s: f"\033[35m{s}\033[0m"
     green = (lambda s: s) if args.no_color else lambda s: f"\033[32m{s}\033[0m"
     spark = spark or SparkSession.builder.appName("langlens").getOrCreate()
     catalog = load()
-    found = detect_tree(spark, args.path, catalog=catalog).cache()
+    model = Model(spark, args.model).load() if args.model else None
+    found = detect_tree(spark, args.path, model, catalog)
+    found = stored(found, shared_folder(spark, "detections"))
     for r in breakdown.language_split(found, catalog).collect():
         print(f"{r.percent:.2f}% {green(r.language)}", file=out)
     for wanted, name, rows in ((args.breakdown, "language", breakdown.file_breakdown), (args.strategies, "strategy", breakdown.strategy_breakdown)):
@@ -71,5 +76,22 @@ def tokenize_file(argv: list[str] | None = None, spark: SparkSession | None = No
     return 0
 
 
+def train(argv: list[str] | None = None, spark: SparkSession | None = None, out=None) -> int:
+    """Counts the samples of a folder (<language>/<file>) into a model's folder; run again, it adds to it."""
+    from .operators.bayes import sample_counts
+    from .sources.files import samples
+
+    p = argparse.ArgumentParser(prog="langlens train", description="Adds labelled samples to a model.")
+    p.add_argument("samples")
+    p.add_argument("model")
+    args = p.parse_args(argv)
+    spark = spark or SparkSession.builder.appName("langlens").getOrCreate()
+    model = Model(spark, args.model)
+    version = model.add(sample_counts(samples(spark, args.samples)))
+    languages, tokens = model.counts().agg(F.countDistinct("language"), F.count("*")).first()
+    print(f"version {version}: {languages} languages, {tokens} counts", file=out or sys.stdout)
+    return 0
+
+
 if __name__ == "__main__":
-    sys.exit(main())
+    sys.exit(train(sys.argv[2:]) if sys.argv[1:2] == ["train"] else main())

@@ -20,8 +20,47 @@ SALTS = 64
 def fit(samples: DataFrame, tokens: Column | None = None) -> DataFrame:
     """(language, token, logp) of samples (language, text): ln(count / all tokens of the language). A null text has
     no tokens. Counts combine before the shuffle; the totals reuse its result."""
+    return of_counts(sample_counts(samples, tokens))
+
+
+def sample_counts(samples: DataFrame, tokens: Column | None = None) -> DataFrame:
+    """(language, token, n) of samples (language, text): what a model is made of, and what can be added up."""
     tokens = key_tokens(F.col("text")) if tokens is None else tokens
-    return of_counts(samples.select("language", F.explode(tokens).alias("token")).groupBy("language", "token").agg(F.count("*").alias("n")))
+    return samples.select("language", F.explode(tokens).alias("token")).groupBy("language", "token").agg(F.count("*").alias("n"))
+
+
+class Model:
+    """A model's counts as a table in a folder: versions that are written whole, the last one whole holds."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _versions(self) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        store = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not store.exists(path):
+            return []
+        names = [(x.getPath().getName(), x.getPath()) for x in store.listStatus(path)]
+        done = [n for n, p in names if n.startswith("version=") and store.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(n.split("=")[1]) for n in done)
+
+    def counts(self) -> DataFrame:
+        """(language, token, n); empty before anything was added."""
+        versions = self._versions()
+        if not versions:
+            return self.spark.createDataFrame([], "language string, token string, n long")
+        return self.spark.read.schema("language string, token string, n long").parquet(f"{self.folder}/version={versions[-1]}")
+
+    def add(self, counts: DataFrame) -> int:
+        """Adds counts (language, token, n) as the next version: the same counts as if all samples had been counted at once."""
+        version = max(self._versions(), default=0) + 1
+        both = self.counts().unionByName(counts.select("language", "token", F.col("n").cast("long").alias("n")))
+        both.groupBy("language", "token").agg(F.sum("n").alias("n")).write.parquet(f"{self.folder}/version={version}")
+        return version
+
+    def load(self) -> DataFrame:
+        """The model (language, token, logp)."""
+        return of_counts(self.counts())
 
 
 def of_counts(counts: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import Catalog, builtin
 from ..functions import text as texts
 from ..functions.tokens import key_tokens
+from ..sources.store import shared_folder, stored
 from . import bayes, candidates
 from .rules import by_rules
 
@@ -58,9 +59,10 @@ def detect(files: DataFrame, model: DataFrame | None = None, catalog: Catalog |
     if model is None:
         last = opened.withColumn("language", F.when(F.col("strategy") == "Classifier", F.get("candidates", 0)).otherwise(F.col("language")))
     else:
-        # Kept, as it is read three times; only undecided rows keep their text.
+        # Stored, as it is read more than once; only undecided rows keep their text.
         open_ = F.col("strategy") == "Classifier"
-        kept = opened.select("path", "strategy", "language", "error", F.when(open_, F.col("candidates")).alias("asked"), F.when(open_, F.col("text")).alias("text")).persist()
+        kept = opened.select("path", "strategy", "language", "error", F.when(open_, F.col("candidates")).alias("asked"), F.when(open_, F.col("text")).alias("text"))
+        kept = stored(kept, shared_folder(files.sparkSession, "undecided"))
         picked = bayes.decide(kept.where(F.col("asked").isNotNull()), model, "path", "asked", key_tokens(F.col("text"))).withColumnRenamed("language", "picked")
         last = kept.join(picked, "path", "left").withColumn("language", F.coalesce("picked", "language"))
     return done.unionByName(last.select("path", "strategy", "language", "error"))

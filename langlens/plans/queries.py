@@ -9,6 +9,7 @@ from .. import fixed_values as fixed
 from ..catalog import builtin
 from ..functions import paths, text, tokens
 from ..operators import bayes, breakdown, candidates, detect, rules
+from ..sources.store import shared_folder, stored
 from .virtual import FILES_SQL, files
 
 
@@ -88,14 +89,20 @@ def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, with its own tokens as the classifier takes them; the model is fitted on all of them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
     model = bayes.fit(docs.select(F.col("lang").alias("language"), "text"))
-    # Rows with a null or repeated id are documents too, so rows get a key, kept as it is read more than once.
-    asked = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", F.array(*map(F.lit, ["es", "en", "de", "fr"])).alias("candidates")).persist()
+    # Rows with a null or repeated id are documents too, so rows get a key, stored as it is read more than once.
+    asked = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", F.array(*map(F.lit, ["es", "en", "de", "fr"])).alias("candidates"))
+    asked = stored(asked, shared_folder(spark, "asked"))
     return asked.select("key", "doc_id").join(bayes.classify(asked, model, "key"), "key", "left").select("doc_id", "language")
 
 
 def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections, kept: reports read them more than once, and their filters stay above the rules."""
-    return detect.detect(files(spark, sf_dir)).persist()
+    return detect.detect(files(spark, sf_dir))
+
+
+def _kept(spark: SparkSession, sf_dir: str, trained: bool = False) -> DataFrame:
+    """Detections, stored: the reports that want them read them more than once."""
+    found = detect.detect(files(spark, sf_dir), bayes.trained(spark)) if trained else _detected(spark, sf_dir)
+    return stored(found, shared_folder(spark, "detections"))
 
 
 def detect_full(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,15 +125,15 @@ def language_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return breakdown.file_breakdown(_detected(spark, sf_dir))
+    return breakdown.file_breakdown(_kept(spark, sf_dir))
 
 
 def strategy_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return breakdown.strategy_breakdown(_detected(spark, sf_dir))
+    return breakdown.strategy_breakdown(_kept(spark, sf_dir))
 
 
 def header_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return breakdown.strategy_breakdown(_detected(spark, sf_dir), ["^Ext", "bang$"])
+    return breakdown.strategy_breakdown(_kept(spark, sf_dir), ["^Ext", "bang$"])
 
 
 def language_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,9 +141,27 @@ def language_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(F.broadcast(builtin().languages_table(spark)), "language").groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("language").alias("languages"))
 
 
+def trained_language_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of every language's files, by path, after the whole cascade."""
+    return breakdown.paged_breakdown(_kept(spark, sf_dir, trained=True), 100)
+
+
+def trained_language_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return breakdown.language_split(detect.detect(files(spark, sf_dir), bayes.trained(spark)))
+
+
+def trained_file_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return breakdown.file_breakdown(_kept(spark, sf_dir, trained=True))
+
+
+def trained_strategy_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return breakdown.strategy_breakdown(_kept(spark, sf_dir, trained=True))
+
+
 QUERIES = [
     filename_lookup, extension_extract, extension_candidates, page_extensions, path_filter_docs, path_filter_vendor, shebang_language, candidate_narrow, heuristic_first_match, truncate_bytes,
     tokenize_documents, tokenize_pages, nb_train, nb_classify, classify_documents, detect_full, detect_trained, language_breakdown, language_split, file_breakdown, strategy_breakdown, header_filter, language_metadata,
+    trained_language_breakdown, trained_language_split, trained_file_breakdown, trained_strategy_breakdown,
 ]
 
 
