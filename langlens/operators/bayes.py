@@ -98,13 +98,13 @@ def best(scored: DataFrame, key: str) -> DataFrame:
     return scored.groupBy(key).agg(F.max_by("language", F.struct("score", -F.col("ord"))).alias("language"))
 
 
-def _gains(counted: DataFrame, by_token: DataFrame, key: str) -> DataFrame:
+def _gains(counted: DataFrame, by_token: DataFrame, size: int, key: str) -> DataFrame:
     """(key, met): the candidates that have a token of the file, with what each gains over the floor; by_token: token, of
-    (language and logp of every language that has it).
+    (language and logp of every language that has it), `size` of them in all.
 
     A model of BROADCAST_ROWS rows at most goes to every task, by token; a larger one is joined by token and one of SALTS
     numbers of the file, so a token that most files have is dealt over SALTS tasks."""
-    if (by_token.agg(F.sum(F.size("of"))).first()[0] or 0) <= BROADCAST_ROWS:
+    if size <= BROADCAST_ROWS:
         joined = counted.join(F.broadcast(by_token), "token")
     else:
         spread = by_token.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -121,7 +121,7 @@ def decide(files: DataFrame, model: DataFrame, key: str, candidates: str, tokens
     stands for them; those without a model come last. Empty candidates mean all languages. Keys must be unique."""
     # A token has a row for each language at most.
     by_token = stored(model.groupBy("token").agg(F.collect_list(F.struct("language", "logp")).alias("of")), shared_folder(files.sparkSession, "model"))
-    known = [r.language for r in by_token.select(F.explode("of.language").alias("language")).distinct().orderBy("language").collect()]  # one row a language
+    sizes = dict(by_token.select(F.explode("of.language").alias("language")).groupBy("language").count().collect())  # one row a language
     asked = F.col(candidates)
     if all_languages:
         asked = F.when(F.size(asked) > 0, asked).otherwise(F.array(*map(F.lit, all_languages)))
@@ -129,11 +129,11 @@ def decide(files: DataFrame, model: DataFrame, key: str, candidates: str, tokens
     counted = base.select(key, "asked", F.explode("tokens").alias("token")).groupBy(key, "asked", "token").agg(F.count("*").alias("n"))
     met = F.coalesce("met", F.expr("cast(array() as array<struct<gain:double,language:string>>)"))
     place = lambda language: -F.array_position("asked", language)
-    trained = F.array_intersect("asked", F.array(*map(F.lit, known)).cast("array<string>"))
+    trained = F.array_intersect("asked", F.array(*map(F.lit, sorted(sizes))).cast("array<string>"))
     rest = F.array_except(trained, F.transform(met, lambda x: x["language"]))
     entry = lambda gain, language: F.struct(gain.alias("gain"), place(language).alias("place"), language.alias("language"))
     ranked = F.concat(F.transform(met, lambda x: entry(x["gain"], x["language"])), F.transform(F.slice(rest, 1, 1), lambda x: entry(F.lit(0.0), x)))
-    out = base.select(key, "asked").join(_gains(counted, by_token, key), key, "left").where(F.size("asked") > 0)
+    out = base.select(key, "asked").join(_gains(counted, by_token, sum(sizes.values()), key), key, "left").where(F.size("asked") > 0)
     return out.select(key, F.coalesce(F.array_max(ranked)["language"], F.get("asked", 0)).alias("language"))
 
 

@@ -70,7 +70,7 @@ def test_salted_plan_has_no_bare_token(spark, monkeypatch):
     hint = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = bayes._gains(counted, by_token, "path")._jdf.queryExecution().executedPlan().toString()
+        plan = bayes._gains(counted, by_token, 1, "path")._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", hint)
     assert "hashpartitioning(token#" in plan and ", salt#" in plan.split("hashpartitioning(token#")[1].split(")")[0]
