@@ -24,7 +24,7 @@ TIMESCALE = 1000
 SAMPLE_TICKS = 20
 KEY_EVERY = 16
 CODEC = b"raw8"
-_CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"udta", b"dinf"}
+_CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"udta", b"dinf", b"mvex", b"moof", b"traf"}
 
 
 def _box(kind: bytes, *parts: bytes) -> bytes:
@@ -87,7 +87,7 @@ def walk(data: bytes | memoryview, start: int = 0, end: int | None = None, path:
 
 
 def tracks(data: bytes | memoryview) -> list[dict]:
-    """Of every track, in order of the file: codec, timescale, duration (ticks), samples [(offset, size)], keyframes
+    """Of every track, in order of the file, its fragments (moof, trun) included: codec, timescale, duration (ticks), samples [(offset, size)], keyframes
     [(first byte, end byte)]. Each track has its own tables; one without stss has keyframes alone."""
     found: list[dict[bytes, tuple[int, int]]] = []
     for path, body, stop in walk(data):
@@ -95,7 +95,65 @@ def tracks(data: bytes | memoryview) -> list[dict]:
             found.append({})
         elif found and path[:2] == (b"moov", b"trak"):
             found[-1].setdefault(path[-1], (body, stop))
-    return [_track(data, at) for at in found]
+    out = [_track(data, at) for at in found]
+    ids = [struct.unpack_from(">I", data, at[b"tkhd"][0] + (20 if data[at[b"tkhd"][0]] else 12))[0] if b"tkhd" in at else None for at in found]
+    runs: dict[int, list] = {}
+    for number, sample in _fragments(data):
+        runs.setdefault(number, []).append(sample)
+    for track, number in zip(out, ids, strict=True):
+        if more := runs.get(number):
+            first = len(track["samples"])
+            track["samples"] += [(place, size) for place, size, _, _ in more]
+            track["ticks"] += sum(ticks for *_, ticks in more)
+            keys = [first + i for i, (_, _, key, _) in enumerate(more) if key]
+            bounds = [*keys, len(track["samples"])]
+            track["keyframes"] += [(track["samples"][a][0], sum(track["samples"][b - 1])) for a, b in zip(bounds, bounds[1:])]
+    return out
+
+
+def _fragments(data: bytes | memoryview) -> Iterator[tuple[int, tuple[int, int, bool, int]]]:
+    """(track, (offset, size, whether a keyframe, ticks)) of the samples of movie fragments, in order: moof boxes have the
+    runs of samples (trun), whose missing fields are those of the fragment (tfhd) or of the movie (trex)."""
+    defaults: dict[int, tuple[int, int, int]] = {}
+    moof = place = number = 0
+    ticks = size = flags = 0
+
+    def fields(at: int, have: int, *bits: int) -> Iterator[int | None]:
+        for bit in bits:
+            yield struct.unpack_from(">I", data, at)[0] if have & bit else None
+            at += 4 if have & bit else 0
+
+    for path, body, _ in walk(data):
+        kind = path[-1]
+        if kind == b"trex":
+            number, _, *rest = struct.unpack_from(">5I", data, body + 4)
+            defaults[number] = tuple(rest)
+        elif kind == b"moof":
+            moof = place = body - (8 if bytes(data[body - 4 : body]) == b"moof" else 16)
+        elif kind == b"tfhd":
+            have, number = struct.unpack_from(">I", data, body)[0] & 0xFFFFFF, struct.unpack_from(">I", data, body + 4)[0]
+            at = body + 8
+            if have & 1:
+                place, at = struct.unpack_from(">Q", data, at)[0], at + 8
+            elif have & 0x20000:
+                place = moof
+            base = place
+            given = list(fields(at, have, 2, 8, 16, 32))[1:]
+            ticks, size, flags = (a if a is not None else b for a, b in zip(given, defaults.get(number, (0, 0, 0)), strict=True))
+        elif kind == b"trun":
+            have, n = struct.unpack_from(">I", data, body)[0] & 0xFFFFFF, struct.unpack_from(">I", data, body + 4)[0]
+            at = body + 8
+            if have & 1:
+                place, at = base + struct.unpack_from(">i", data, at)[0], at + 4
+            first = next(fields(at, have, 4))
+            at += 4 if have & 4 else 0
+            step = 4 * bin(have & 0xF00).count("1")
+            for i in range(n):
+                own = list(fields(at + i * step, have, 0x100, 0x200, 0x400))
+                t, z, f = (a if a is not None else b for a, b in zip(own, (ticks, size, flags), strict=True))
+                f = first if i == 0 and first is not None else f
+                yield number, (place, z, not f & 0x10000, t)
+                place += z
 
 
 def probe(data: bytes | memoryview) -> dict:

@@ -55,6 +55,27 @@ def test_tracks_have_their_own_tables(spark):
     assert media.media_tracks(table).count() == 3
 
 
+def test_fragmented_files():
+    """A movie without samples and two fragments: fields of the run, of the fragment, and of the movie."""
+    import struct
+
+    box, full = media._box, media._full
+    stbl = box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(b"avc1", b"\0" * 8)), full(b"stts", struct.pack(">I", 0)), full(b"stsc", struct.pack(">I", 0)), full(b"stsz", struct.pack(">II", 0, 0)), full(b"stco", struct.pack(">I", 0)))
+    trak = box(b"trak", full(b"tkhd", struct.pack(">III", 0, 0, 7) + b"\0" * 68), box(b"mdia", full(b"mdhd", struct.pack(">IIII", 0, 0, 90, 0)), box(b"minf", stbl)))
+    head = box(b"ftyp", b"iso5") + box(b"moov", trak, box(b"mvex", full(b"trex", struct.pack(">5I", 7, 1, 30, 5, 0x10000))))
+
+    def fragment(tfhd, trun, payload):
+        size = len(box(b"moof", box(b"traf", tfhd, trun(0))))
+        return box(b"moof", box(b"traf", tfhd, trun(size + 8))) + box(b"mdat", payload)
+
+    one = fragment(full(b"tfhd", struct.pack(">I", 7), flags=0x20000), lambda at: full(b"trun", struct.pack(">IiI", 3, at, 0), flags=0x5), b"aaaaabbbbbccccc")
+    two = fragment(full(b"tfhd", struct.pack(">II", 7, 40), flags=0x20008), lambda at: full(b"trun", struct.pack(">Ii", 3, at), struct.pack(">6I", 4, 0, 2, 0x10000, 3, 0), flags=0x601), b"ddddeefff")
+    data = head + one + two
+    (track,) = media.tracks(data)
+    assert media.payload(data, track) == b"aaaaabbbbbcccccddddeefff" and track["codec"] == "avc1" and track["ticks"] == 3 * 30 + 3 * 40
+    assert [data[a:b] for a, b in track["keyframes"]] == [b"aaaaabbbbbccccc", b"ddddee", b"fff"]
+
+
 def test_separator_scan_blocks(spark, tmp_path):
     ids = np.random.default_rng(1).integers(0, 6, 1000).astype("<u2")
     ids[100:400] = 3
