@@ -3,7 +3,8 @@
 quality classifier -> line dedup -> n-gram Jaccard join -> benchmark decontamination -> byte-level BPE
 
 Null and empty texts, null ids, repeated rows and empty tables pass as each stage's operator states; further columns,
-whatever their names, are carried along.
+whatever their names, are carried along, but that the last stage's ids, n_tokens and decoded_sha256 take the place of
+columns of these names, and of text.
 """
 
 from __future__ import annotations
