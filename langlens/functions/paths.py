@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import literal
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -22,9 +24,12 @@ def extension(name: Column, known: list[str]) -> Column:
 
     One leading dot is no part of it: '.cs' has none, 'x.cmake.in' has '.cmake.in' if that is known."""
     lowered = F.translate(F.regexp_replace(name, r"^\.", ""), _UPPER, _LOWER)
-    parts = F.split(lowered, r"\.")
-    suffixes = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.concat(F.lit("."), F.array_join(F.slice(parts, i, F.size(parts)), "."))))
-    return F.get(F.filter(suffixes, lambda s: s.isin(*known)), 0)
+    parts, depth = F.split(lowered, r"\."), max((e.count(".") for e in known), default=1)
+    first = F.greatest(F.lit(2), F.size(parts) - (depth - 1))  # no known extension has more dots
+    suffixes = F.when(F.size(parts) > 1, F.transform(F.sequence(first, F.size(parts)), lambda i: F.concat(F.lit("."), F.array_join(F.slice(parts, i, F.size(parts)), "."))))
+    # As text, which is parsed once: a column for each of a thousand extensions would take the driver half a second.
+    among = F.expr(f"s -> s IN ({', '.join(map(literal, known)) or 'null'})")
+    return F.get(F.call_function("filter", suffixes, among), 0)
 
 
 def glob_regex(glob: str) -> str:

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 MAX_BYTES = 51200
 
 
+def literal(value: str) -> str:
+    """A string as a literal of Spark's SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def as_text(content: Column) -> Column:
     """Binary content as a string; null if it is no valid UTF-8."""
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))

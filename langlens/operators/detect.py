@@ -37,7 +37,7 @@ def on_contents(opened: DataFrame, catalog: Catalog | None = None) -> DataFrame:
     # above, which would repeat the rules.
     above = F.spark_partition_id() >= 0
     gate = (F.size("after") > 1) & F.col("extension").isNotNull() & above
-    seen = seen.withColumn("ruled", F.when(gate, by_rules(F.col("extension"), F.col("after"), F.col("text"), catalog)).otherwise(none))
+    seen = seen.withColumn("ruled", F.when(gate, by_rules("extension", "after", "text", catalog)).otherwise(none))
     seen = seen.withColumn("left", candidates.narrow(F.col("after"), F.col("ruled")))
     bad = F.col("whole").isNull()
     strategy = F.when(bad | ~above, None).when(F.size("after") == 1, "Shebang").when(F.size("left") == 1, "Heuristics").when(F.size("left") > 1, "Classifier")

@@ -50,7 +50,7 @@ def candidate_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def heuristic_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = candidates.by_extension(files(spark, sf_dir))
-    return seen.select("doc_id", F.array_join(rules.by_rules(F.col("extension"), F.col("by_extension"), F.col("content")), ",").alias("languages"))
+    return seen.select("doc_id", F.array_join(rules.by_rules("extension", "by_extension", "content"), ",").alias("languages"))
 
 
 def truncate_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
