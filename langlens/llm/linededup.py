@@ -9,13 +9,14 @@ first of their kind, so that a line of any frequency is one row. Of two lines wi
 characters, one half of m is the same in both. Lines of which a half meets another line's emit the deletion
 neighbourhood of the other half: every variant with one character deleted, hashed with the half that they share.
 Half-lines are cut into blocks, so that a line of n characters costs n ** 1.5 at most. Equal variants join: with
-the place for replaced characters, against the whole for inserted ones; the earliest of each side settles a key of
-any size without forming pairs. The edit distance to that earlier line is verified.
+the place for replaced characters, against the whole for inserted ones; the earliest of each side settles a key
+without forming pairs. A key holds no copies, only the different lines within one edit of one text, so its size is
+bounded by the characters there are and the text's length. The edit distance to that earlier line is verified.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import keyed, quoted, written
@@ -24,6 +25,8 @@ from .common import keyed, quoted, written
 BLOCK = 256
 #: Lines whose places may be broadcast, of some 100 bytes each; more are joined by a shuffle.
 BROADCAST_LINES = 200_000
+#: Characters that one task varies, about: each gives a variant.
+VARIED = 500_000
 _KINDS = [(less, half) for less in (0, 1) for half in (0, 1)]
 _BLANK = r"^[\t-\r ]*$"
 
@@ -69,9 +72,9 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _blocks(near: DataFrame) -> DataFrame:
-    """h, h2, first, role base columns m, n and for each block of a varied half: around (hash of all else), at, mid."""
+    """first, less and for each block of a varied half: at, g and g2 (hashes of all else), mid."""
     n = F.length("line")
-    rows = near.select("h", "h2", "first", "line", n.alias("n"), F.explode("kinds").alias("kind"))
+    rows = near.select("first", "line", n.alias("n"), F.explode("kinds").alias("kind"))
     less, half = F.floor(F.col("kind") / 2).cast("int"), F.col("kind") % 2
     rows = rows.withColumns({"m": F.col("n") - less, "less": less})
     cut = F.floor(F.col("m") / 2).cast("int")
@@ -81,7 +84,7 @@ def _blocks(near: DataFrame) -> DataFrame:
     rows = rows.withColumns({"at": F.col("a") + F.col("b") * F.col("width"), "end": F.col("a") + F.least(F.col("size"), (F.col("b") + 1) * F.col("width"))})
     around = [F.col("m"), F.col("at"), F.substring("line", F.lit(1), F.col("at")), F.substring("line", F.col("end") + F.col("less") + 1, F.col("n"))]
     mid = F.substring("line", F.col("at") + 1, F.col("end") - F.col("at") + F.col("less"))
-    return rows.select("h", "h2", "first", "less", "at", F.xxhash64(*around).alias("g"), F.xxhash64(F.lit("g2"), *around).alias("g2"), mid.alias("mid"))
+    return rows.select("first", "less", "at", F.xxhash64(*around).alias("g"), F.xxhash64(F.lit("g2"), *around).alias("g2"), mid.alias("mid"))
 
 
 def _variants(mid: Column, less: Column, at: Column, g: Column, g2: Column) -> Column:
@@ -106,17 +109,19 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     wanted = written(meets.groupBy("h", "h2").agg(F.first("first").alias("first"), F.collect_set("kind").alias("kinds")), "wanted")
     near = written(_texts(docs, wanted), "near")
 
-    spread = _blocks(near).select("h", "h2", "first", F.explode(_variants(F.col("mid"), F.col("less"), F.col("at"), F.col("g"), F.col("g2"))).alias("x")).select("h", "h2", "first", "x.*")
+    # Blocks are dealt before they grow into variants, which are made and shuffled once.
+    varied = near.agg(F.sum(F.length("line").cast("long") * F.size("kinds"))).first()[0] or 0
+    blocks = _blocks(near).repartition(max(docs.sparkSession.sparkContext.defaultParallelism, -(-varied // VARIED)), "g", "g2")
+    spread = blocks.select("first", F.explode(_variants(F.col("mid"), F.col("less"), F.col("at"), F.col("g"), F.col("g2"))).alias("x")).select("first", "x.*")
     here = F.struct("first", "place")
-    side = lambda f, r: f(F.when(F.col("role") == r, here))
-    best = spread.groupBy("v", "v2").agg(side(F.min, 0).alias("s"), side(F.max, 0).alias("s_last"), side(F.min, 1).alias("w"), side(F.min, 2).alias("d")).where("s.first < s_last.first or (w is not null and d is not null)")
-    other = F.when(F.col("role") == 0, F.col("s")).when(F.col("role") == 1, F.col("d")).otherwise(F.col("w"))
+    earliest = lambda r: F.min(F.when(F.col("role") == r, here)).over(Window.partitionBy("v", "v2"))
+    other = F.when(F.col("role") == 0, earliest(0)).when(F.col("role") == 1, earliest(2)).otherwise(earliest(1))
     # The earliest line that each line meets, and the place of the character in which they differ.
     found = F.struct(F.col("other.first").alias("near_to"), "role", F.when(F.col("role") == 1, F.col("other.place")).otherwise(F.col("place")).alias("place"))
-    pairs = spread.join(best, ["v", "v2"]).select("*", other.alias("other")).where("other.first < first").groupBy("h", "h2").agg(F.min(found).alias("f")).select("h", "h2", "f.*")
-    mine = near.select("h", "h2", "line")
+    pairs = spread.withColumn("other", other).where("other.first < first").groupBy("first").agg(F.min(found).alias("f")).select("first", "f.*")
+    mine = near.select("h", "h2", "first", "line")
     others = near.select(F.col("first").alias("near_to"), F.col("line").alias("other"))
-    both = pairs.join(mine, ["h", "h2"]).join(others, "near_to")
+    both = pairs.join(mine, "first").join(others, "near_to")
     cut = lambda c: F.concat(F.substring(c, F.lit(1), F.col("place")), F.substring(c, F.col("place") + 2, F.length(c)))
     left = F.when(F.col("role") == 1, F.col("line")).otherwise(cut("line"))
     right = F.when(F.col("role") == 2, F.col("other")).otherwise(cut("other"))
