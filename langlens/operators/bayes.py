@@ -14,7 +14,9 @@ from ..sources.store import shared_folder, stored
 UNSEEN = -19.0
 #: Rows (language, token) of a model that may be broadcast: some 100 MB.
 BROADCAST_ROWS = 2_000_000
-SALTS = 64
+#: Of a larger model the most frequent tokens are broadcast, so many rows at most; the others are joined by a shuffle.
+FREQUENT_ROWS = 500_000
+SALTS = 4
 
 
 def fit(samples: DataFrame, tokens: Column | None = None) -> DataFrame:
@@ -66,7 +68,7 @@ class Model:
 def of_counts(counts: DataFrame) -> DataFrame:
     """The model of counts (language, token, n)."""
     totals = counts.groupBy("language").agg(F.sum("n").alias("total"))
-    return counts.join(totals, "language").select("language", "token", F.log(F.col("n") / F.col("total")).alias("logp"))
+    return counts.join(F.broadcast(totals), "language").select("language", "token", F.log(F.col("n") / F.col("total")).alias("logp"))
 
 
 def trained(spark: SparkSession) -> DataFrame:
@@ -98,20 +100,49 @@ def best(scored: DataFrame, key: str) -> DataFrame:
     return scored.groupBy(key).agg(F.max_by("language", F.struct("score", -F.col("ord"))).alias("language"))
 
 
-def _gains(counted: DataFrame, by_token: DataFrame, size: int, key: str) -> DataFrame:
-    """(key, met): the candidates that have a token of the file, with what each gains over the floor; by_token: token, of
-    (language and logp of every language that has it), `size` of them in all.
+def _frequent(by_token: DataFrame) -> int:
+    """The least fourth of a logp, rounded down, of the tokens that are broadcast: as many as FREQUENT_ROWS takes."""
+    rows = by_token.groupBy(_level().alias("level")).agg(F.sum(F.size("of")).alias("n")).collect()  # some 100 rows
+    cut, room = 1, min(FREQUENT_ROWS, BROADCAST_ROWS)
+    for r in sorted(rows, key=lambda r: -r.level):
+        room -= r.n
+        if room < 0:
+            break
+        cut = r.level
+    return cut
+
+
+def _level() -> Column:
+    """How frequent a token is in the language that has most of it, by fourths of its logp."""
+    return F.floor(F.array_max(F.transform("of", lambda x: x["logp"])) * 4)
 
-    A model of BROADCAST_ROWS rows at most goes to every task, by token; a larger one is joined by token and one of SALTS
-    numbers of the file, so a token that most files have is dealt over SALTS tasks."""
+
+def _gains(counted: DataFrame, by_token: DataFrame, size: int, key: str) -> DataFrame:
+    """(key, met): the candidates that have a token of the file, with what each gains over the floor, and maybe others;
+    by_token: token, of (language and logp of every language that has it), `size` of them in all. Rows of counted may
+    repeat a token.
+
+    A model of BROADCAST_ROWS rows at most goes to every task, so nothing is shuffled but a file's sums. Of a larger one
+    only the frequent tokens do; the others, a small part of all occurrences, are joined by token and one of SALTS
+    numbers of the file, so that a token that only the files have often is dealt over SALTS tasks."""
+    sums, rare = [], None
     if size <= BROADCAST_ROWS:
-        joined = counted.join(F.broadcast(by_token), "token")
+        frequent = by_token
     else:
-        spread = by_token.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = counted.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(spread, ["token", "salt"])
-    asked = F.filter("of", lambda x: F.array_contains("asked", x["language"]))
-    each = joined.select(key, "n", F.explode(asked).alias("x")).groupBy(key, "x.language").agg(F.sum(F.col("n") * (F.col("x.logp") - UNSEEN)).alias("gain"))
-    return each.groupBy(key).agg(F.collect_list(F.struct("gain", "language")).alias("met"))
+        cut = _frequent(by_token)
+        frequent, rare = (by_token.where(_level() >= cut), by_token.where(_level() < cut)) if cut <= 0 else (None, by_token)
+    if frequent is not None:
+        of = frequent.select("token", F.inline("of"))
+        sums.append(counted.join(F.broadcast(of), "token").where(F.array_contains("asked", F.col("language"))).select(key, "language", "n", "logp"))
+    if rare is not None:
+        left = counted if frequent is None else counted.join(F.broadcast(frequent.select("token")), "token", "left_anti")
+        spread = rare.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = left.select(key, "token", "n", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("salt")).join(spread, ["token", "salt"])
+        sums.append(joined.select(key, "n", F.inline("of")).select(key, "language", "n", "logp"))
+    each = sums[0] if len(sums) == 1 else sums[0].unionByName(sums[1])
+    # Rounded, so that languages tie whatever the order of addition.
+    gain = F.round(F.sum(F.col("n") * (F.col("logp") - UNSEEN)), 6)
+    return each.groupBy(key, "language").agg(gain.alias("gain")).groupBy(key).agg(F.collect_list(F.struct("gain", "language")).alias("met"))
 
 
 def decide(files: DataFrame, model: DataFrame, key: str, candidates: str, tokens: Column, all_languages: list[str] | None = None) -> DataFrame:
@@ -126,8 +157,9 @@ def decide(files: DataFrame, model: DataFrame, key: str, candidates: str, tokens
     if all_languages:
         asked = F.when(F.size(asked) > 0, asked).otherwise(F.array(*map(F.lit, all_languages)))
     base = files.select(key, asked.alias("asked"), tokens.alias("tokens"))
-    counted = base.select(key, "asked", F.explode("tokens").alias("token")).groupBy(key, "asked", "token").agg(F.count("*").alias("n"))
-    met = F.coalesce("met", F.expr("cast(array() as array<struct<gain:double,language:string>>)"))
+    # Every occurrence is a row that meets the model where it is read: counts of a file's tokens would be a shuffle of them all.
+    counted = base.select(key, "asked", F.explode("tokens").alias("token")).withColumn("n", F.lit(1))
+    met = F.filter(F.coalesce("met", F.expr("cast(array() as array<struct<gain:double,language:string>>)")), lambda x: F.array_contains("asked", x["language"]))
     place = lambda language: -F.array_position("asked", language)
     trained = F.array_intersect("asked", F.array(*map(F.lit, sorted(sizes))).cast("array<string>"))
     rest = F.array_except(trained, F.transform(met, lambda x: x["language"]))

@@ -74,3 +74,23 @@ def test_salted_plan_has_no_bare_token(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", hint)
     assert "hashpartitioning(token#" in plan and ", salt#" in plan.split("hashpartitioning(token#")[1].split(")")[0]
+
+
+def test_only_rare_tokens_are_shuffled(spark, monkeypatch):
+    """A model that is broadcast in part: the same picks, and no shuffle of each file's tokens (which took six times the
+    input and, with 64 copies of the model, grew faster than it)."""
+    monkeypatch.setattr(bayes, "BROADCAST_ROWS", len(model_rows()) - 1)
+    model = spark.createDataFrame(model_rows(), "language string, token string, logp double")
+    table = spark.createDataFrame(files(), "path string, text string, candidates array<string>").repartition(3)
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    hint = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = bayes.decide(table, model, "path", "candidates", words, LANGUAGES)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert {r.path: r.language for r in out.collect()} == {p: by_hand(model_rows(), (t or "").split(), asked or LANGUAGES) for p, t, asked in files()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", hint)
+    dealt = [x.split(")")[0] for x in plan.split("hashpartitioning(")[1:]]
+    assert "BroadcastHashJoin" in plan and any("token#" in x and "salt#" in x for x in dealt)
+    assert not any("path#" in x and "token#" in x for x in dealt)
