@@ -87,12 +87,13 @@ def nb_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, with its own tokens as the classifier takes them; the model is fitted on all of them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
-    model = bayes.fit(docs.select(F.col("lang").alias("language"), "text"))
-    # Rows with a null or repeated id are documents too, so rows get a key, stored as it is read more than once.
-    asked = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", F.array(*map(F.lit, ["es", "en", "de", "fr"])).alias("candidates"))
-    asked = stored(asked, shared_folder(spark, "asked"))
-    return asked.select("key", "doc_id").join(bayes.classify(asked, model, "key"), "key", "left").select("doc_id", "language")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    # Rows with a null or repeated id are documents too, so rows get a key; stored, as keys and tokens are read more than once.
+    rows = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", F.col("lang").alias("language"), tokens.key_tokens(F.col("text")).alias("tokens"))
+    rows = stored(rows, shared_folder(spark, "asked"))
+    model = bayes.fit(rows, F.col("tokens"))
+    asked = rows.select("key", "tokens", F.array(*map(F.lit, ["es", "en", "de", "fr"])).alias("candidates"))
+    return rows.select("key", "doc_id").join(bayes.decide(asked, model, "key", "candidates", F.col("tokens")), "key", "left").select("doc_id", "language")
 
 
 def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
