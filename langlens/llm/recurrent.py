@@ -29,6 +29,8 @@ from .common import STEP_BYTES, documents, flat, lower, open_store, shared_dir,
 HEAD = 1024
 HIDDEN = 24
 WINDOW = 32
+#: Lanes of a window in training, at most, and tokens that a lane has at least.
+LANES, LONG = 512, 2048
 TRAINERS = 8
 #: Tokens that one trainer takes, or as many as the model has numbers, if these are more; a larger input has more trainers.
 TRAINER_TOKENS = 3_000_000
@@ -286,14 +288,29 @@ def _lanes(n_tokens: np.ndarray, n_lanes: int) -> list[list[int]]:
     return sorted(lanes, key=lambda ds: -sum(int(n_tokens[i]) for i in ds))
 
 
-def _windows(ids: np.ndarray, at: np.ndarray, n_lanes: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
-    """Input numbers, resets, targets and places of each window of the active lanes; all documents, one after another."""
+def _even_lanes(at: np.ndarray, n_lanes: int) -> int:
+    """So few that a small input makes some steps too, however long its documents are."""
+    return max(1, min(n_lanes, int(at[-1]) // LONG))
+
+
+def _windows(ids: np.ndarray, at: np.ndarray, n_lanes: int, end: int, even: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Input numbers, resets, targets and places of each window of the active lanes; all documents, one after another.
+
+    Even lanes are equal parts of the row of all documents, so that no windows of a few lanes are left over at the end;
+    a document that two lanes share goes on in the second without the state, but after its last token."""
     sizes = np.diff(at)
-    lanes = _lanes(sizes, n_lanes)
-    total = np.array([sum(int(sizes[i]) for i in ds) for ds in lanes])
-    place = [np.concatenate([np.arange(at[i], at[i + 1]) for i in ds]) if ds else np.zeros(0, np.int64) for ds in lanes]
     first = np.zeros(len(ids), bool)
     first[at[:-1]] = True
+    fresh = first
+    if even:
+        place = np.array_split(np.arange(len(ids)), _even_lanes(at, n_lanes))
+        total = np.array([len(p) for p in place])
+        fresh = first.copy()
+        fresh[[p[0] for p in place if len(p)]] = True
+    else:
+        lanes = _lanes(sizes, n_lanes)
+        total = np.array([sum(int(sizes[i]) for i in ds) for ds in lanes])
+        place = [np.concatenate([np.arange(at[i], at[i + 1]) for i in ds]) if ds else np.zeros(0, np.int64) for ds in lanes]
     for t in range(0, int(total.max()) if len(total) else 0, WINDOW):
         active = int((total > t).sum())
         span = min(WINDOW, int(total[0]) - t)
@@ -303,9 +320,8 @@ def _windows(ids: np.ndarray, at: np.ndarray, n_lanes: int, end: int) -> Iterato
             where[: len(part), k] = part
         there = where >= 0
         at0 = np.where(there, where, 0)
-        new = first[at0] & there
-        x = np.where(new, end, ids[np.maximum(at0 - 1, 0)])
-        yield np.where(there, x, end), new, np.where(there, ids[at0], end), where, active
+        x = np.where(first[at0], end, ids[np.maximum(at0 - 1, 0)])
+        yield np.where(there, x, end), fresh[at0] & there, np.where(there, ids[at0], end), where, active
 
 
 def log_probabilities(model: Model, h: np.ndarray, at: np.ndarray, n_lanes: int = 256, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -328,7 +344,7 @@ class Adam:
 
     def __init__(self, model: Model) -> None:
         self.m, self.v, self.grad = ({k: np.zeros_like(x) for k, x in model.w.items()} for _ in range(3))
-        self.step, self.room = 0, np.empty(BLOCK, np.float32)
+        self.step, self.rows, self.room = 0, 1.0, np.empty(BLOCK, np.float32)
 
     def update(self, model: Model, touched: dict[str, np.ndarray], rate: float) -> None:
         """A step for the touched rows of some weights and for all of the others; gradients are cut to a norm of 1."""
@@ -366,20 +382,23 @@ def _blocks(rows: np.ndarray, width: int) -> Iterator[slice]:
             yield slice(int(rows[lo]), int(rows[min(lo + most, b) - 1]) + 1)
 
 
-def train(model: Model, h: np.ndarray, at: np.ndarray, adam: Adam | None = None, rate: float = 0.01, n_lanes: int = 128) -> int:
+def train(model: Model, h: np.ndarray, at: np.ndarray, adam: Adam | None = None, rate: float = 0.01, n_lanes: int = LANES) -> int:
     """One pass of truncated backpropagation with Adam; returns the number of tokens.
 
     Of E only the rows of input tokens, and of W and wb only the classes of targets get gradients in a window, and
-    only these are updated."""
+    only these are updated. Every token weighs the same, in short windows too; rate holds for windows of up to 57 lanes and
+    grows with the root of their number."""
     ids = model.numbers(h)
+    rate *= max(1.0, 1.5 * math.sqrt(_even_lanes(at, n_lanes) / 128))
     end = int(model.numbers(np.array([END]))[0])
     adam = adam or Adam(model)
     state = np.zeros((n_lanes, HIDDEN), np.float32)
-    for x, new, y, where, active in _windows(ids, at, n_lanes, end):
+    for x, new, y, where, active in _windows(ids, at, n_lanes, end, even=True):
         states, kept = model.run(x, new, state[:active])
         state = states[-1]
         there = (where.ravel() >= 0).astype(np.float32)
-        _, dh = model.output(states.reshape(-1, HIDDEN), y.ravel(), adam.grad, there / max(1.0, float(there.sum())))
+        adam.rows = max(adam.rows, float(there.sum()))
+        _, dh = model.output(states.reshape(-1, HIDDEN), y.ravel(), adam.grad, there / adam.rows)
         which = model.backward(x, new, kept, dh.reshape(states.shape), adam.grad)
         cls = np.unique(y[y < model.n] // model.width)
         adam.update(model, {"E": which, "W": cls, "wb": cls}, rate)

@@ -269,3 +269,24 @@ def test_as_many_trainers_as_chosen(spark, monkeypatch):
     dealt = next(d for d in seen[1:] if d.columns == ["text"])
     sizes = [len(x) for x in dealt.rdd.glom().collect()]
     assert len(sizes) == 5 and min(sizes) > 60  # however a cluster deals out keys; each trainer sends all weights
+
+
+def test_long_documents_leave_no_windows_of_few_lanes(monkeypatch):
+    """A document of 20,000 tokens among short ones had made 625 windows, most of them of it alone, with a step each."""
+    rng, steps = np.random.default_rng(10), []
+    sizes = [50] * 100 + [20_000] + [50] * 100
+    at = np.cumsum([0, *sizes])
+    h = rng.integers(10, 60, at[-1])
+    model = recurrent.Model(np.arange(10, 60), np.ones(50), 5, 5)
+    update = recurrent.Adam.update
+    monkeypatch.setattr(recurrent.Adam, "update", lambda *a: steps.append(1) or update(*a))
+    assert recurrent.train(model, h, at) == at[-1] == 30_000
+    assert len(steps) <= 70
+    ids, seen = np.arange(at[-1]), []  # tokens numbered by their places
+    for x, new, y, where, _ in recurrent._windows(ids, at, 64, -5, even=True):
+        there = where >= 0
+        seen += where[there].tolist()
+        starts = np.isin(where, at[:-1]) & there
+        assert np.array_equal(y[there], where[there]) and np.all(new[starts])
+        assert np.array_equal(x[there], np.where(starts, -5, where - 1)[there])
+    assert sorted(seen) == list(range(at[-1]))  # every token once, after the one before it
