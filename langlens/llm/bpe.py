@@ -3,7 +3,7 @@
 (1) A scan cuts texts at the pre-tokenisation pattern and gives, for a block of documents, its distinct words, dealt
 to buckets by their hashes; the words' order in the block goes to a file in shared storage. (2) A bucket's words
 of all blocks meet, so that each distinct word of the corpus is encoded once: DataFrame expressions fold merges over
-its bytes with a literal rank map, and decode it again by concatenating the ids' binary pieces. (3) The codes go back
+its bytes with a rank map, and decode it again by concatenating the ids' binary pieces. (3) The codes go back
 to their blocks, where the documents' ids and bytes are put together. In the fold, bytes are strings of the code points
 0 to 255. Words of more than LONG_WORD bytes, for which a fold of immutable arrays would take quadratic time, are
 encoded by a heap of merges instead; they too are decoded from their ids.
@@ -17,7 +17,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -163,18 +162,23 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank map as one literal: maps dealt out by CRC-32, as a map lookup scans its keys."""
-    dealt: list[dict[str, int]] = [{} for _ in range(_BUCKETS)]
+def rank_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
+    """One row: maps, the rank maps dealt out by CRC-32, as a map lookup scans its keys; pieces, the byte strings by rank.
+
+    A table to be broadcast, as the text of a literal of this size is part of each description of the plan, of which the
+    driver makes and keeps several for a query."""
+    dealt: list[list[tuple[str, int]]] = [[] for _ in range(_BUCKETS)]
+    pieces = [""] * (max(ranks.values()) + 1)
     for k, v in ranks.items():
-        s = k.decode("latin-1")
-        dealt[zlib.crc32(s.encode()) % _BUCKETS][s] = v
-    return F.from_json(F.lit(json.dumps(dealt)), "array<map<string,int>>")
+        s = pieces[v] = k.decode("latin-1")
+        dealt[zlib.crc32(s.encode()) % _BUCKETS].append((s, v))
+    kinds = {"maps": pa.list_(pa.map_(pa.string(), pa.int32())), "pieces": pa.list_(pa.string())}
+    return spark.createDataFrame(pa.table({k: pa.array([x], kind) for (k, kind), x in zip(kinds.items(), (dealt, pieces))}))
 
 
-def rank_of(literal: Column):
+def rank_of(maps: Column):
     """Column -> Column: the rank of a byte string, null if it has none."""
-    return lambda s: F.element_at(F.get(literal, (F.crc32(s.cast("binary")) % _BUCKETS).cast("int")), s)
+    return lambda s: F.element_at(F.get(maps, (F.crc32(s.cast("binary")) % _BUCKETS).cast("int")), s)
 
 
 def encode_word(rank, word: Column) -> Column:
@@ -199,13 +203,9 @@ def encode_word(rank, word: Column) -> Column:
     return _let(F.struct(word.alias("w"), rank(word).alias("r")), lambda x: F.when(x["r"].isNotNull(), F.array(x["r"])).otherwise(fold))
 
 
-def decode_ids(ranks: dict[bytes, int], ids: Column) -> Column:
+def decode_ids(pieces: Column, ids: Column) -> Column:
     """The bytes of ids: their binary pieces, concatenated."""
-    pieces = [""] * (max(ranks.values()) + 1)
-    for k, v in ranks.items():
-        pieces[v] = k.decode("latin-1")
-    literal = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    return F.array_join(F.transform(ids, lambda i: F.get(literal, i)), "")
+    return F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")
 
 
 # Documents ------------------------------------------------------------------------------------------------
@@ -326,11 +326,12 @@ def _met(rows: DataFrame, parts: int) -> DataFrame:
 
 def encoded_words(met: DataFrame, vocabulary: str) -> DataFrame:
     """Step 2: blocks, numbers, refs, words, codes (array<int> of each word, null for long ones) and decoded (binary)."""
-    ranks = load_ranks(vocabulary)
+    rank, pieces = rank_of(F.col("maps")), F.col("pieces")
     latin = lambda w: F.decode(w, "ISO-8859-1")
-    fold = lambda m: F.transform("words", lambda w: F.when(F.length(w) <= LONG_WORD, _let(latin(w), lambda x: encode_word(rank_of(m), x))))
-    coded = met.withColumn("codes", _let(rank_literal(ranks), fold))
-    return coded.withColumn("decoded", F.transform("codes", lambda c: F.when(c.isNotNull(), F.encode(decode_ids(ranks, c), "ISO-8859-1"))))
+    codes = F.transform("words", lambda w: F.when(F.length(w) <= LONG_WORD, _let(latin(w), lambda x: encode_word(rank, x))))
+    decoded = F.transform("codes", lambda c: F.when(c.isNotNull(), F.encode(decode_ids(pieces, c), "ISO-8859-1")))
+    coded = met.crossJoin(F.broadcast(rank_table(met.sparkSession, load_ranks(vocabulary)))).withColumn("codes", codes)
+    return coded.select(*met.columns, "codes", decoded.alias("decoded"))
 
 
 def _returned(coded: DataFrame, vocabulary: str) -> DataFrame:

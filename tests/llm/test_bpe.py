@@ -55,3 +55,13 @@ def test_long_words_are_decoded_from_their_ids(spark, monkeypatch):
     monkeypatch.setattr(bpe, "merge_long", lambda word, ranks: wrong)
     got = bpe.assembled(documents(frame(spark, [(1, "ab" * 500)])), ["doc_id"], VOCABULARY, with_ids=True).first()
     assert (got.ids, got.decoded) == (wrong, tokenizer(VOCABULARY).decode(wrong))
+
+
+def test_plans_hold_no_ranks(spark):
+    """As literals the rank map and the pieces made some 2.4 MB of text of each description of the plan, which the driver keeps."""
+    docs = documents(frame(spark, [(1, "some words"), (2, None)]))
+    out = bpe.assembled(docs, ["doc_id"], VOCABULARY)
+    out.collect()
+    text = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    print(len(text))
+    assert len(text) < 100_000
