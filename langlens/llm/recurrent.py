@@ -2,7 +2,7 @@
 
 Tokens are white-space words (A-Z in lower case) and one end per text. Counts cover all training documents.
 The vocabulary grows with the corpus: tokens above a small count (see least_count) have embeddings and, in about
-sqrt(V) classes of like frequency, output weights; all other tokens share one class, in which the add-one unigram model of the rare tokens (one share of it for unseen ones)
+sqrt(V) classes of like frequency (of a large vocabulary: in parts, classes of them and tokens, see Deep), output weights; all other tokens share one class, in which the add-one unigram model of the rare tokens (one share of it for unseen ones)
 decides, so that the probabilities of all tokens sum to one. Training is truncated backpropagation through
 windows of WINDOW steps with the state carried on, over all training documents, by trainers that grow in number
 with the input and whose weights are averaged. Scoring carries the state over the whole document.
@@ -27,10 +27,16 @@ from .common import STEP_BYTES, documents, flat, lower, open_store, shared_dir,
 
 #: The vocabulary has so many tokens at least, if there are as many.
 HEAD = 1024
+#: A larger vocabulary than this has three levels of outputs, and classes of WIDTH / sqrt(share of all tokens) tokens.
+FLAT, WIDTH = 1 << 14, 0.3
+#: Numbers that tell a document's kind of words, by which its tokens are put into classes.
+TRAITS = 4
 HIDDEN = 24
 WINDOW = 32
 #: Lanes of a window in training, at most, and tokens that a lane has at least.
-LANES, LONG = 512, 2048
+LANES, LONG = 1024, 2048
+#: Lanes in scoring.
+SCORE_LANES = 512
 TRAINERS = 8
 #: Tokens that one trainer takes, or as many as the model has numbers, if these are more; a larger input has more trainers.
 TRAINER_TOKENS = 3_000_000
@@ -39,6 +45,8 @@ PIECE = 1 << 13
 ROUNDS = 2
 #: Rows whose outputs are worked on at once, forth and back, as they stay in a processor's cache; a class's rows stay together.
 ROWS = 512
+#: Rows whose outputs are made at once in scoring.
+SCORED = 1 << 17
 #: Numbers that the optimiser works on at once, for the same reason.
 BLOCK = 1 << 15
 #: The most frequent tokens, whose counts every task holds; counts of the others are joined.
@@ -77,18 +85,33 @@ def least_count(n_all: int) -> int:
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """(h, c) of all tokens of the training documents."""
+    """(h, c, t0, t1 and so on) of all tokens of the training documents: their counts and the sums of the traits of their documents."""
+    more = [f"t{k}" for k in range(TRAITS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, at = flat(b[0])
             for lo, hi in steps(at, 8 << 20):
-                ids, _ = tokens(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-                h, c = np.unique(ids, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c)], ["h", "c"])
+                ids, cut = tokens(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+                order = np.argsort(ids)
+                h = ids[order]
+                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                sums = [np.add.reduceat(np.repeat(t, np.diff(cut))[order], first) for t in traits(ids, cut)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[first], np.diff(first, append=len(h)), *sums)], ["h", "c", *more])
         trim()
 
-    return docs.where(_learned()).select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    kind = ", ".join(f"{k} long" for k in ("h", "c", *more))
+    return docs.where(_learned()).select("text").mapInArrow(run, kind).groupBy("h").agg(*(F.sum(k).alias(k) for k in ("c", *more)))
+
+
+def traits(ids: np.ndarray, cut: np.ndarray) -> Iterator[np.ndarray]:
+    """TRAITS numbers of each document: a thousand times the mean over its tokens of 1 or -1, as a bit of a token's hash says.
+
+    Whole numbers, so that sums of them are the same in any order. Documents of one language have their frequent tokens in common, so their traits are alike."""
+    mixed = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(TRAITS):
+        ones = np.add.reduceat((mixed >> np.uint64(63 - k)).astype(np.int64) & 1, cut[:-1])
+        yield np.round(1000 * (2 * ones / np.diff(cut) - 1)).astype(np.int64)
 
 
 class Model:
@@ -98,17 +121,26 @@ class Model:
         order = np.argsort(head)
         self.sorted, self.number = head[order], order
         self.n = len(head)
-        self.width = max(1, -(-self.n // max(1, math.isqrt(self.n))))
-        self.classes = -(-len(head) // self.width) if len(head) else 0
         rng = np.random.default_rng(seed)
+        small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+        self.w = {"E": small(self.n + 1, 3 * HIDDEN), "U": small(HIDDEN, 3 * HIDDEN), "bias": np.zeros(3 * HIDDEN, np.float32), **self.outputs(counts, rare_total)}
+        self.trained = 0  # tokens of the last round of training
+        self.rare_log = float(np.log10(rare_total + rare_types + 1))
+
+    def outputs(self, counts: np.ndarray, rare_total: int) -> dict[str, np.ndarray]:
+        """Weights of the outputs, which give each token its share of the counts."""
+        self.width = max(1, -(-self.n // max(1, math.isqrt(self.n))))
+        self.classes = -(-self.n // self.width) if self.n else 0
         c = np.log(np.concatenate([counts, np.ones(self.classes * self.width - self.n)]) + 1e-300).reshape(self.classes, self.width) if self.n else np.zeros((0, 1))
         if self.n:
             c.reshape(-1)[self.n :] = -1e9
         mass = np.concatenate([np.exp(c).sum(1), [rare_total + 1.0]])
-        small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-        self.w = {"E": small(self.n + 1, 3 * HIDDEN), "U": small(HIDDEN, 3 * HIDDEN), "bias": np.zeros(3 * HIDDEN, np.float32), "C": np.zeros((HIDDEN, self.classes + 1), np.float32), "cb": np.log(mass).astype(np.float32), "W": np.zeros((self.classes, HIDDEN, self.width), np.float32), "wb": (c - np.log(np.exp(c).sum(1, keepdims=True))).astype(np.float32)}
-        self.trained = 0  # tokens of the last round of training
-        self.rare_log = float(np.log10(rare_total + rare_types + 1))
+        return {"C": np.zeros((HIDDEN, self.classes + 1), np.float32), "cb": np.log(mass).astype(np.float32), "W": np.zeros((self.classes, HIDDEN, self.width), np.float32), "wb": (c - np.log(np.exp(c).sum(1, keepdims=True))).astype(np.float32)}
+
+    def touched(self, y: np.ndarray) -> dict[str, np.ndarray]:
+        """The rows of some weights that have gradients where y are the targets; of the others all have."""
+        cls = np.unique(y[y < self.n] // self.width)
+        return {"W": cls, "wb": cls}
 
     def vector(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.w.values()])
@@ -129,32 +161,41 @@ class Model:
         out = np.empty((steps, lanes, size), np.float32)
         before, cand = np.empty_like(out), np.empty_like(out)
         # Gates and candidate lie one after another, as operations on parts of rows are slow; the gates' sums are negated.
-        gates, sums = np.empty((steps, 2, lanes, size), np.float32), np.empty((steps, 3, lanes, size), np.float32)
-        inputs = w["E"][x]
-        inputs += w["bias"]
-        inputs = np.ascontiguousarray(inputs.reshape(steps, lanes, 3, size).transpose(0, 2, 1, 3), np.float32)
+        # What is not kept for the way back is made step by step in small rooms, which stay in the cache.
+        gates, hn = np.empty((steps, 2, lanes, size), np.float32), np.empty_like(out)
+        by_state, inputs = np.empty((2, 3, lanes, size), np.float32)
         u = np.ascontiguousarray(w["U"].reshape(size, 3, size).transpose(1, 0, 2), np.float32)
-        for part in (inputs[:, :2], u[:2]):
-            np.negative(part, out=part)
+        np.negative(u[:2], out=u[:2])
+        bias = w["bias"].astype(np.float32).reshape(3, 1, size)
         resets = new.any(1)
+        old = np.seterr(over="ignore")  # an infinite sum's gate is nought
         for t in range(steps):
             if resets[t]:
                 state = np.where(new[t][:, None], np.float32(0), state)
-            g, n, after, by_state = gates[t], cand[t], out[t], sums[t]
+            g, n, after = gates[t], cand[t], out[t]
+            e = w["E"][x[t]].reshape(lanes, 3, size).transpose(1, 0, 2)
+            np.add(e, bias, out=inputs, casting="same_kind")
             np.matmul(state, u, out=by_state)
-            np.add(inputs[t, :2], by_state[:2], out=g)
+            np.subtract(by_state[:2], inputs[:2], out=g)
             np.exp(g, out=g)
             g += np.float32(1)
             np.reciprocal(g, out=g)
             before[t] = state
-            np.multiply(g[0], by_state[2], out=n)
-            n += inputs[t, 2]
-            np.tanh(n, out=n)
+            hn[t] = by_state[2]
+            np.multiply(g[0], hn[t], out=n)
+            n += inputs[2]
+            # The hyperbolic tangent by the exponential, which takes half the time.
+            n *= np.float32(2)
+            np.exp(n, out=n)
+            n += np.float32(1)
+            np.divide(np.float32(-2), n, out=n)
+            n += np.float32(1)
             np.subtract(state, n, out=after)
             after *= g[1]
             after += n
             state = after
-        return out, (before, gates, cand, sums[:, 2])
+        np.seterr(**old)
+        return out, (before, gates, cand, hn)
 
     def output(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None, scale: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of y given states h (rows); with grad also the gradient to h (of scale-weighted log loss).
@@ -223,20 +264,26 @@ class Model:
         """grad gets the gradients of U, bias and, for the tokens of x, which are returned, of E."""
         w, size = self.w, HIDDEN
         before, gates, cand, hn = kept
-        r, z = gates[:, 0], gates[:, 1]
-        by_n = (1 - z) * (1 - cand * cand)
-        by_z = (before - cand) * (z * (1 - z))
-        by_r = hn * (r * (1 - r))
-        carry, ut = np.zeros_like(before[0]), np.ascontiguousarray(w["U"].T)
+        carry, ut, one = np.zeros_like(before[0]), np.ascontiguousarray(w["U"].T), np.float32(1)
         dx, dn = np.empty((*x.shape, 3 * size), np.float32), np.empty_like(before)
-        resets = new.any(1)
+        resets, room, by_h = new.any(1), np.empty_like(before[0]), np.empty_like(before[0])
         for t in range(len(x) - 1, -1, -1):
-            dh, du = dout[t] + carry, dx[t]
-            np.multiply(dh, by_n[t], out=dn[t])
-            np.multiply(dn[t], by_r[t], out=du[:, :size])
-            np.multiply(dh, by_z[t], out=du[:, size : 2 * size])
-            np.multiply(dn[t], r[t], out=du[:, 2 * size :])
-            dh *= z[t]
+            # All of a step's numbers stay in the cache.
+            dh, du, dc, (r, z), c = dout[t] + carry, dx[t], dn[t], gates[t], cand[t]
+            np.subtract(one, z, out=by_h)
+            by_h *= dh
+            np.multiply(c, c, out=room)
+            np.subtract(one, room, out=room)
+            np.multiply(by_h, room, out=dc)
+            np.subtract(before[t], c, out=room)
+            room *= z
+            np.multiply(by_h, room, out=du[:, size : 2 * size])
+            np.subtract(one, r, out=room)
+            room *= r
+            room *= hn[t]
+            np.multiply(dc, room, out=du[:, :size])
+            np.multiply(dc, r, out=du[:, 2 * size :])
+            dh *= z
             dh += du @ ut
             carry = np.where(new[t][:, None], np.float32(0), dh) if resets[t] else dh
         dx = dx.reshape(-1, 3 * size)
@@ -244,7 +291,7 @@ class Model:
         dx[:, 2 * size :] = dn.reshape(-1, size)
         dx.sum(0, out=grad["bias"])
         number = x.ravel().astype(np.min_scalar_type(self.n))
-        order = np.argsort(number, kind="stable")
+        order = np.argsort(number, kind="stable" if number.itemsize < 4 else None)
         number = number[order]
         first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
         which = number[first].astype(np.int64)
@@ -253,6 +300,127 @@ class Model:
         return which
 
 
+class Deep(Model):
+    """The model of a large vocabulary, whose outputs are a tree of three levels: parts, their classes, a class's tokens.
+
+    Classes hold tokens of like frequency, and the rarer these are, the wider they are: a class costs calls in each
+    window, and its width work for each of its occurrences, which both are least at widths by the inverse root of
+    frequency. Classes of one width are a layer (W0, W1 and so on, the last row of a class's weights being its bias),
+    in which tokens of like documents, such as those of one language, lie together, so that the choice of a part and a
+    class tells much of them. Tokens outside the vocabulary are the last part."""
+
+    def __init__(self, head: np.ndarray, counts: np.ndarray, rare_total: int, rare_types: int, traits: np.ndarray, seed: int = 7) -> None:
+        """head by falling count; traits: a row of numbers for each token, alike for those of like documents."""
+        share = np.maximum(counts, 1.0) / (counts.sum() + rare_total + 1.0)
+        width = 2 ** np.maximum(np.round(np.log2(WIDTH / np.sqrt(share))), 3).astype(np.int64)
+        ends = np.flatnonzero(np.diff(width, append=0)) + 1
+        self.spans = [(lo, hi, int(width[lo])) for lo, hi in zip([0, *ends.tolist()], ends.tolist())]
+        order = np.concatenate([x for lo, hi, size in self.spans for x in _alike(traits, np.arange(lo, hi), size)])
+        super().__init__(head[order], counts[order], rare_total, rare_types, seed)
+
+    def outputs(self, counts: np.ndarray, rare_total: int) -> dict[str, np.ndarray]:
+        self.layers, self.first, w, masses = [], [], {}, []
+        for k, (lo, hi, size) in enumerate(self.spans):
+            n = -(-(hi - lo) // size)
+            c = np.zeros(n * size)
+            c[: hi - lo] = counts[lo:hi]
+            self.layers.append((f"W{k}", sum(map(len, self.first))))
+            self.first.append(lo + size * np.arange(n))
+            masses.append(c.reshape(n, size).sum(1))
+            w[f"W{k}"] = _level_weights(c.reshape(n, size))
+        self.first, mass = np.concatenate(self.first), np.concatenate(masses)
+        self.classes = len(mass)
+        #: The class of each token; those outside the vocabulary have the last number.
+        self.cls = np.append(np.searchsorted(self.first, np.arange(self.n), "right") - 1, self.classes).astype(np.int32)
+        self.each = math.isqrt(self.classes - 1) + 1
+        self.parts = -(-self.classes // self.each)
+        mass = np.append(mass, np.zeros(self.parts * self.each - self.classes)).reshape(self.parts, self.each)
+        return {"root": _level_weights(np.append(mass.sum(1), rare_total + 1.0)[None]), "part": _level_weights(mass), **w}
+
+    def touched(self, y: np.ndarray) -> dict[str, np.ndarray]:
+        there = np.bincount(self.cls[y], minlength=self.classes + 1) > 0
+        return {k: np.flatnonzero(there[lo : lo + len(self.w[k])]) for k, lo in self.layers}
+
+    def output(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None, scale: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        cls = self.cls[y]
+        order = np.argsort(cls.astype(np.min_scalar_type(self.classes)), kind="stable")
+        order = order[: len(order) - int((cls == self.classes).sum())]  # without rare tokens
+        mine = cls[order]
+        one = np.ones((len(h), HIDDEN + 1), np.result_type(h, self.w["root"]))
+        one[:, :HIDDEN] = h
+        dh = back = scales = None
+        if grad is not None:
+            dh, back = np.zeros(h.shape, one.dtype), np.zeros((len(mine), HIDDEN), one.dtype)
+            scale = scale.astype(one.dtype)
+            scales = scale[order]
+        level = lambda k, *rows: _level(*rows, self.w[k], None if grad is None else grad[k])
+        logp = level("root", one, np.zeros(len(h), np.int64), np.where(cls < self.classes, cls // self.each, self.parts), scale, dh)
+        hs, at = one[order], mine // self.each
+        more = level("part", hs, at, mine - at * self.each, scales, back)
+        inside = y[order] - self.first[mine]
+        cuts = np.searchsorted(mine, [lo for _, lo in self.layers] + [self.classes]).tolist()
+        for (k, lo), a, b in zip(self.layers, cuts, cuts[1:]):
+            if a < b:
+                more[a:b] += level(k, hs[a:b], mine[a:b] - lo, inside[a:b], None if grad is None else scales[a:b], None if grad is None else back[a:b])
+        logp[order] += more
+        if grad is not None:
+            dh[order] += back
+        return logp, dh
+
+
+def _alike(traits: np.ndarray, rows: np.ndarray, size: int) -> list[np.ndarray]:
+    """rows in classes of size, the last one smaller: halved, again and again, across the direction in which their traits differ most."""
+    if len(rows) <= size:
+        return [rows]
+    x = traits[rows] - traits[rows].mean(0)
+    rows = rows[np.argsort(x @ np.linalg.eigh(x.T @ x)[1][:, -1], kind="stable")]
+    half = -(-len(rows) // size) // 2 * size
+    return [*_alike(traits, rows[:half], size), *_alike(traits, rows[half:], size)]
+
+
+def _level_weights(counts: np.ndarray) -> np.ndarray:
+    """Weights of nodes with these counts below them, whose last row, the bias, gives every one its share; none: no share."""
+    w = np.zeros((len(counts), HIDDEN + 1, counts.shape[1]), np.float32)
+    with np.errstate(divide="ignore"):
+        w[:, HIDDEN] = np.maximum(np.log(counts / counts.sum(1, keepdims=True)), -1e9)
+    return w
+
+
+def _level(h: np.ndarray, node: np.ndarray, child: np.ndarray, scale: np.ndarray | None, back: np.ndarray | None, w: np.ndarray, grad: np.ndarray | None) -> np.ndarray:
+    """Log probabilities of the children of rows' nodes, which are sorted; with grad also the nodes' gradients, set, and the rows', which back gets more."""
+    n, width = len(h), w.shape[2]
+    most, logp = max(ROWS // 4, BLOCK // width), np.empty(n, h.dtype)
+    first = np.flatnonzero(np.diff(node, prepend=-1))
+    pieces = [(c, lo, min(lo + most, b), lo == a) for c, a, b in zip(node[first].tolist(), first.tolist(), [*first[1:].tolist(), n]) for lo in range(a, b, most)]
+    ends, at = [b for _, _, b, _ in pieces], 0
+    while at < len(pieces):
+        start = pieces[at][1]
+        to = max(at + 1, bisect.bisect_right(ends, start + most))
+        some, stop = pieces[at:to], ends[to - 1]
+        at = to
+
+        def logits() -> np.ndarray:
+            z = np.empty((stop - start, width), h.dtype)
+            for c, a, b, _ in some:
+                np.dot(h[a:b], w[c], out=z[a - start : b - start])
+            return z
+
+        logp[start:stop], e, size = _softmax(logits, child[start:stop], grad is not None)
+        if grad is not None:
+            by = (scale[start:stop] / size)[:, None]
+            hb, db = h[start:stop] * by, np.empty((stop - start, HIDDEN), h.dtype)
+            for c, a, b, new in some:
+                a, b = a - start, b - start
+                if new:
+                    np.dot(hb[a:b].T, e[a:b], out=grad[c])
+                else:
+                    grad[c] += hb[a:b].T @ e[a:b]
+                np.dot(e[a:b], w[c, :HIDDEN].T, out=db[a:b])
+            db *= by
+            back[start:stop] += db
+    return logp
+
+
 def _softmax(logits: Callable[[], np.ndarray], target: np.ndarray, slope: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log probabilities of the targets, the exponentials and their sums; with slope the sum is taken off the target's,
     so that a row divided by its sum is the gradient of log loss to the logits.
@@ -324,18 +492,29 @@ def _windows(ids: np.ndarray, at: np.ndarray, n_lanes: int, end: int, even: bool
         yield np.where(there, x, end), fresh[at0] & there, np.where(there, ids[at0], end), where, active
 
 
-def log_probabilities(model: Model, h: np.ndarray, at: np.ndarray, n_lanes: int = 256, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def log_probabilities(model: Model, h: np.ndarray, at: np.ndarray, n_lanes: int = SCORE_LANES, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """log10 of each token's probability (of its class alone for rare tokens), and which tokens are rare; ids: their numbers, if known."""
     ids = model.numbers(h) if ids is None else ids
     end = int(model.numbers(np.array([END]))[0])
     out = np.zeros(len(ids))
     state = np.zeros((n_lanes, HIDDEN), np.float32)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def settle() -> None:
+        """The outputs of many windows at once, as a class's calls cost the same for few rows as for many."""
+        if held:
+            states, y, where = map(np.concatenate, zip(*held))
+            out[where] = model.output(states, y)[0]
+            held.clear()
+
     for x, new, y, where, active in _windows(ids, at, n_lanes, end):
         states, _ = model.run(x, new, state[:active])
         state = states[-1]
-        logp, _ = model.output(states.reshape(-1, HIDDEN), y.ravel())
-        there = where.ravel() >= 0
-        out[where.ravel()[there]] = logp[there]
+        there = where >= 0
+        held.append((states[there], y[there], where[there]))
+        if sum(len(y) for _, y, _ in held) >= SCORED:
+            settle()
+    settle()
     return out / np.log(10), ids == model.n
 
 
@@ -400,8 +579,7 @@ def train(model: Model, h: np.ndarray, at: np.ndarray, adam: Adam | None = None,
         adam.rows = max(adam.rows, float(there.sum()))
         _, dh = model.output(states.reshape(-1, HIDDEN), y.ravel(), adam.grad, there / adam.rows)
         which = model.backward(x, new, kept, dh.reshape(states.shape), adam.grad)
-        cls = np.unique(y[y < model.n] // model.width)
-        adam.update(model, {"E": which, "W": cls, "wb": cls}, rate)
+        adam.update(model, {"E": which, **model.touched(y.ravel())}, rate)
     return len(ids)
 
 
@@ -434,7 +612,12 @@ def fit(docs: DataFrame, counts: DataFrame, trainers: int = TRAINERS, rounds: in
     top = counts.orderBy(F.desc("c"), "h").limit(max(FREQUENT, size)).toArrow()
     h, c = np.asarray(top["h"].combine_chunks()).astype(np.int64), np.asarray(top["c"].combine_chunks()).astype(np.int64)
     head = h[:size]
-    model = Model(head, c[:size].astype(float), int(n_all - c[:size].sum()), int(v_all - len(head)))
+    known = head, c[:size].astype(float), int(n_all - c[:size].sum()), int(v_all - len(head))
+    if len(head) > FLAT:
+        sums = np.stack([np.asarray(top[f"t{k}"].combine_chunks())[:size] for k in range(TRAITS)], 1)
+        model = Deep(*known, sums / known[1][:, None])
+    else:
+        model = Model(*known)
     # Dealt by id and text, so that the copies of one text are spread.
     dealt = docs.where(_learned()).select("text", F.xxhash64("doc_id", "text").alias("k"))
     trainers = trainers_for(int(n_all), sum(x.size for x in model.w.values()), trainers)
@@ -515,7 +698,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         trim()
 
     seen = written(rows.withColumn("held_out", _held()).mapInArrow(run, f"key long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, part double, rest array<long>"), "scores")
-    rest = seen.select("key", F.explode("rest").alias("h")).groupBy("key", "h").agg(F.count("*").alias("n")).join(counts, "h")
+    rest = seen.select("key", F.explode("rest").alias("h")).groupBy("key", "h").agg(F.count("*").alias("n")).join(counts.select("h", "c"), "h")
     more = rest.groupBy("key").agg(F.sum("n").alias("k2"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("b2"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return seen.drop("rest").join(more, "key", "left").select(

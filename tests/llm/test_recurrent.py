@@ -290,3 +290,90 @@ def test_long_documents_leave_no_windows_of_few_lanes(monkeypatch):
         assert np.array_equal(y[there], where[there]) and np.all(new[starts])
         assert np.array_equal(x[there], np.where(starts, -5, where - 1)[there])
     assert sorted(seen) == list(range(at[-1]))  # every token once, after the one before it
+
+
+def deep(v=6000, seed=11):
+    rng = np.random.default_rng(seed)
+    model = recurrent.Deep(np.arange(10, 10 + v), 1e6 / np.arange(1, v + 1), 50, 5, rng.normal(0, 1, (v, recurrent.TRAITS)))
+    for k in ("root", "part", *(k for k, _ in model.layers)):
+        model.w[k] = model.w[k] + np.where(model.w[k][:, -1:] > -1e8, rng.normal(0, 0.3, model.w[k].shape), 0).astype(np.float32)
+    return model, rng
+
+
+def test_a_large_vocabulary_takes_few_outputs():
+    """Equal classes had taken some 580 outputs a token at 84,771 types."""
+    v = 80_000
+    counts = 1e7 / np.arange(1, v + 1)
+    model = recurrent.Deep(np.arange(10, 10 + v), counts, 10**6, 5, np.zeros((v, recurrent.TRAITS)))
+    width = np.concatenate([np.full(model.w[k].shape[0], model.w[k].shape[2]) for k, _ in model.layers])
+    assert sorted(model.sorted.tolist()) == list(range(10, 10 + v)) and len(width) == model.classes
+    assert np.all(np.diff(model.cls) >= 0) and np.bincount(model.cls)[:-1].max() <= width.max() and model.cls[-1] == model.classes
+    share = counts[model.sorted[np.argsort(model.number)] - 10] / counts.sum()
+    outputs = model.w["root"].shape[2] + model.w["part"].shape[2] + (share * width[model.cls[:-1]]).sum()
+    print(outputs, model.classes)
+    assert outputs < 0.3 * 2 * v**0.5 and model.classes < 3 * v**0.5
+
+
+def test_deep_outputs_equal_a_plain_version():
+    model, rng = deep()
+    n, soft = 5000, lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    h, scale = rng.normal(0, 0.5, (n, recurrent.HIDDEN)).astype(np.float32), rng.random(n).astype(np.float32)
+    y = np.where(rng.random(n) < 0.3, rng.integers(0, 20, n), rng.integers(0, model.n + 1, n))  # many rows of one class
+    grad = {k: np.zeros_like(x) for k, x in model.w.items()}
+    logp, dh = model.output(h, y, grad, scale)
+    assert np.array_equal(logp, model.output(h, y)[0])
+    want = {k: np.zeros(x.shape) for k, x in model.w.items()}
+    touched = model.touched(y)
+    for i, t in enumerate(y.tolist()):
+        path, one = [("root", 0, model.parts)], np.append(h[i].astype(float), 1)
+        if t < model.n:
+            c = int(model.cls[t])
+            name, lo = [x for x in model.layers if x[1] <= c][-1]
+            path = [("root", 0, c // model.each), ("part", c // model.each, c % model.each), (name, c - lo, t - int(model.first[c]))]
+            assert c - lo in touched[name]
+        lp, back = 0, np.zeros(recurrent.HIDDEN)
+        for k, node, child in path:
+            w = model.w[k][node].astype(float)
+            p = soft(one @ w)
+            lp += np.log(p[child])
+            d = scale[i] * (p - (np.arange(len(p)) == child))
+            want[k][node] += np.outer(one, d)
+            back += w[:-1] @ d
+        assert abs(lp - logp[i]) < 1e-4 and np.allclose(back, dh[i], atol=1e-4)
+    assert all(np.allclose(grad[k], want[k], atol=2e-3) for k in want)
+    one = np.repeat(h[:1], model.n + 1, 0)
+    assert abs(np.exp(model.output(one, np.arange(model.n + 1))[0].astype(float)).sum() - 1) < 1e-4
+
+
+def test_classes_hold_tokens_of_like_documents():
+    rng = np.random.default_rng(12)
+    share = 1 / np.arange(1, 1000)
+    docs = [rng.choice(np.arange(1, 1000), 200, p=share / share.sum()) * 2 + k % 2 for k in range(600)]  # two languages, of even and of odd tokens
+    ids, cut = np.concatenate(docs) * 0x5851F42D4C957F2D, np.arange(0, 120_001, 200)
+    sums, tokens = np.stack([np.repeat(t, 200) for t in recurrent.traits(ids, cut)], 1), np.unique(ids)
+    kind = np.stack([sums[ids == t].mean(0) for t in tokens])
+    odd = tokens % 2 == 1
+    model = recurrent.Deep(tokens, np.full(len(tokens), 60.0), 1, 1, kind)
+    cls = model.cls[model.numbers(tokens)]
+    mixed = sum(min(odd[cls == c].sum(), (~odd[cls == c]).sum()) for c in range(model.classes))
+    assert model.classes > 20 and mixed < 0.1 * len(tokens)
+
+
+def test_large_vocabularies_are_scored(spark, monkeypatch):
+    for name, value in (("HEAD", 6), ("FLAT", 2), ("FREQUENT", 3), ("SCORED", 5)):
+        monkeypatch.setattr(recurrent, name, value)
+    check(recurrent.score_documents(frame(spark)).collect(), BASE)
+    rows = [(i, f"w{i % 40} w{i} common w{i % 40}") for i in range(400)]
+    docs = frame(spark, rows)
+    model, _, _, n_all, _ = recurrent.fit(docs, recurrent.token_counts(docs))
+    assert isinstance(model, recurrent.Deep) and model.trained == n_all and np.any(model.w["root"][:, :-1])
+    check(recurrent.score_documents(docs).collect(), rows)
+
+
+def test_scores_do_not_hang_on_how_many_rows_are_made_at_once(monkeypatch):
+    model, rng = deep()
+    ids, at = rng.integers(5, 6020, 3000), np.array([0, 700, 701, 1500, 3000])
+    want, _ = recurrent.log_probabilities(model, ids, at)
+    monkeypatch.setattr(recurrent, "SCORED", 64)
+    got, _ = recurrent.log_probabilities(model, ids, at, n_lanes=2)
+    assert np.allclose(got, want, atol=1e-4)
